@@ -5,8 +5,8 @@ labelled credentials, and states whose outgoing frequencies are statistically
 compatible (Hoeffding bounds, tested down the tree) are merged into a
 probabilistic automaton. Every other long token with a digit is a candidate: it
 is a secret of the kind ``format`` if one automaton makes it likelier, a character, than a
-background model of ordinary tokens does, by more than a threshold learnt from
-the same sample.
+background model of ordinary tokens does, by more than all but a twentieth of
+the labelled ones do.
 """
 
 from __future__ import annotations
@@ -185,9 +185,8 @@ class Formats:
             if len(words) >= least:
                 a = Automaton(words)
                 own = [a.score(w) - self.background.score(w) for w in words]
-                other = [a.score(w) - self.background.score(w) for w in ordinary]
-                bar = max(0.0, float(np.quantile(own, 0.05)), float(np.quantile(other, 0.995)) if other else 0.0)
-                self.kinds.append((a, bar))
+                # Ordinary tokens may hold unlabelled secrets: they give the background, not a bar.
+                self.kinds.append((a, max(0.0, float(np.quantile(own, 0.05)))))
 
     def secret(self, word: bytes) -> bool:
         ground = self.background.score(word) if self.kinds else 0.0
