@@ -267,7 +267,7 @@ BOX = f"(SELECT *, depth AS x0, line * 2.0 AS y0, depth + px_height / 40 AS x1,
 
 @JOBS.query(
     "j05_theta_occluders",
-    f"""SELECT a.scene, a.frame, a.line, coalesce(max(CASE WHEN least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+    f"""SELECT a.scene, a.frame, a.line, coalesce(max(CASE WHEN b.frame IS NOT NULL AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
       THEN round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1e-6), 9) ELSE 0 END), 0) AS occlusion
     FROM {BOX} a LEFT JOIN {BOX} b ON a.frame = b.frame AND a.instance_id <> b.instance_id AND b.depth < a.depth GROUP BY a.scene, a.frame, a.line""",
 )
@@ -316,8 +316,8 @@ def date_floor(spark, sf):
 
 @JOBS.query(
     "a26_seed_noise_floor",
-    "SELECT m.l_linestatus AS setting, m.mean, m.sd, m.spread, round((m.mean - b.mean) / b.mean * 100, 6) AS delta_pct, round((m.mean - b.mean) / b.sd, 6) AS delta_sds FROM "
-    "(SELECT l_linestatus, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(max(v) - min(v), 9) AS spread FROM (SELECT l_linestatus, l_linenumber, avg(l_discount) AS v FROM lineitem GROUP BY ALL) GROUP BY l_linestatus) m, "
+    "SELECT m.l_linestatus AS setting, round(m.mean, 9) AS mean, round(m.sd, 9) AS sd, round(m.spread, 9) AS spread, CASE WHEN m.l_linestatus = 'F' THEN 0 ELSE round((m.mean - b.mean) / b.mean * 100, 6) END AS delta_pct, CASE WHEN m.l_linestatus = 'F' THEN 0 ELSE round((m.mean - b.mean) / b.sd, 6) END AS delta_sds FROM "
+    "(SELECT l_linestatus, avg(v) AS mean, stddev_samp(v) AS sd, max(v) - min(v) AS spread FROM (SELECT l_linestatus, l_linenumber, avg(l_discount) AS v FROM lineitem GROUP BY ALL) GROUP BY l_linestatus) m, "
     "(SELECT avg(v) AS mean, stddev_samp(v) AS sd FROM (SELECT l_linenumber, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL)) b",
 )
 def noise_floor(spark, sf):
@@ -325,9 +325,9 @@ def noise_floor(spark, sf):
     runs = table(spark, sf, "lineitem").groupBy("l_linestatus", "l_linenumber").agg(F.avg("l_discount").alias("v"))
     all_of = runs.groupBy(F.col("l_linestatus").alias("setting")).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), (F.max("v") - F.min("v")).alias("spread"))
     base = all_of.where("setting = 'F'").select(F.col("mean").alias("m0"), F.col("sd").alias("s0"))
-    change = F.round("mean", 9) - F.col("m0")
+    change = F.col("mean") - F.col("m0")
     return all_of.join(F.broadcast(base)).select(  # one row
-        "setting", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), F.round("spread", 9).alias("spread"), F.round(change / F.col("m0") * 100, 6).alias("delta_pct"), F.round(change / F.col("s0"), 6).alias("delta_sds")
+        "setting", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), F.round("spread", 9).alias("spread"), F.when(F.col("setting") == "F", 0.0).otherwise(F.round(change / F.col("m0") * 100, 6)).alias("delta_pct"), F.when(F.col("setting") == "F", 0.0).otherwise(F.round(change / F.col("s0"), 6)).alias("delta_sds")
     )
 
 
