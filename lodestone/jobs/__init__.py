@@ -1,10 +1,10 @@
 """Registered queries, by family."""
 
-from lodestone.jobs import corpus, graph, points, strata
+from lodestone.jobs import corpus, graph, ledger, points, strata, supervise
 from lodestone.jobs.registry import Registry
 
 JOBS = Registry()
-for _family in (corpus, strata, points, graph):
+for _family in (corpus, strata, points, graph, supervise, ledger):
     JOBS.queries |= _family.JOBS.queries
     JOBS.sql |= _family.JOBS.sql
 
