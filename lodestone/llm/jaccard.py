@@ -234,7 +234,7 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def join_near(docs: DataFrame, **options) -> DataFrame:
     """Near-duplicate classes by the Jaccard similarity of five-word shingle sets.
 
     Words are folded as in ``folded_words``. Returns for each row ``doc_id,
@@ -246,8 +246,13 @@ def join_near(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLO
     words takes part under its own class, with no number: its ids are null.
 
     Two sets of similarity 0.8 stay apart with a chance of about 3 in a million
-    for the bands and of ``TOLERANCE`` for the pruning; less above 0.8.
+    for the bands and of ``TOLERANCE`` for the pruning; less above 0.8. Options: ``threshold``, ``block``.
     """
+    return labelled(docs, **options).drop("cluster")
+
+
+def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """As :func:`join_near`, with the number of the class, ``cluster``, null for wordless texts."""
     rows = settle(signatures(docs))
     sets = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature")
@@ -315,7 +320,7 @@ def _labelled(rows: DataFrame, classes: DataFrame, counted: DataFrame, clusters:
     known = known.join(least, F.col("cluster") == F.col("_cluster"))
     # A set may be that of a third of all rows: they are dealt over salts, the set's row repeated for each.
     salts = 32
-    known = known.select(F.col("set_key").alias("_set"), "copy_id", "n_links", "class_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    known = known.select(F.col("set_key").alias("_set"), "cluster", "copy_id", "n_links", "class_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     salted = rows.select("doc_id", "text_key", "set_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int").alias("salt"))
     out = salted.join(known, (F.col("set_key") == F.col("_set")) & (F.col("salt") == F.col("_salt")), "left")
     return out.select(
@@ -324,6 +329,7 @@ def _labelled(rows: DataFrame, classes: DataFrame, counted: DataFrame, clusters:
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "cluster",
     )
 
 
@@ -332,8 +338,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Of equal rows one stays. Wordless documents stay, each once for its doc_id and text.
     """
-    joined = join_near(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = joined.groupBy("class_id").agg(F.min("text_key").alias("_k_key")).withColumnRenamed("class_id", "_k_id")
+    marked = labelled(docs, **options)
+    first = marked.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    kept = first.unionByName(marked.where("cluster IS NULL").select("doc_id", "text_key").distinct())
+    kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_key"))
     same = docs["doc_id"].eqNullSafe(kept["_k_id"]) & (text_key(docs["text"]) == kept["_k_key"])
     chosen = docs.join(kept, same, "left_semi")
     return chosen.dropDuplicates(["doc_id", "text"])
