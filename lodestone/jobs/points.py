@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import measures as M
 from lodestone.jobs.registry import Registry
 from lodestone.operators import points as P
+from lodestone.operators import raster as R
 from lodestone.operators import statistics as S
 from lodestone.sources.tables import table
 
@@ -221,3 +222,13 @@ def head_tail(spark, sf):
 def sample_fixed(spark, sf):
     """A seeded sample of 200 without replacement: the smallest hashes."""
     return points(spark, sf).select("vec_id", "label").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(200)
+
+
+@JOBS.query("f20_hull_pixels")
+def hull_pixels(spark, sf):
+    """F20, W02-W04 by pixel: outlines of four neighbouring points, one view for each label, and the share of each that stays visible."""
+    p = points(spark, sf).withColumn("entity", F.floor(F.col("vec_id") / 4))
+    corner = F.struct((F.col("x") * 8 + 32).alias("x"), (F.col("y") * 8 + 24).alias("y"))
+    outlines = p.groupBy("entity").agg(F.min("label").alias("cam"), F.min("z").alias("depth"), F.collect_list(corner).alias("outline"))
+    cells = R.pixels(outlines, ["entity", "cam", "depth"], "outline", 64, 48)
+    return R.owners(cells, ["cam"], "entity", "depth")

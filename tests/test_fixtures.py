@@ -7,6 +7,7 @@ import math
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from lodestone.functions import measures as M
 from lodestone.functions import text as T
 from lodestone.operators import lexicon as L
 from lodestone.operators import points as P
+from lodestone.operators import raster as R
 from lodestone.operators import statistics as S
 from lodestone.operators import supervision as V
 from lodestone.operators.snippets import windows
@@ -228,3 +230,25 @@ def test_zip(spark, tmp_path):
         z.writestr("skip.bin", b"0")
     got = {r["name"]: r for r in files.zip_entries(spark, f"{tmp_path}/*.zip", r"^keep/").collect()}
     assert bytes(got["keep/a.txt"]["content"]) == b"hello" * 50 and got["skip.bin"]["content"] is None and got["skip.bin"]["usize"] == 1
+
+
+def test_filled_hulls_against_half_planes():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        pts = rng.uniform(-5, 25, (6, 2))
+        got = set(zip(*(v.tolist() for v in R.filled(pts, 20, 15)), strict=True))
+        c = R.hull(pts)
+        inside = lambda x, y: all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(c, np.roll(c, -1, axis=0), strict=True))
+        assert got == {(x, y) for x in range(20) for y in range(15) if inside(x + 0.5, y + 0.5)}
+    assert len(R.filled(np.array([[1.0, 1.0], [5.0, 5.0]]), 9, 9)[0]) == 0
+
+
+def test_pixel_owners(spark):
+    cells = [("A", 5.0, k) for k in (1, 2, 3)] + [("B", 2.0, k) for k in (3, 4)]
+    frame = spark.createDataFrame([(1, e, d, k, 0) for e, d, k in cells], "view long, e string, depth double, x long, y long")
+    assert {r["e"]: r["visible"] for r in R.owners(frame, ["view"], "e", "depth").collect()} == {"A": pytest.approx(2 / 3), "B": 1.0}
+
+
+def test_outlines(spark):
+    rows = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, None)], "k long, o array<struct<x:double,y:double>>")
+    assert R.pixels(rows, ["k"], "o", 10, 10).count() == 12
