@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.streaming import supervisor, windows
+from lodestone.streaming import delivery, supervisor, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,14 @@ def test_supervisor(spark, tmp_path):
     assert states[2] == ["RUNNING", "FAILED"]
     assert states[4] == ["RUNNING", "NO_PROGRESS"]
     assert 3 not in states
+
+
+def test_delivery(spark, tmp_path):
+    rows = [(1, "error", "a"), (2, "view", "b"), (3, "error", "c")]
+    spark.createDataFrame(rows, "event_id long, kind string, detail string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, kind string, detail string").parquet(f"{tmp_path}/in")
+    accept = lambda batch: batch.where("event_id = 1").select("event_id", F.lit(True).alias("ok"), F.lit("sent").alias("output"))
+    query = delivery.deliver(stream, accept, wanted=["error"], log=f"{tmp_path}/log", audit=f"{tmp_path}/audit", checkpoint=f"{tmp_path}/ck")
+    query.awaitTermination(60)
+    assert spark.read.json(f"{tmp_path}/log").count() == 3
+    assert {r["event_id"]: r["ok"] for r in spark.read.json(f"{tmp_path}/audit").collect()} == {1: True, 3: False}
