@@ -21,6 +21,7 @@ OBS = (
     "l_extendedprice / 1000 AS depth, l_quantity * 8 AS px_height, l_quantity * l_quantity AS area, 1 - 8 * l_discount AS visible, l_tax AS err, "
     "l_linestatus = 'F' AS posed FROM lineitem)"
 )
+#: The edges and names of the strata.
 PX, PX_LABELS = (0.0, 96.0, 160.0, 320.0, float("inf")), ("px<96", "px96-160", "px160-320", "px>320")
 VIS, VIS_LABELS = (0.0, 0.5, 0.8, 1.01), ("vis<0.5", "vis0.5-0.8", "vis>0.8")
 
