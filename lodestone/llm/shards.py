@@ -61,7 +61,7 @@ def _placed(cells: DataFrame, shards: int, slack: float) -> DataFrame:
     return folded.select(F.explode(F.arrays_zip("all", "out")).alias("x")).select(F.col("x.all.cell").alias("cell"), F.col("x.out").alias("shard"))
 
 
-def assign(docs: DataFrame, *, shards: int = 40, virtual: int = 64, slack: float = 0.002) -> DataFrame:
+def assign(docs: DataFrame, *, shards: int = 40, virtual: int = 64, slack: float = 0.0005) -> DataFrame:
     """Each row's ``doc_id, size, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16. Loads are bytes: a shard
