@@ -293,7 +293,7 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: in
 
     def sort(batches):
         for batch in batches:
-            for chunk, sizes, frame, ranks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for sizes, frame, ranks, chunk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 keys = np.unique(suffixes(Chunk(sizes, frame), ranks)[1])
                 if len(keys):
                     yield _blocks(chunk, keys, buckets, 64)
@@ -330,9 +330,9 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: in
         return pa.RecordBatch.from_arrays([*head, *counts, pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     ranks = settle(_masks(chunks.select("chunk", "sizes", "frame").mapInArrow(rank, _BLOCK), repeated_rule, "ranks"))
-    # Both uses of this join share its shuffles; the next join on the chunk needs none for it.
+    # Both uses of this join read the same columns, so that they share its shuffles; the next join on the chunk needs none for it.
     ranked = chunks.join(ranks, F.col("chunk") == F.col("_ranks"), "left").drop("_ranks")
-    later = _masks(ranked.select("chunk", "sizes", "frame", "ranks").mapInArrow(sort, _BLOCK), later_rule, "later")
+    later = _masks(ranked.select("sizes", "frame", "ranks", "chunk", "doc_ids").mapInArrow(sort, _BLOCK), later_rule, "later")
     joined = ranked.join(later, F.col("chunk") == F.col("_later"), "left")
     last = "n_removed long, n_spans long, kept_sha256 string" if digest else "spans array<struct<start:long,end:long>>"
     return joined.select("sizes", "frame", "ranks", "later", "doc_ids").mapInArrow(cover, f"doc_id {doc_kind}, n_bytes long, {last}")
