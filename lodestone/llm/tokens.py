@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -94,6 +95,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for a Python worker, which its later tasks find filled."""
+    return WordIds(Tokenizer.from_file(path))
+
+
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Lengths of a cheapest prefix code with none longer than ``most`` bits (package-merge)."""
     n = len(counts)
@@ -179,7 +186,7 @@ def _tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(Tokenizer.from_file(path))
+        words = word_ids(path)
         end = np.array([end_id], "<u2").tobytes()
         packer = zstandard.ZstdCompressor(level=1)
         part, before, number, held = TaskContext.get().partitionId(), 0, 0, 0
