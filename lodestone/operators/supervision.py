@@ -73,3 +73,30 @@ def until_terminal(log: DataFrame, terminal: Column) -> DataFrame:
     """Events up to and with the first terminal one; later ones have no effect."""
     before = F.coalesce(F.sum(terminal.cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return log.withColumn("_before", before).where("_before = 0").drop("_before")
+
+
+def states(log: DataFrame, *, start: Column, fatal: Column, output: Column, outputs: int) -> DataFrame:
+    """The events at which a job changes its state, with the new ``state``.
+
+    The first start makes it RUNNING, the first fatal event FAILED (also before a start), the
+    ``outputs``-th output after the start COMPLETE. What follows a terminal state has no effect.
+    """
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumns({"_start": F.coalesce(start, F.lit(False)).cast("int"), "_fatal": F.coalesce(fatal, F.lit(False))})
+    rows = rows.withColumn("_starts", F.sum("_start").over(so_far))
+    counts = (F.coalesce(output, F.lit(False)) & (F.col("_starts") > 0)).cast("int")
+    rows = rows.withColumn("_output", counts).withColumn("_outputs", F.sum("_output").over(so_far))
+    complete = (F.col("_output") == 1) & (F.col("_outputs") == outputs)
+    rows = until_terminal(rows, F.col("_fatal") | complete)
+    state = F.when(F.col("_fatal"), "FAILED").when(complete, "COMPLETE").when((F.col("_start") == 1) & (F.col("_starts") == 1), "RUNNING")
+    return rows.withColumn("state", state).where("state IS NOT NULL").drop("_start", "_fatal", "_starts", "_output", "_outputs")
+
+
+def output_gate(log: DataFrame, rules: Sequence[tuple[str, float, int]]) -> DataFrame:
+    """``job, passed, message`` of ``(kind, least value, least number)`` rules; counts are combined before the shuffle."""
+    large = [F.coalesce(F.count_if((F.col("kind") == k) & (F.col("value") >= v)), F.lit(0)).alias(f"_{k}") for k, v, _ in rules]
+    passed = F.lit(True)
+    for k, _, n in rules:
+        passed = passed & (F.col(f"_{k}") >= n)
+    fails = [F.when(F.col(f"_{k}") < n, F.format_string(f"{k}: %d/{n} valid files", F.col(f"_{k}"))) for k, _, n in rules]
+    return log.groupBy("job").agg(*large).select("job", passed.alias("passed"), F.concat_ws("; ", *fails).alias("message"))

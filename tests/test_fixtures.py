@@ -18,6 +18,7 @@ from lodestone.operators import points as P
 from lodestone.operators import raster as R
 from lodestone.operators import statistics as S
 from lodestone.operators import supervision as V
+from lodestone.operators.images import masked_ssim
 from lodestone.operators.snippets import windows
 from lodestone.sources import files
 
@@ -252,3 +253,29 @@ def test_pixel_owners(spark):
 def test_outlines(spark):
     rows = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, None)], "k long, o array<struct<x:double,y:double>>")
     assert R.pixels(rows, ["k"], "o", 10, 10).count() == 12
+
+
+def test_ssim_of_equal_shifted_and_masked_images(spark):
+    flat, steps = [0.5] * 64, [k / 64 for k in range(64)]
+    rows = [(1, steps, steps, [True] * 64), (2, flat, [1.0] * 64, [True] * 64), (3, steps, flat, [False] * 64), (4, None, flat, [True] * 64), (5, steps[:9], flat, [True] * 64), (6, flat, flat, None)]
+    pairs = spark.createDataFrame(rows, "k int, a array<double>, b array<double>, m array<boolean>")
+    got = {r["k"]: (r["ssim"], r["n_pixels"]) for r in masked_ssim(pairs, "k", "a", "b", "m", 8).collect()}
+    assert got[1] == (pytest.approx(1.0), 64)
+    # Without variance only the means speak: (2ab + c1) / (a^2 + b^2 + c1).
+    assert got[2] == (pytest.approx(1.0001 / 1.2501), 64)
+    assert got[3] == (None, 0) and got[4] == (None, 0) and got[5] == (None, 0) and got[6] == (None, 0)
+    assert masked_ssim(pairs.where("k > 9"), "k", "a", "b", "m", 8).count() == 0
+
+
+def test_states_end_at_the_first_terminal_event(spark):
+    kinds = {1: "asooo", 2: "sfso", 3: "fs", 4: "ooos", 5: "ss", 6: "aa", 7: "soso" + "f"}
+    rows = [(job, 10 * job + n, f"2024-01-01 00:00:{n:02d}", k, 1.0) for job, text in kinds.items() for n, k in enumerate(text)]
+    rows.append((8, 80, "2024-01-01 00:00:00", None, None))
+    log = spark.createDataFrame(rows, "job long, event_id long, ts string, kind string, value double").withColumn("ts", F.to_timestamp("ts"))
+    is_kind = lambda k: F.col("kind") == k
+    got = sorted((r["job"], r["event_id"] % 10, r["state"]) for r in V.states(log, start=is_kind("s"), fatal=is_kind("f"), output=is_kind("o"), outputs=3).collect())
+    assert got == [
+        (1, 1, "RUNNING"), (1, 4, "COMPLETE"), (2, 0, "RUNNING"), (2, 1, "FAILED"), (3, 0, "FAILED"), (4, 3, "RUNNING"), (5, 0, "RUNNING"), (7, 0, "RUNNING"), (7, 4, "FAILED"),
+    ]
+    gate = {r["job"]: (r["passed"], r["message"]) for r in V.output_gate(log, [("o", 1.0, 2), ("s", 1.0, 1)]).collect()}
+    assert gate[1] == (True, "") and gate[5] == (False, "o: 0/2 valid files") and gate[8] == (False, "o: 0/2 valid files; s: 0/1 valid files")
