@@ -267,3 +267,30 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
     same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (text_key(docs["text"]) == bad["_bad_key"])
     return docs.join(bad, same, "left_anti")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _held_sql(table: str, key: str) -> str:
+    """Words by place, each with itself and the nine that follow it."""
+    return f"""SELECT *, list(word) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS held FROM (
+    SELECT r, {key}, len(w) AS n_words, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT r, {key}, {_WORDS} AS w FROM {table}))"""
+
+
+ORACLE = f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+items AS (SELECT row_number() OVER () AS r, item_id, text FROM benchmark),
+item_words AS ({_held_sql('items', 'item_id')}),
+windows AS (SELECT DISTINCT item_id, len(held) AS k, held FROM item_words WHERE len(held) = least(10, n_words)),
+lengths AS (SELECT DISTINCT k FROM windows),
+doc_words AS ({_held_sql('numbered', 'doc_id')}),
+hits AS (
+  SELECT DISTINCT d.r, d.pos, d.k, w.item_id FROM (SELECT r, pos, k, held[1:k] AS held FROM doc_words, lengths WHERE len(held) >= k) d JOIN windows w ON d.k = w.k AND d.held = w.held),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + k)) AS place FROM (SELECT DISTINCT r, pos, k FROM hits)) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(coalesce({_WORDS}, []))::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM numbered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""

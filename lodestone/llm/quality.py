@@ -197,3 +197,33 @@ def filtered(docs: DataFrame, *, host: str = "source", **options) -> DataFrame:
 
 def digest(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("doc_id", *_STATS, "base_failed", "kept", "n_removed_words")
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t, dense_rank() OVER (ORDER BY text) AS same FROM documents),
+words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT r, {_WORDS.format('t')} AS w FROM docs)),
+threes AS (
+  SELECT r, pos, count(*) OVER (PARTITION BY r, word, second, third) AS times FROM (
+    SELECT *, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM words WINDOW o AS (PARTITION BY r ORDER BY pos)) WHERE third IS NOT NULL),
+repeats AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM threes, range(3) s(k) WHERE times > 1 GROUP BY r),
+sizes AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY r),
+lines AS (
+  SELECT *, len({_WORDS.format('line')}) AS n, translate(array_to_string({_WORDS.format('line')}, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+  FROM (SELECT r, host, same, unnest(string_split(t, chr(10))) AS line FROM docs)),
+dups AS (SELECT r, sum(n - 1) AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM lines WHERE n > 0 GROUP BY r, line) GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT same) AS n_documents FROM docs GROUP BY host),
+frequent AS (
+  SELECT f.host, normal FROM (SELECT host, normal, count(DISTINCT same) AS n FROM lines WHERE n > 0 GROUP BY host, normal) f
+  JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host WHERE f.n > 10 AND f.n > 0.05::DOUBLE * h.n_documents),
+gone AS (
+  SELECT r, sum(n) AS n_removed_words FROM lines l JOIN frequent f ON l.normal = f.normal AND l.host IS NOT DISTINCT FROM f.host WHERE n > 0 GROUP BY r),
+figures AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+  FROM docs LEFT JOIN sizes USING (r) LEFT JOIN repeats USING (r) LEFT JOIN dups USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND n_words - n_removed_words >= 50 AND 2 * n_removed_words <= n_words AS kept
+FROM figures
+"""

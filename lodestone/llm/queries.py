@@ -80,7 +80,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": lines.ORACLE,
+    "op5_line_quality": quality.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_url_filter": urls.ORACLE,
 }
