@@ -4,7 +4,8 @@ The ring is cut into a fixed number of cells; a document's cell is a hash of
 its key. Every shard stands on the ring at ``virtual`` places. A cell goes to
 the next shard clockwise that still has room for it: no shard takes more than
 ``1 + slack`` times the mean load, so that sizes are nearly equal, and what a
-full shard can't take continues to the next one.
+full shard can't take continues to the next one. A shard's places don't depend
+on the number of shards, so that one shard more moves little but what it takes.
 
 Only the cells' sums, a table of fixed size, meet in one place.
 """
@@ -22,9 +23,9 @@ CELLS = 8192
 
 def _preferences(session, shards: int, virtual: int) -> DataFrame:
     """For each cell, the shards in the order in which one meets them clockwise."""
-    nodes = session.range(shards * virtual).select(
-        F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(CELLS)).cast("int").alias("at")
-    )
+    # A shard's places are hashes of its number and the replica's, so that they stay where they are when the count grows.
+    nodes = session.range(shards * virtual).select(F.floor(F.col("id") / virtual).cast("int").alias("shard"), F.pmod("id", F.lit(virtual)).alias("replica"))
+    nodes = nodes.select("shard", F.pmod(F.xxhash64(F.lit("node"), "shard", "replica"), F.lit(CELLS)).cast("int").alias("at"))
     ring = nodes.agg(F.array_sort(F.collect_list(F.struct("at", F.xxhash64("at", "shard").alias("tie"), "shard"))).getField("shard").alias("ring"))
     # How many places lie before each cell: the ring's later part comes first, then the part before.
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -465,3 +465,12 @@ def test_op10_law_and_slots(spark, table):
     assert max(load.values()) <= mean * 1.002 + max(r["size"] for r in got) + 1
     assert Counter(map(tuple, shards.digest(shards.assign(docs.repartition(7))).collect())) == Counter(map(tuple, got))
     assert shards.assign(docs.limit(0)).count() == 0
+
+
+def test_op10_one_more_shard_moves_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, after = (shards.assign(docs, shards=n).select("doc_id", "size", "text_crc32", "shard") for n in (40, 41))
+    after = after.withColumnRenamed("shard", "now")
+    row = before.join(after, ["doc_id", "size", "text_crc32"]).agg(F.sum(F.when(F.col("shard") != F.col("now"), F.col("size")).otherwise(0)), F.sum("size")).first()
+    print("moved", row[0] / row[1])
+    assert row[0] <= 0.1 * row[1]
