@@ -104,6 +104,7 @@ class WindowIndex:
                 if np.array_equal(ids[start : start + len(w)], w):
                     runs.add((start, start + len(w)))
                     found.update(self.owners[number])
+        found.discard(None)  # an item without an id covers words and isn't named
         return merged(runs), sorted(found)
 
 
@@ -132,8 +133,8 @@ def merged(runs) -> list[tuple[int, int]]:
 
 
 def item_blocks(items: DataFrame, item_id: str, block_bytes: int):
-    """The items on the driver, one bounded block after another."""
-    own = items.select(F.col(item_id).cast("string").alias("id"), F.col("text").cast("binary").alias("text"))
+    """The distinct items on the driver, one bounded block after another."""
+    own = items.select(F.col(item_id).cast("string").alias("id"), F.col("text").cast("binary").alias("text")).distinct()
     total = own.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(b""))) + 16)).first()[0] or 0
     n = max(1, math.ceil(1.25 * total / block_bytes)) if total > block_bytes else 1
     for k in range(n):
@@ -194,7 +195,7 @@ def find_overlaps(
                     runs, found = index.find(index.word_ids(words))
                     sizes.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in runs])
-                    items.append([x for x in found if x is not None])
+                    items.append(found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),

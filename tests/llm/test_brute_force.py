@@ -85,6 +85,22 @@ def test_op1_edges_and_blocks(spark, block_bytes):
     assert got == expected_overlaps(EDGE, items)
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_op1_item_without_an_id(spark, block_bytes):
+    items = [(None, "two three four"), (1, "five six seven"), (None, "nine ten eleven")]
+    found = decontaminate.find_overlaps(docs_of(spark, EDGE), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.digest(found).collect()}
+    assert got[4] == got[5] == (9, 1, hashlib.sha256(b"1").hexdigest())
+    assert got[3] == (0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_op1_repeated_items_come_once(spark):
+    items = spark.createDataFrame([(1, "two three four")] * 500 + [(k, f"w{k} x y z") for k in range(2, 20)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, "item_id", 200))
+    assert sorted(x for b in blocks for x in b) == sorted({(str(r["item_id"]), r["text"].encode()) for r in items.collect()})
+    assert all(sum(len(t) + 16 for _, t in b) <= 400 for b in blocks)
+
+
 def test_op1_clean_keeps_all_columns(spark):
     docs = docs_of(spark, EDGE).withColumn("spans", F.lit(7)).withColumn("text_key", F.lit("x"))
     items = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
