@@ -5,7 +5,7 @@ labelled credentials, and states whose outgoing frequencies are statistically
 compatible (Hoeffding bounds, tested down the tree) are merged into a
 probabilistic automaton. Every other long token with a digit is a candidate: it
 is a secret of the kind ``format`` if one automaton makes it likelier, a character, than a
-background model of ordinary tokens does, by more than all but a twentieth of
+background model of all candidates does, by more than all but a twentieth of
 the labelled ones do.
 """
 
@@ -29,8 +29,10 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _NAMES = re.compile(rb"passw|secret|token|api_?key", re.I)
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT = re.compile(rb"[0-9]")
-#: Labelled credentials of each kind, and ordinary tokens, from which automata are learnt; the smallest hashes of the whole corpus.
+#: Labelled credentials of each kind from which automata are learnt; the smallest hashes of the whole corpus.
 SAMPLE = 600
+#: Distinct words that a task counts or judges at a time.
+CACHED_WORDS = 200_000
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_", ".", "=", "-")
 _CLASS_OF = np.full(256, 255, np.uint8)
 for _n, _c in enumerate(_CLASSES):
@@ -158,16 +160,21 @@ class Automaton:
         return (total + self.stop[s]) / (len(word) + 1)
 
 
+def moves(words: Counter) -> np.ndarray:
+    """How often a class follows a class in the words, each as often as it is counted; the ends are a class of their own."""
+    k = len(_CLASSES) + 1
+    if not words:
+        return np.zeros((k, k), np.int64)
+    c = np.minimum(_CLASS_OF, k - 1)[np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)].astype(np.int64)
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return np.bincount(c[:-1] * k + c[1:], times, k * k).astype(np.int64).reshape(k, k)
+
+
 class Background:
     """Ordinary tokens: chances of a class after a class, with one added to each count."""
 
-    def __init__(self, words: list[bytes]):
-        k = len(_CLASSES)
-        n = np.ones((k + 1, k + 1))
-        for w in words:
-            c = [k, *_CLASS_OF[np.frombuffer(w, np.uint8)].tolist(), k]
-            for a, b in zip(c, c[1:], strict=False):
-                n[a, b] += 1
+    def __init__(self, counts: np.ndarray):
+        n = counts + 1.0
         self.log = np.log2(n / n.sum(1, keepdims=True)) + np.array([*_WITHIN, 0.0])
 
     def score(self, word: bytes) -> float:
@@ -178,7 +185,7 @@ class Background:
 class Formats:
     """Automata of the kinds that have samples, and their thresholds."""
 
-    def __init__(self, labelled: dict[str, list[bytes]], ordinary: list[bytes], least: int = 20):
+    def __init__(self, labelled: dict[str, list[bytes]], ordinary: np.ndarray, least: int = 20):
         self.background = Background(ordinary)
         self.kinds: list[tuple[Automaton, float]] = []
         for _, words in sorted(labelled.items()):
@@ -211,50 +218,57 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def find(batches):
+    def count(batches):
+        """Each task's labelled credentials (``kind, value``), and its candidates' class moves (``move, n``)."""
+        total, words = np.zeros((len(_CLASSES) + 1,) * 2, np.int64), Counter()
         for batch in batches:
-            spans, labelled, others = [], [], []
-            for text in batch.column(2).to_pylist():
-                text = text or b""
-                base = base_spans(text)
-                more = candidates(text, base)
-                at = code_points(text, [x for a, _, b, _ in base for x in (a, b)] + [x for a, b, _ in more for x in (a, b)])
-                pairs = list(zip(at[::2], at[1::2], strict=True))
-                spans.append([{"start": a, "kind": k, "end": b} for (a, b), (_, k, _, _) in zip(pairs, base, strict=False)])
-                labelled.append([{"kind": k, "value": v} for _, k, _, v in base])
-                others.append([{"start": a, "end": b, "value": v} for (a, b), (_, _, v) in zip(pairs[len(base) :], more, strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(spans, spans_kind),
-                    pa.array(labelled, pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.binary())]))),
-                    pa.array(others, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())]))),
-                ],
-                ["doc_id", "text_key", "spans", "labelled", "others"],
-            )
+            labelled = set()
+            for text in batch.column(0).to_pylist():
+                base = base_spans(text or b"")
+                labelled.update((k, v) for _, k, _, v in base)
+                words.update(v for _, _, v in candidates(text or b"", base))
+                if len(words) >= CACHED_WORDS:
+                    total += moves(words)
+                    words.clear()
+            kinds, values = zip(*sorted(labelled), strict=True) if labelled else ((), ())
+            none = pa.nulls(len(kinds), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(values, pa.binary()), none, none], ["kind", "value", "move", "n"])
+        total = (total + moves(words)).reshape(-1)
+        some = np.flatnonzero(total)
+        none = pa.nulls(len(some))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(some, pa.int64()), pa.array(total[some])], ["kind", "value", "move", "n"])
 
     text = F.col("text")
-    span = "array<struct<start:long,kind:int,end:long>>"
-    found = settle(docs.select("doc_id", text_key(text).alias("text_key"), text.cast("binary")).mapInArrow(
-        find,
-        f"doc_id {kind}, text_key long, spans {span}, labelled array<struct<kind:int,value:binary>>, others array<struct<start:long,end:long,value:binary>>",
-    ))
-    labelled = found.select(F.explode("labelled").alias("x")).select("x.kind", "x.value")
-    ordinary = _sample(found.select(F.explode("others.value").alias("value")), sample)
-    formats = Formats({KINDS[k]: _sample(labelled.where(F.col("kind") == k), sample) for k in range(3)}, ordinary)
+    counted = settle(docs.select(text.cast("binary").alias("text")).mapInArrow(count, "kind long, value binary, move long, n long"))
+    ordinary = np.zeros((len(_CLASSES) + 1) ** 2, np.int64)
+    for r in counted.where("move IS NOT NULL").groupBy("move").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        ordinary[r["move"]] = r["n"]
+    formats = Formats({KINDS[k]: _sample(counted.where(F.col("kind") == k), sample) for k in range(3)}, ordinary.reshape(len(_CLASSES) + 1, -1))
     sent = docs.sparkSession.sparkContext.broadcast(formats)
 
     def score(batches):
-        formats = sent.value
+        formats, known = sent.value, {}
         for batch in batches:
-            spans = [
-                sorted(base + [{"start": x["start"], "kind": 3, "end": x["end"]} for x in more if formats.secret(x["value"])], key=lambda s: (s["start"], s["kind"]))
-                for base, more in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
+            spans = []
+            for text in batch.column(2).to_pylist():
+                text = text or b""
+                base = base_spans(text)
+                every = [(a, k, b) for a, k, b, _ in base]
+                for a, b, word in candidates(text, base):
+                    secret = known.get(word)
+                    if secret is None:
+                        if len(known) >= CACHED_WORDS:
+                            known.clear()
+                        secret = known[word] = formats.secret(word)
+                    if secret:
+                        every.append((a, 3, b))
+                every.sort(key=lambda x: x[:2])
+                at = code_points(text, [x for a, _, b in every for x in (a, b)])
+                spans.append([{"start": a, "kind": k, "end": b} for a, b, (_, k, _) in zip(at[::2], at[1::2], every, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, spans_kind)], ["doc_id", "text_key", "spans"])
 
-    return found.select("doc_id", "text_key", "spans", "others").mapInArrow(score, f"doc_id {kind}, text_key long, spans {span}")
+    rows = docs.select("doc_id", text_key(text).alias("text_key"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(score, f"doc_id {kind}, text_key long, spans array<struct<start:long,kind:int,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -337,6 +337,21 @@ def test_op6_base_spans(spark, table):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
+def test_op6_background_counts_every_candidate(spark, table, monkeypatch):
+    seen = []
+    made = secrets.Formats.__init__
+    monkeypatch.setattr(secrets.Formats, "__init__", lambda self, labelled, ordinary, **o: (seen.append(ordinary), made(self, labelled, ordinary, **o))[1])
+    rows = table + [(900 + k, f"file-{k:012d} file-000000000001 file-{k:012d}", "a") for k in range(700)]
+    secrets.scan(docs_of(spark, rows).repartition(5))
+    words = [w for _, t, _ in rows for _, _, w in secrets.candidates((t or "").encode(), secrets.base_spans((t or "").encode()))]
+    expected = np.zeros_like(seen[0])
+    for w in words:
+        c = [len(secrets._CLASSES), *(next(n for n, x in enumerate(secrets._CLASSES) if chr(b) in x) for b in w), len(secrets._CLASSES)]
+        for a, b in zip(c, c[1:], strict=False):
+            expected[a, b] += 1
+    assert len(words) > 2100 and (seen[0] == expected).all()
+
+
 def test_op6_automata_find_held_out_credentials(spark):
     rng = np.random.default_rng(5)
     fresh = lambda: "".join(rng.choice(list("0123456789ABCDEF"), 8)) + "-" + "".join(rng.choice(list("0123456789"), 12))
