@@ -3,9 +3,9 @@
 Per kind, a prefix tree of character classes is grown from a bounded sample of
 labelled credentials, and states whose outgoing frequencies are statistically
 compatible (Hoeffding bounds, tested down the tree) are merged into a
-probabilistic automaton. Every other long token with a digit is a candidate: it
+probabilistic automaton. Every other token of six characters or more is a candidate: it
 is a secret of the kind ``format`` if one automaton makes it likelier, a character, than a
-background model of all candidates does, by more than all but a twentieth of
+background model of all candidates does, by no less than all but a twentieth of
 the labelled ones do.
 """
 
@@ -27,8 +27,7 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 _NAMES = re.compile(rb"passw|secret|token|api_?key", re.I)
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(rb"[0-9]")
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 #: Labelled credentials of each kind from which automata are learnt; the smallest hashes of the whole corpus.
 SAMPLE = 600
 #: Distinct words that a task counts or judges at a time.
@@ -38,7 +37,6 @@ _CLASS_OF = np.full(256, 255, np.uint8)
 for _n, _c in enumerate(_CLASSES):
     _CLASS_OF[list(_c.encode())] = _n
 _WITHIN = [-math.log2(len(c)) for c in _CLASSES]
-_LEAST = -14.0  # log2 of what no sample has
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -52,13 +50,10 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(out)
 
 
-def candidates(text: bytes, taken: list[tuple]) -> list[tuple[int, int, bytes]]:
-    """(start, end, token): long tokens with a digit that overlap no base span."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
-            out.append((m.start(), m.end(), m[0]))
-    return out
+def candidates(text: bytes, taken: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """(start, end, token) of the maximal runs of six characters or more that no pattern's span overlaps."""
+    out = [(m.start(), m.end(), m[0]) for m in _CANDIDATE.finditer(text)]
+    return [x for x in out if not any(a < x[1] and x[0] < b for a, _, b, _ in taken)] if taken else out
 
 
 def code_points(text: bytes, at: list[int]) -> list[int]:
@@ -141,21 +136,22 @@ class Automaton:
                 red.append(t)
 
     def _fix(self) -> None:
+        # Half an occurrence is added to each class and to the end, so that few words give a broad automaton.
+        each = 0.5 * (len(_CLASSES) + 1)
         self.log = [
-            {c: math.log2(n / self.seen[s]) + _WITHIN[c] for c, n in self.moves[s].items()} for s in range(len(self.next))
+            [math.log2((self.moves[s][c] + 0.5) / (self.seen[s] + each)) + w for c, w in enumerate(_WITHIN)] for s in range(len(self.next))
         ]
-        self.stop = [math.log2(self.ends[s] / self.seen[s]) if self.ends[s] else _LEAST for s in range(len(self.next))]
+        self.stop = [math.log2((self.ends[s] + 0.5) / (self.seen[s] + each)) for s in range(len(self.next))]
         keep = {s: i for i, s in enumerate(self.states)}
         self.next = [{c: keep[t] for c, t in self.next[s].items() if t in keep} for s in self.states]
         self.log, self.stop = [self.log[s] for s in self.states], [self.stop[s] for s in self.states]
         del self.seen, self.ends, self.moves
 
     def score(self, word: bytes) -> float:
-        """log2 likelihood a character; what no sample has costs ``_LEAST`` and restarts."""
+        """log2 likelihood a character; what no sample has restarts."""
         s, total = 0, 0.0
         for c in _CLASS_OF[np.frombuffer(word, np.uint8)].tolist():
-            step = self.log[s].get(c)
-            total += _LEAST + _WITHIN[c] if step is None else step
+            total += self.log[s][c]
             s = self.next[s].get(c, 0)
         return (total + self.stop[s]) / (len(word) + 1)
 
@@ -185,11 +181,11 @@ class Background:
 class Formats:
     """Automata of the kinds that have samples, and their thresholds."""
 
-    def __init__(self, labelled: dict[str, list[bytes]], ordinary: np.ndarray, least: int = 20):
+    def __init__(self, labelled: dict[str, list[bytes]], ordinary: np.ndarray):
         self.background = Background(ordinary)
         self.kinds: list[tuple[Automaton, float]] = []
         for _, words in sorted(labelled.items()):
-            if len(words) >= least:
+            if words:
                 a = Automaton(words)
                 own = [a.score(w) - self.background.score(w) for w in words]
                 # Ordinary tokens may hold unlabelled secrets: they give the background, not a bar.
@@ -197,7 +193,7 @@ class Formats:
 
     def secret(self, word: bytes) -> bool:
         ground = self.background.score(word) if self.kinds else 0.0
-        return any(a.score(word) - ground > bar for a, bar in self.kinds)
+        return any((more := a.score(word) - ground) > 0 and more >= bar - 1e-9 for a, bar in self.kinds)
 
 
 def _sample(values: DataFrame, n: int) -> list[bytes]:
@@ -212,8 +208,7 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     Returns ``doc_id, text_key, spans`` (array of ``start, kind, end``; ``kind``
     as numbered in ``KINDS``; code points, end exclusive), sorted by start, then kind.
     The patterns' spans all stay. A null text is empty. Rows that repeat are
-    scanned each. With fewer than 20 labelled credentials of a kind in the
-    sample, that kind has no automaton.
+    scanned each. A kind without a labelled credential has no automaton.
     """
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -367,6 +367,19 @@ def test_op6_automata_find_held_out_credentials(spark):
     assert exact >= 36 and hits <= 40
 
 
+@pytest.mark.parametrize("n, letters, size", [(19, "0123456789ABCDEF", 20), (120, "0123456789ABCDEF", 9), (120, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 24), (12, "GHJKQXZ", 10)])
+def test_op6_short_plain_and_rare_credentials(spark, n, letters, size):
+    rng = np.random.default_rng(6)
+    fresh = lambda: "".join(rng.choice(list(letters), size))
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 12)))
+    rows = [(k, f"{word()} token = {fresh()} {word()} {word()}-{word()}", "a") for k in range(n)]
+    plain = [(2000 + k, " ".join(word() for _ in range(40)), "a") for k in range(100)]
+    held = [(1000 + k, f"{word()} {fresh()} {word()} {word()}.{word()}", "a") for k in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(docs_of(spark, rows + plain + held))).collect()}
+    exact = sum(got[i] == f"format:{(at := t.index(' ') + 1)}:{at + size}" for i, t, _ in held)
+    assert exact >= 20 and not any(got[i] for i, _, _ in plain)
+
+
 # --- op7
 
 
