@@ -33,8 +33,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Members of a block; a group of more is dealt as pairs of blocks.
-BLOCK = 512
+#: Members of a block and bytes of their shingles; a group of more is dealt as pairs of blocks.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
 CACHED_WORDS = 500_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(32)
@@ -182,7 +182,7 @@ def _links(key, left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
         small, large = sorted((len(a.sets[x]), len(b.sets[y])))
         if small < threshold * large:
             continue
-        both = len(a.sets[x] & b.sets[y])
+        both = len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True))
         if both >= threshold * (small + large - both) - 1e-9:
             p, q = int(a.ids[x]), int(b.ids[y])
             links[0][p] = links[0].get(p, 0) + 1
@@ -195,7 +195,7 @@ def _links(key, left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
 
 
 class _Members:
-    """A block's classes with their signatures, buckets, pivots and shingle sets."""
+    """A block's classes with their signatures, buckets, pivots and sorted shingles."""
 
     def __init__(self, table: pa.Table):
         table = table.sort_by("class")
@@ -206,7 +206,7 @@ class _Members:
         self.pivots = np.full((n, BANDS), -1, np.int64)  # -1: a bucket without others
         for row, (bands, pivots) in enumerate(zip(table["bands"].to_pylist(), table["pivots"].to_pylist(), strict=True)):
             self.pivots[row, bands] = pivots
-        self.sets = [frozenset(np.frombuffer(x, np.uint64).tolist()) for x in table["shingles"].to_pylist()]
+        self.sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,16 +246,17 @@ def join_near(docs: DataFrame, **options) -> DataFrame:
     words takes part under its own class, with no number: its ids are null.
 
     Two sets of similarity 0.8 stay apart with a chance of about 3 in a million
-    for the bands and of ``TOLERANCE`` for the pruning; less above 0.8. Options: ``threshold``, ``block``.
+    for the bands and of ``TOLERANCE`` for the pruning; less above 0.8. Options: ``threshold``, ``block``,
+    ``block_bytes``.
     """
     return labelled(docs, **options).drop("cluster")
 
 
-def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """As :func:`join_near`, with the number of the class, ``cluster``, null for wordless texts."""
     rows = settle(signatures(docs))
     sets = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature"), F.first("n").alias("n")
     )
     # Classes are numbered by their set's digest, which needs no global count; a null doc_id is no obstacle.
     number = F.xxhash64("set_key").bitwiseAND(F.lit((1 << 62) - 1))
@@ -273,7 +274,10 @@ def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOC
     )
     met = settle(met)
     members = _with_shingles(docs, classes, met)
-    blocks = met.select(F.explode(F.array_distinct("pivots")).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    blocks = met.join(classes.select(F.col("class").alias("_class"), "n"), F.col("class") == F.col("_class")).select(F.explode(F.array_distinct("pivots")).alias("pivot"), "n")
+    # A block for each member at most: a set beyond the bytes is alone.
+    n_blocks = F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)))
+    blocks = blocks.groupBy("pivot").agg(n_blocks.cast("int").alias("n_blocks"))
     large = blocks.where("n_blocks > 1").select(F.col("pivot").alias("_pivot"), "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     sent = members.withColumn("pivot", F.explode(F.array_distinct("pivots"))).withColumn("salt", F.pmod("class", F.lit(salts)).cast("int"))
     sent = sent.join(large, (F.col("pivot") == F.col("_pivot")) & (F.col("salt") == F.col("_salt")), "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))

@@ -176,6 +176,32 @@ def test_op2_blocks_of_a_large_group(spark):
     assert got == expected_near(rows)
 
 
+def test_op2_blocks_of_long_texts(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(d, " ".join(f"x{d}" if k in set(rng.choice(400, 3).tolist()) else w for k, w in enumerate(base)), "a") for d in range(24)]
+    assert near_rows(jaccard.join_near(docs_of(spark, rows), block_bytes=16000)) == expected_near(rows)
+
+
+def test_op2_members_take_no_more_than_their_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size = 16, 20000
+    rng = np.random.default_rng(5)
+    table = pa.table({
+        "class": list(range(n)), "signature": [bytes(4 * jaccard.BANDS * jaccard.ROWS)] * n, "bands": [[0]] * n, "pivots": [[0]] * n,
+        "shingles": [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)).tobytes() for _ in range(n)],
+    })
+    tracemalloc.start()
+    members = jaccard._Members(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("bytes a shingle", peak / n / size)
+    assert len(members.sets) == n and peak < 3 * 8 * n * size
+
+
 def test_op2_pruning_keeps_what_can_reach_the_threshold():
     least = jaccard.least_matches(0.8)
     assert list(least) == sorted(least) and all(m < 0.8 * (k + 1) * jaccard.STEP for k, m in enumerate(least))
