@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,14 +13,32 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where none is
-    set (tests, a laptop) a temporary folder is used.
+    set and the master is local (tests, a laptop) a temporary folder is used; on a cluster its
+    executors couldn't read one.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The folder of checkpoints and of files that live as long as a query."""
+    sc = session.sparkContext
+    if not sc.getCheckpointDir():
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """A column name that none of ``taken`` is, whatever its case."""
+    out, used = f"_{name}", {x.lower() for x in taken}
+    while out.lower() in used:
+        out = f"_{out}"
+    return out
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text, null apart from empty; with the doc_id it names a row."""
     return F.xxhash64(text, F.isnull(text))

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import settle, text_key
+from lodestone.llm.common import fresh, settle, text_key
 
 #: The seeded hash's leading bits that cut a pattern's documents into bins.
 BIN_BITS = 12
-#: Patterns and sources that the flow network may hold on the driver.
+#: Pairs of a pattern and a source that the flow network may hold on the driver.
 MAX_ARCS = 1_000_000
 
 
@@ -44,55 +44,69 @@ def quotas(sizes: dict, weights: dict, total: float, most: float) -> dict:
 
 
 def min_cost_flow(supply: dict[tuple, int], demand: dict, costs: Sequence[float]) -> dict[tuple, int]:
-    """Words that flow from each (pattern, source); successive cheapest paths.
+    """Words that flow from each (pattern, source): a cheapest flow among the largest.
 
-    ``costs`` are those of the first, second, ... use of a word. Paths may
-    take back what an earlier one gave, so the result is a cheapest flow among
-    the largest.
+    ``costs`` are those of the first, second, ... use of a word. Only the way
+    into a pattern costs anything, the same for all patterns. So the first uses
+    are filled as far as they go, then the second ones on top of them, each
+    a largest flow by shortest ways, all of one length at a time; later ways may
+    take back what an earlier one gave a source.
     """
-    graph: list[list[list]] = []  # node -> arcs [to, room, cost, number of the reverse arc]
-
-    def node() -> int:
-        graph.append([])
-        return len(graph) - 1
-
-    def arc(a: int, b: int, room: int, cost: float) -> list:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-        return graph[a][-1]
-
-    start, end = node(), node()
-    sources = {s: node() for s in demand}
+    patterns = sorted(supply, key=lambda p: [(s is None, s or "") for s in p])
+    sources = {s: 1 + len(patterns) + k for k, s in enumerate(demand)}
+    start, end = 0, 1 + len(patterns) + len(sources)
+    arcs: list[list[int]] = [[] for _ in range(end + 1)]  # of each node; an arc's reverse is its number xor 1
+    to: list[int] = []
+    room: list[int] = []
+
+    def arc(a: int, b: int, most: int) -> int:
+        arcs[a].append(len(to))
+        arcs[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((most, 0))
+        return len(to) - 2
+
+    into = [arc(start, 1 + k, 0) for k in range(len(patterns))]
+    used = {(p, s): arc(1 + k, sources[s], supply[p] * len(costs)) for k, p in enumerate(patterns) for s in p if s in sources}
     for s, q in demand.items():
-        arc(sources[s], end, q, 0)
-    used = {}
-    for pattern, words in supply.items():
-        p = node()
-        for c in costs:
-            arc(start, p, words, c)
-        for s in pattern:
-            if s in sources:
-                used[pattern, s] = (arc(p, sources[s], words * len(costs), 0), words * len(costs))
-    while True:
-        far, back, queue = {start: 0.0}, {}, [start]
-        while queue:
-            a = queue.pop(0)
-            for k, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and far[a] + cost < far.get(b, float("inf")) - 1e-9:
-                    far[b], back[b] = far[a] + cost, (a, k)
-                    if b not in queue:
-                        queue.append(b)
-        if end not in far:
-            return {k: full - a[1] for k, (a, full) in used.items() if full > a[1]}
-        path, b = [], end
-        while b != start:
-            a, k = back[b]
-            path.append(graph[a][k])
-            b = a
-        room = min(x[1] for x in path)
-        for x in path:
-            x[1] -= room
-            graph[x[0]][x[3]][1] += room
+        arc(sources[s], end, q)
+
+    def distances() -> list[int]:
+        far = [-1] * (end + 1)
+        far[start], layer = 0, [start]
+        while layer and far[end] < 0:
+            after = []
+            for a in layer:
+                for k in arcs[a]:
+                    if room[k] and far[to[k]] < 0:
+                        far[to[k]] = far[a] + 1
+                        after.append(to[k])
+            layer = after
+        return far
+
+    for _ in costs:
+        for k, p in enumerate(patterns):
+            room[into[k]] += supply[p]
+        while (far := distances())[end] >= 0:
+            at, way = [0] * (end + 1), []
+            while True:
+                a = to[way[-1]] if way else start
+                if a == end:
+                    most = min(room[k] for k in way)
+                    for k in way:
+                        room[k] -= most
+                        room[k ^ 1] += most
+                    way = way[: next(i for i, k in enumerate(way) if not room[k])]
+                    continue
+                while at[a] < len(arcs[a]) and not (room[k := arcs[a][at[a]]] and far[to[k]] == far[a] + 1):
+                    at[a] += 1
+                if at[a] < len(arcs[a]):
+                    way.append(arcs[a][at[a]])
+                elif way:
+                    at[to[way.pop() ^ 1]] += 1
+                else:
+                    break
+    return {x: room[k ^ 1] for x, k in used.items() if room[k ^ 1]}
 
 
 def mix(
@@ -116,7 +130,9 @@ def mix(
     Returns ``doc_id, text_key, size, pattern, copies, taken`` (``taken`` is
     ``copies * size``) and its sources' ``sizes`` and ``targets``. Rows without
     sources or words are taken 0 times. Equal rows are separate documents. Reruns
-    agree: the order is a hash of seed and doc_id, ties by text.
+    agree: the order is a hash of seed and doc_id (of seed and text where that is
+    null), ties by text. More than ``MAX_ARCS`` pairs of a pattern and a source
+    raise an error; the number of documents has no bound.
     """
     if len(repeat_costs) != max_copies or list(repeat_costs) != sorted(repeat_costs):
         raise ValueError("repeat_costs needs max_copies rising costs")
@@ -160,7 +176,7 @@ def mix(
     last = bins.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
     last = F.broadcast(last.select(F.col("pattern").alias("_pattern"), F.col("bin").alias("last_bin"), "before"))  # a row for each pattern at most
     drawn = drawn.join(last, F.col("pattern").eqNullSafe(F.col("_pattern")), "left").drop("_pattern")
-    at_end = F.col("bin").eqNullSafe(F.col("last_bin")) & (F.col("rest") > 0)
+    at_end = F.col("bin").eqNullSafe(F.col("last_bin")) & (F.col("rest") > 0) & (F.col("size") > 0)
     order = Window.partitionBy("pattern", "bin").orderBy("draw", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = drawn.where(at_end).withColumn("more", ((F.col("before") + F.sum("size").over(order)) <= F.col("rest")).cast("long"))
     others = drawn.where(~at_end).withColumn(
@@ -176,8 +192,9 @@ def mix(
 
 
 def _draw(seed: int) -> Column:
-    """60 bits of an MD5 of seed and doc_id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+    """60 bits of an MD5 of seed and doc_id; rows without a doc_id are drawn by their texts."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_key").cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _lookup(values: dict, pattern: str) -> Column:
@@ -210,19 +227,32 @@ def digest(mixed: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, *, source: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns.
 
-    Rows that are equal in doc_id and text share what they are taken together.
+    Rows that are equal in doc_id, text and source share what they are taken
+    together: each as often as all of them, the first few once more. They are
+    numbered by the partitions that hold them, so that no task gets them all.
     """
+    names = {k: fresh(k, docs.columns) for k in ("id", "key", "source", "copies", "rows", "part", "at", "nth")}
+    c = {k: F.col(f"`{v}`") for k, v in names.items()}
     taken = by_source(docs, source, **options).select(
-        F.col("doc_id").alias("_m_id"), F.col("text_key").alias("_m_key"), F.element_at("pattern", 1).alias("_m_source"), F.col("copies").alias("_m_copies")
-    )
-    taken = taken.groupBy("_m_id", "_m_key", "_m_source").agg(F.sum("_m_copies").alias("_m_copies"), F.count("*").alias("_m_rows"))
-    same = docs["doc_id"].eqNullSafe(taken["_m_id"]) & (text_key(docs["text"]) == taken["_m_key"]) & docs[source].cast("string").eqNullSafe(taken["_m_source"])
-    per_row = F.ceil(taken["_m_copies"] / taken["_m_rows"]).cast("int")
-    return (
-        docs.join(taken.where("_m_copies > 0"), same)
-        .select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), per_row)).alias("_m_nth"))
-        .drop("_m_nth")
+        F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.element_at("pattern", 1).alias(names["source"]), F.col("copies").alias(names["copies"])
     )
+    same_row = [names[k] for k in ("id", "key", "source")]
+    taken = taken.groupBy(*same_row).agg(F.sum(c["copies"]).alias(names["copies"]), F.count("*").alias(names["rows"])).where(c["copies"] > 0)
+    same = docs["doc_id"].eqNullSafe(taken[names["id"]]) & (text_key(docs["text"]) == taken[names["key"]]) & docs[source].cast("string").eqNullSafe(taken[names["source"]])
+    joined = docs.join(taken, same)
+    many = joined.where(c["rows"] > 1).withColumns({names["part"]: F.spark_partition_id(), names["at"]: F.monotonically_increasing_id()})
+    many = settle(many)
+    held = many.groupBy(*same_row, names["part"]).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*same_row).orderBy(names["part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*(c[k].alias(f"_{n}") for n, k in enumerate(("id", "key", "source", "part"))), before.alias("_before"))
+    here = c["id"].eqNullSafe(F.col("_0")) & (c["key"] == F.col("_1")) & c["source"].eqNullSafe(F.col("_2")) & (c["part"] == F.col("_3"))
+    own = F.row_number().over(Window.partitionBy(*same_row, names["part"]).orderBy(names["at"])) - 1
+    many = many.withColumn(names["nth"], own).join(held, here)
+    extra = (F.col("_before") + c["nth"] < F.pmod(c["copies"], c["rows"])).cast("long")
+    plain = [F.col(f"`{x}`") for x in docs.columns]
+    many = many.select(*plain, (F.floor(c["copies"] / c["rows"]) + extra).cast("int").alias(names["copies"])).where(c["copies"] > 0)
+    one = joined.where(c["rows"] == 1).select(*(docs[x] for x in docs.columns), c["copies"].cast("int").alias(names["copies"]))
+    return one.unionByName(many).select(*plain, F.explode(F.sequence(F.lit(1), c["copies"])).alias(names["nth"])).drop(names["nth"])
 
 
 ORACLE = """

@@ -434,7 +434,44 @@ def test_op7_edges(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     repeated = mixing.repeated(docs)
     assert repeated.columns == docs.columns and repeated.count() > 0
-    assert mixing.by_source(docs.limit(0)).count() == 0
+    assert mixing.by_source(docs.limit(0)).count() == mixing.repeated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_op7_repeated_rows_are_not_overdrawn(spark, seed):
+    rows = [(1, "one two three", "a")] * 7 + [(2, "x " * 30, "b"), (3, "y " * 9, "b"), (None, "z z", "c"), (None, "z z", "c"), (None, "q", "c"), (None, None, None)]
+    rows += [(None, f"w{k} " * 5, "a") for k in range(40)]
+    docs = docs_of(spark, rows).withColumn("_id", F.lit("clash")).withColumn("_copies", F.lit(9))
+    taken, emitted = Counter(), Counter()
+    for r in mixing.by_source(docs, seed=seed).collect():
+        taken[r["doc_id"], r["size"]] += r["copies"]
+    got = mixing.repeated(docs.repartition(3), seed=seed).collect()
+    for r in got:
+        emitted[r["doc_id"], len((r["text"] or "").split())] += 1
+    assert +taken == emitted
+    assert all(r["_id"] == "clash" and r["_copies"] == 9 for r in got)
+
+
+def test_op7_flow_is_cheapest_of_the_largest():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        names = [f"s{k}" for k in range(4)]
+        supply = {p: int(rng.integers(0, 20)) for p in {tuple(sorted(rng.choice(names, rng.integers(1, 4), replace=False).tolist())) for _ in range(6)}}
+        demand = {s: int(rng.integers(0, 40)) for s in names}
+        flow = mixing.min_cost_flow(supply, demand, (0, 1))
+        into, out = Counter(), Counter()
+        for (p, s), n in flow.items():
+            assert s in p and n > 0
+            into[p] += n
+            out[s] += n
+        assert all(n <= 2 * supply[p] for p, n in into.items()) and all(n <= demand[s] for s, n in out.items())
+        # A cut that is as small as the flow shows that no flow is larger; with single uses the first level is as large as can be.
+        most = lambda copies: min(
+            sum(demand[s] for s in side) + sum(copies * n for p, n in supply.items() if not set(p) <= set(side))
+            for side in ([s for k, s in enumerate(names) if bits >> k & 1] for bits in range(16))
+        )
+        assert sum(into.values()) == most(2)
+        assert sum(min(into[p], supply[p]) for p in supply) == most(1)
 
 
 def test_op7_overlapping_sources(spark):
