@@ -2,7 +2,7 @@
 
 Per kind, a prefix tree of character classes is grown from a bounded sample of
 labelled credentials, and states whose outgoing frequencies are statistically
-compatible (Hoeffding bounds, tested down the tree) are merged into a
+compatible (Hoeffding bounds, tested ``DEPTH`` moves down the tree) are merged into a
 probabilistic automaton. Every other token of six characters or more is a candidate: it
 is a secret of the kind ``format`` if one automaton makes it likelier, a character, than a
 background model of all candidates does, by no less than all but a twentieth of
@@ -11,6 +11,7 @@ the labelled ones do.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,6 +31,10 @@ _NAMES = re.compile(rb"passw|secret|token|api_?key", re.I)
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 #: Labelled credentials of each kind from which automata are learnt; the smallest hashes of the whole corpus.
 SAMPLE = 600
+#: Only credentials of at most this many characters are learnt from; longer ones are scored like the others.
+LONGEST = 256
+#: Moves over which two states are compared, and states of an automaton; when it is full, a state joins the nearest one.
+DEPTH, MAX_STATES = 12, 256
 #: Distinct words that a task counts or judges at a time.
 CACHED_WORDS = 200_000
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_", ".", "=", "-")
@@ -89,21 +94,23 @@ class Automaton:
         self._merge()
         self._fix()
 
-    def _differ(self, n: int, of: int, m: int, total: int) -> bool:
-        return of > 0 and total > 0 and abs(n / of - m / total) > self.root * (1 / math.sqrt(of) + 1 / math.sqrt(total))
-
-    def _compatible(self, a: int, b: int) -> bool:
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            if self._differ(self.ends[a], self.seen[a], self.ends[b], self.seen[b]):
-                return False
+    def _gap(self, n: int, of: int, m: int, total: int) -> float:
+        """By how many bounds two shares lie apart; above one they differ."""
+        if not of or not total:
+            return 0.0
+        return abs(n / of - m / total) / (self.root * (1 / math.sqrt(of) + 1 / math.sqrt(total)))
+
+    def _apart(self, a: int, b: int, most: float) -> float:
+        """The largest gap between what two states see, ``DEPTH`` moves down; stops beyond ``most``."""
+        worst, stack = 0.0, [(a, b, DEPTH)]
+        while stack and worst <= most:
+            a, b, left = stack.pop()
+            worst = max(worst, self._gap(self.ends[a], self.seen[a], self.ends[b], self.seen[b]))
             for c in self.moves[a].keys() | self.moves[b].keys():
-                if self._differ(self.moves[a][c], self.seen[a], self.moves[b][c], self.seen[b]):
-                    return False
-                if c in self.next[a] and c in self.next[b]:
-                    stack.append((self.next[a][c], self.next[b][c]))
-        return True
+                worst = max(worst, self._gap(self.moves[a][c], self.seen[a], self.moves[b][c], self.seen[b]))
+                if left and c in self.next[a] and c in self.next[b]:
+                    stack.append((self.next[a][c], self.next[b][c], left - 1))
+        return worst
 
     def _fold(self, a: int, b: int) -> None:
         """Add the tree below b to the automaton at a."""
@@ -120,20 +127,43 @@ class Automaton:
                     self.next[a][c] = self.next[b][c]
 
     def _merge(self) -> None:
-        red = [0]
-        while True:
-            blue = [(s, c, t) for s in red for c, t in sorted(self.next[s].items()) if t not in red]
-            if not blue:
-                self.states = red
-                return
-            s, c, t = max(blue, key=lambda x: (self.seen[x[2]], -x[0], -x[1]))
+        """States settle in the order of how often they are seen; a queue holds those one move off the settled ones."""
+        red, settled = [0], {0}
+        queue: list[tuple[int, int, int]] = []
+
+        def reach(s: int) -> None:
+            for c, t in self.next[s].items():
+                if t not in settled:
+                    heapq.heappush(queue, (-self.seen[t], s, c))
+
+        reach(0)
+        while queue:
+            seen, s, c = heapq.heappop(queue)
+            t = self.next[s][c]
+            if t in settled:
+                continue
+            if -seen != self.seen[t]:  # a fold below a settled state has added to it
+                heapq.heappush(queue, (-self.seen[t], s, c))
+                continue
+            full, best = len(red) >= MAX_STATES, None
             for r in red:
-                if self._compatible(r, t):
-                    self.next[s][c] = r
-                    self._fold(r, t)
-                    break
-            else:
+                gap = self._apart(r, t, best[0] if full and best else 1.0 if not full else float("inf"))
+                if gap <= 1 or full and (best is None or gap < best[0]):
+                    best = (gap, r)
+                    if gap <= 1:
+                        break
+            if best is None:
                 red.append(t)
+                settled.add(t)
+                reach(t)
+            else:
+                self.next[s][c] = best[1]
+                self._fold(best[1], t)
+                # What was folded in may have opened moves at any settled state.
+                for r in red:
+                    if any(x not in settled for x in self.next[r].values()):
+                        reach(r)
+        self.states = red
 
     def _fix(self) -> None:
         # Half an occurrence is added to each class and to the end, so that few words give a broad automaton.
@@ -208,7 +238,8 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     Returns ``doc_id, text_key, spans`` (array of ``start, kind, end``; ``kind``
     as numbered in ``KINDS``; code points, end exclusive), sorted by start, then kind.
     The patterns' spans all stay. A null text is empty. Rows that repeat are
-    scanned each. A kind without a labelled credential has no automaton.
+    scanned each. A kind without a labelled credential of at most ``LONGEST``
+    characters has no automaton. Candidates of any length are scored.
     """
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,7 +269,8 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     ordinary = np.zeros((len(_CLASSES) + 1) ** 2, np.int64)
     for r in counted.where("move IS NOT NULL").groupBy("move").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
         ordinary[r["move"]] = r["n"]
-    formats = Formats({KINDS[k]: _sample(counted.where(F.col("kind") == k), sample) for k in range(3)}, ordinary.reshape(len(_CLASSES) + 1, -1))
+    short = counted.where(F.octet_length("value") <= LONGEST)
+    formats = Formats({KINDS[k]: _sample(short.where(F.col("kind") == k), sample) for k in range(3)}, ordinary.reshape(len(_CLASSES) + 1, -1))
     sent = docs.sparkSession.sparkContext.broadcast(formats)
 
     def score(batches):
