@@ -15,6 +15,7 @@ Decoding looks up ``MAX_BITS`` bits in a table, all lanes of a block abreast.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from lodestone.llm.common import settle, text_key
+from lodestone.llm.common import settle, shared_folder, text_key
 
 LANE = 64
 MAX_BITS = 16
@@ -44,6 +45,30 @@ CACHED_WORDS = 600_000
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-/:-@\\[-`{-~]*)")
 
 
+#: The normaliser and splitter for which a text's ids are those of its words.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer is of the kind that :class:`WordIds` knows; its special tokens hold no white space."""
+    own = json.loads(tokenizer.to_str())
+    known = own["normalizer"] == _NORMALISER and own["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLITTER, _BYTES]}
+    plain = own["model"]["type"] == "BPE" and not own["model"]["dropout"] and not own["truncation"] and not own["padding"]
+    return known and plain and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in own["added_tokens"])
+
+
+class TextIds:
+    """Little-endian 16-bit ids of whole texts, by the library alone."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.encode = tokenizer.encode
+
+    def text(self, text: bytes) -> bytes:
+        return array("H", self.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+
+
 class WordIds(dict):
     """Little-endian 16-bit ids of a word; words are split at ASCII white space.
 
@@ -96,9 +121,12 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One for a Python worker, which its later tasks find filled."""
-    return WordIds(Tokenizer.from_file(path))
+def word_ids(path: str) -> WordIds | TextIds:
+    """One for a Python worker, which its later tasks find filled; whole texts where words aren't known to do."""
+    tokenizer = Tokenizer.from_file(path)
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("ids don't fit into 16 bits")
+    return WordIds(tokenizer) if by_words(tokenizer) else TextIds(tokenizer)
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -237,7 +265,8 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
     Each document's ids are followed by ``end_id``; a null text has no others.
     Documents stand in ascending doc_id order (null first), repeated doc_ids by a
     hash of their text, equal rows as often as they come. The tokenizer must
-    have fewer than 65,536 ids. No documents give empty tables.
+    have at most 65,536 ids; one of another kind than :func:`by_words` knows
+    encodes whole texts. No documents give empty tables.
     """
     session = docs.sparkSession
     staged = settle(_tokenise(docs, tokenizer, end_id))
@@ -316,7 +345,6 @@ def read_tokens(session: SparkSession, folder: str, *, digest: bool = False) ->
 def round_trip(docs: DataFrame, *, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write to a new folder beside the checkpoints and read it back as digests."""
     session = docs.sparkSession
-    settle(session.range(1))  # sets a folder where the session has none
-    folder = f"{session.sparkContext.getCheckpointDir()}/token-ids-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(session)}/token-ids-{uuid.uuid4().hex}"
     write_tokens(docs, folder, tokenizer=tokenizer, end_id=end_id)
     return read_tokens(session, folder, digest=True)

@@ -266,8 +266,12 @@ def test_op3_cover_is_complete():
 
 
 def expected_lines(docs, size=3):
-    seen, out = set(), []
+    seen, out, before = set(), [], None
     for doc_id, text, *_ in docs:
+        if before and before[:2] == (doc_id, text):
+            out.append(out[-1])
+            continue
+        before = (doc_id, text)
         ls = [] if text is None else text.split("\n")
         gone = set()
         for k in range(len(ls) - size + 1):
@@ -285,6 +289,7 @@ def expected_lines(docs, size=3):
 def test_op4_edges(spark):
     rows = [(None, "x\ny\nz", "c"), (1, None, "a"), (2, "", "a"), (3, "a\nb", "a"), (4, "\n\n\n\n", "a"), (5, "\n\n\n\n", "a"), (8, "x\ny\nz\nx\ny\nz", "a")]
     rows += [(9, "q\nx\ny\nz\nr", "a"), (10, "y\nz\nx\ny", "b"), (11, "\n".join(["same"] * 3000), "b")]
+    rows += [(12, "r1\nr2\nr3\nr4", "a"), (12, "r1\nr2\nr3\nr4", "a")]  # equal rows are one document
     docs = docs_of(spark, rows).withColumn("covered", F.lit(1))
     got = sorted((tuple(r) for r in lines.digest(lines.dedup_lines(docs)).collect()), key=str)
     assert got == expected_lines(rows)
@@ -323,7 +328,7 @@ def test_op5_frequent_lines(spark):
     rows = [(d, f"Common  Line here\n{body(d)}", "h") for d in range(30)]
     rows += [(100, "common line HERE " + "\ncommon line here" * 30, "h"), (101, f"common line here\n{body(101)}", None)]
     rows += [(200 + d, "the same text " + body(200), "h") for d in range(20)]
-    docs = docs_of(spark, rows).withColumn("host", F.lit(1)).withColumn("kept", F.lit(1))
+    docs = docs_of(spark, rows).withColumn("host", F.lit(1)).withColumn("kept", F.lit(1)).withColumn("_v_lines", F.lit(1)).withColumn("_LINES", F.lit("clash"))
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert got[3]["kept"] and got[3]["n_removed_words"] == 3
     assert got[101]["kept"] and got[101]["n_removed_words"] == 0
@@ -332,7 +337,7 @@ def test_op5_frequent_lines(spark):
     left = {r["doc_id"]: r for r in quality.filtered(docs).collect()}
     assert left[3]["text"] == body(3) and left[3]["n_chars"] == len(body(3)) and 100 not in left
     assert quality.filtered(docs).columns == docs.columns
-    assert quality.filtered(docs.limit(0)).count() == 0
+    assert quality.filtered(docs.limit(0)).count() == quality.judge(docs.limit(0)).count() == 0
 
 
 # --- op6
@@ -557,6 +562,17 @@ def test_op9_against_the_library(spark, table):
     assert got == expected
 
 
+def test_op9_other_tokenizers_encode_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.by_words(Tokenizer.from_file(queries.tokenizer_file())) and not tokens.by_words(Tokenizer.from_file(path))
+    whole = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids_crc32"] for r in tokens.round_trip(docs_of(spark, EDGE), tokenizer=path).collect()}
+    assert got == {i: zlib.crc32(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, _ in EDGE}
+
+
 def test_op9_edges(spark):
     import tempfile
 
