@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle, text_key
+from lodestone.llm.common import fresh, settle, text_key
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -167,16 +167,17 @@ def without_lines(text: bytes, frequent: set[int]) -> bytes:
 def filtered(docs: DataFrame, *, host: str = "source", **options) -> DataFrame:
     """The kept documents with their frequent lines removed; other columns stay, ``n_chars`` (if there) is counted anew."""
     verdicts = judge(docs, host=host, **options).where("kept")
+    lines_name = fresh("lines", docs.columns)
     verdicts = verdicts.select(
-        F.col("doc_id").alias("_v_id"), F.col("host").alias("_v_host"), F.col("text_key").alias("_v_key"), F.col("frequent_lines").alias("_v_lines")
+        F.col("doc_id").alias("_v_id"), F.col("host").alias("_v_host"), F.col("text_key").alias("_v_key"), F.col("frequent_lines").alias(lines_name)
     ).distinct()
     same = (
         docs["doc_id"].eqNullSafe(verdicts["_v_id"])
         & docs[host].cast("string").eqNullSafe(verdicts["_v_host"])
         & (text_key(docs["text"]) == verdicts["_v_key"])
     )
-    joined = docs.join(verdicts, same).select(*(docs[c] for c in docs.columns if c != "text"), docs["text"].cast("binary").alias("text"), verdicts["_v_lines"])
-    at, lines_at = joined.columns.index("text"), joined.columns.index("_v_lines")
+    joined = docs.join(verdicts, same).select(*(docs[c] for c in docs.columns if c != "text"), docs["text"].cast("binary").alias("text"), verdicts[lines_name])
+    at, lines_at = joined.columns.index("text"), joined.columns.index(lines_name)
 
     def strip(batches):
         for batch in batches:
@@ -188,7 +189,7 @@ def filtered(docs: DataFrame, *, host: str = "source", **options) -> DataFrame:
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, [x for i, x in enumerate(batch.schema.names) if i != lines_at])
 
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_v_lines")
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in joined.schema.fields if f.name != lines_name)
     out = joined.mapInArrow(strip, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
