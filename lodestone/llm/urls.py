@@ -4,17 +4,21 @@ Level 1 encodes the listed keys; level 2 those of all other keys of the corpus
 that pass level 1; level 3 the listed keys that pass level 2; and so on until
 no key passes wrongly. The first level that a key misses then decides, exactly
 for every key of the corpus, without a join.
+
+Long lists are dealt into blocks by a hash of the key, each with a cascade of
+bounded size; the pages are then written once, by block, and every block reads its own.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle
+from lodestone.llm.common import settle, shared_folder
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path)
@@ -25,6 +29,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Bytes that a filter may take; it is a constant of the plan.
+LEVEL_BYTES = 4 << 20
 #: Parts of host names that put a host on the block list of the query.
 LISTED_NAMES = ("adult", "ads-track", "casino", "pills", "spam", "bets")
 
@@ -67,29 +73,45 @@ class Level:
         return out
 
 
-def build_level(keys: DataFrame, number: int, n: int, rate: float, max_bytes: int) -> Level:
-    """The Bloom filter of ``n`` keys with about this rate of false positives."""
-    words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if 8 * words > max_bytes:
-        raise ValueError(f"a level of {8 * words} bytes; use more blocks of keys")
-    level = Level(number, [0] * words, max(1, round(-math.log2(rate))))
+def level_words(n: float, rate: float) -> int:
+    """64-bit words of a Bloom filter of ``n`` keys with about this rate of false positives."""
+    return max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
+
+
+def first_rate(listed: float, others: float) -> float:
+    """False positives of the first level: about 0.7 times as many as there are listed keys."""
+    return min(0.5, 0.7 * listed / max(others, 1))
+
+
+def n_blocks(listed: int, others: int, level_bytes: int) -> int:
+    """Blocks of keys such that no level takes more than ``level_bytes``.
+
+    The first level is the largest: a later one has at most as many keys, at a rate of a half. A
+    block's share of the listed keys lies below a mean of some hundreds at least
+    plus eight times its root; a tenth is left for that.
+    """
+    need = 8 * level_words(listed, min(first_rate(listed, others), 0.5)) if listed else 0
+    return 1 if need <= level_bytes else math.ceil(1.1 * need / level_bytes)
+
+
+def build_level(keys: DataFrame, number: int, n: int, rate: float) -> Level:
+    level = Level(number, [0] * level_words(n, rate), max(1, round(-math.log2(rate))))
     spots = keys.select(F.explode(F.array(*level.places(F.col("key")))).alias("p"))
     bits = spots.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) AS int))")).alias("bits")
     )
-    for r in bits.collect():  # max_bytes bounds it
+    for r in bits.collect():  # about LEVEL_BYTES: blocks are cut so
         level.words[r["w"]] = r["bits"]
     return level
 
 
-def build_cascade(keys: DataFrame, *, max_bytes: int = 4 << 20) -> list[Level]:
+def build_cascade(keys: DataFrame) -> list[Level]:
     """Levels for distinct ``key``s with ``listed``; the keys must be the complete universe."""
     inside, outside = keys.where("listed"), keys.where(~F.col("listed"))
     levels: list[Level] = []
     n, others = inside.count(), outside.count()
     while n:
-        first = min(0.5, 0.7 * n / max(others, 1)) if not levels else 0.5
-        level = build_level(inside, len(levels), n, first, max_bytes)
+        level = build_level(inside, len(levels), n, 0.5 if levels else first_rate(n, others))
         levels.append(level)
         wrong = settle(outside.where(level.holds(F.col("key"))))
         n, others = wrong.count(), n
@@ -110,7 +132,7 @@ def judge_urls(
     listed: DataFrame,
     *,
     rules: Sequence[tuple[str, str, str]] = RULES,
-    block_keys: int = 2_000_000,
+    level_bytes: int = LEVEL_BYTES,
 ) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict``.
 
@@ -120,8 +142,7 @@ def judge_urls(
     path. Null and repeated keys of ``listed`` and those that no page has are
     of no effect; repeated pages stay repeated.
 
-    A cascade encodes at most about ``block_keys`` listed keys; beyond, the keys
-    are dealt by their hash into blocks, each with its own cascade and pass.
+    A level takes about ``level_bytes`` at most: more listed keys are dealt into blocks.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -129,43 +150,51 @@ def judge_urls(
     seen = rows.select("host", F.lit(False).alias("listed"))
     both = listing.unionByName(seen).groupBy(F.col("host").alias("key")).agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("unseen"))
     keys = settle(both.where(~F.col("unseen")).select("key", "listed"))
-    n = keys.where("listed").count()
-    blocks = math.ceil(n / block_keys) if n > block_keys else 1
-    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks))
+    counts = keys.agg(F.count_if("listed").alias("n"), F.count("*").alias("all")).first()
+    blocks = n_blocks(counts["n"], counts["all"] - counts["n"], level_bytes)
     chosen = fitting_rule(F.col("host"), F.col("path"), rules)
-    parts = []
+    rows = rows.withColumn("chosen", chosen).select("page_id", "host", "path", F.col("chosen.rule").alias("rule"), F.col("chosen.verdict").alias("verdict"))
+
+    def judged(own: DataFrame, levels: Sequence[Level]) -> DataFrame:
+        listed_host = F.when(in_cascade(F.col("host"), levels), "block").otherwise("allow")
+        return own.select("page_id", "host", "path", "rule", F.coalesce("verdict", listed_host).alias("verdict"))
+
+    if blocks == 1:
+        return judged(rows, build_cascade(keys))
+    folder = f"{shared_folder(pages.sparkSession)}/url-blocks-{uuid.uuid4().hex}"
+    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks)).cast("int").alias("block")
+    written = {"keys": keys.select("*", block(F.col("key"))), "rows": rows.select("*", block(F.col("host")))}
+    for name, frame in written.items():
+        frame.write.partitionBy("block").parquet(f"{folder}/{name}")
+    own = {name: pages.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}") for name, frame in written.items()}
+    out = None
     for k in range(blocks):
-        own = rows if blocks == 1 else rows.where(block(F.col("host")) == k)
-        levels = build_cascade(keys if blocks == 1 else keys.where(block(F.col("key")) == k))
-        judged = own.withColumn("chosen", chosen).select(
-            "page_id",
-            "host",
-            "path",
-            F.col("chosen.rule").alias("rule"),
-            F.coalesce("chosen.verdict", F.when(in_cascade(F.col("host"), levels), "block").otherwise("allow")).alias("verdict"),
-        )
-        parts.append(judged if blocks == 1 else settle(judged))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = judged(own["rows"].where(F.col("block") == k), build_cascade(own["keys"].where(F.col("block") == k).drop("block")))
+        part = settle(part)  # so that a plan holds one cascade
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def listed_hosts(pages: DataFrame, names: Sequence[str] = LISTED_NAMES) -> DataFrame:
-    """The block list of the query: the pages' hosts that have one of the names as a part."""
-    host = host_of(F.col("url"))
-    return pages.select(host.alias("key")).where(F.col("key").rlike("|".join(names))).distinct()
+def listed_hosts(pages: DataFrame, names: Sequence[str] = LISTED_NAMES, cut_share: float = 0.5) -> DataFrame:
+    """The block list of the query: hosts that have one of the names as a part, and those of whose pages so large a share is cut off.
+
+    A page is cut off if its html is null or lacks the closing tag. The empty host isn't listed.
+    """
+    cut = F.coalesce(~F.contains("html", F.lit("</html>")), F.lit(True))
+    hosts = pages.select(host_of(F.col("url")).alias("key"), cut.cast("int").alias("cut")).groupBy("key").agg(F.avg("cut").alias("share"))
+    return hosts.where((F.col("key") != "") & (F.col("key").rlike("|".join(names)) | (F.col("share") >= cut_share))).select("key")
 
 
 ORACLE = f"""
 WITH parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(NOT contains(html, '</html>'), true)::INT AS cut FROM pages),
 rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in RULES)}),
 fitting AS (
   SELECT page_id, arg_max(h || p, len(h || p)) AS rule, arg_max(verdict, len(h || p)) AS verdict
-  FROM parsed JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+  FROM parsed JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+listed AS (SELECT host FROM parsed WHERE host <> '' GROUP BY host HAVING avg(cut) >= 0.5 OR regexp_matches(host, '{"|".join(LISTED_NAMES)}'))
 SELECT a.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '{"|".join(LISTED_NAMES)}') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed a LEFT JOIN fitting f ON f.page_id = a.page_id
 """

@@ -536,12 +536,30 @@ def test_op8_edges(spark):
     assert urls.judge_urls(pages.limit(0), listed).count() == 0
 
 
-@pytest.mark.parametrize("block_keys", [2_000_000, 150])
-def test_op8_cascade_is_exact(spark, block_keys):
-    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.format_string("x://h%d.net/", "id").alias("url"))
-    listed = spark.range(0, 4000, 9).select(F.format_string("h%d.net", "id").alias("key"))
-    got = urls.judge_urls(pages, listed, rules=(), block_keys=block_keys).collect()
-    assert all((r["verdict"] == "block") == (r["page_id"] % 9 == 0) for r in got) and len(got) == 4000
+@pytest.mark.parametrize("level_bytes", [4 << 20, 160])
+def test_op8_cascade_is_exact(spark, level_bytes):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.format_string("x://h%d.net/", "id").alias("url")).withColumn("block", F.lit("clash"))
+    chosen = {int(k) for k in np.random.default_rng(7).choice(4000, 450, replace=False)}  # no pattern describes them
+    listed = spark.createDataFrame([(f"h{k}.net",) for k in sorted(chosen)], "key string").withColumn("listed", F.lit("clash"))
+    got = urls.judge_urls(pages, listed, rules=(), level_bytes=level_bytes).collect()
+    assert len(got) == 4000 and {r["page_id"] for r in got if r["verdict"] == "block"} == chosen
+    assert urls.judge_urls(pages, listed.limit(0), rules=(), level_bytes=level_bytes).where("verdict = 'block'").count() == 0
+
+
+@pytest.mark.parametrize("listed, others", [(1, 10**6), (10**6, 10**6), (10**7, 10**10), (10**9, 10**11)])
+def test_op8_blocks_bound_their_levels(listed, others):
+    blocks = urls.n_blocks(listed, others, urls.LEVEL_BYTES)
+    share = listed / blocks + (8 * (listed / blocks) ** 0.5 if blocks > 1 else 0)
+    assert 8 * urls.level_words(share, urls.first_rate(share, others / blocks)) <= urls.LEVEL_BYTES
+    assert blocks == 1 or blocks < 4 * urls.level_words(listed, urls.first_rate(listed, others)) * 8 / urls.LEVEL_BYTES
+
+
+def test_op8_block_list_comes_from_the_pages(spark):
+    rows = [(1, "x://a.net/1", "<p></html>"), (2, "x://a.net/2", "<p>"), (3, "x://b.net/", "<p></html>"), (4, "x://c.net/", None), (5, "x://m.adult-x.net/", "</html>"), (6, None, ""), (7, "x://" + "d" * 50000, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["key"] for r in urls.listed_hosts(pages).collect()} == {"a.net", "c.net", "m.adult-x.net", "d" * 50000}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, urls.listed_hosts(pages)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "block"}
 
 
 # --- op9
