@@ -31,6 +31,24 @@ def shared_folder(session: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def join_dealt(left: DataFrame, right: DataFrame, keys: dict[str, str], rows: str, spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Equi-join of ``left`` with ``right``, where one key may be that of a third of ``left``'s rows.
+
+    ``keys`` maps columns of ``left`` to those of ``right``, which are unique
+    there and not null; ``right``'s column ``rows`` counts a key's rows in ``left``. A key of more than a 4,096th
+    of all is dealt over salts: its rows by the hash ``spread``, its row of
+    ``right`` repeated. Such keys are fewer than 4,096, so their list is broadcast.
+    """
+    floor = max(1000, (right.agg(F.sum(rows)).first()[0] or 0) // 4096)
+    heavy = right.where(F.col(rows) > floor).select(*(F.col(r).alias(f"_heavy_{k}") for k, r in enumerate(keys.values())), F.lit(True).alias("_is_heavy"))
+    marked = left.join(F.broadcast(heavy), [F.col(x) == F.col(f"_heavy_{k}") for k, x in enumerate(keys)], "left")
+    marked = marked.withColumn("_left_salt", F.when(F.col("_is_heavy"), F.pmod(spread, F.lit(salts))).otherwise(0).cast("int"))
+    last = F.when(F.col(rows) > floor, salts - 1).otherwise(0)
+    dealt = right.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), last)))
+    same = [F.col(x) == F.col(r) for x, r in keys.items()] + [F.col("_left_salt") == F.col("_right_salt")]
+    return marked.join(dealt, same, how).drop("_is_heavy", "_left_salt", "_right_salt", *(f"_heavy_{k}" for k in range(len(keys))))
+
+
 def fresh(name: str, taken: Sequence[str]) -> str:
     """A column name that none of ``taken`` is, whatever its case."""
     out, used = f"_{name}", {x.lower() for x in taken}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import folded_words, settle, text_key
+from lodestone.llm.common import folded_words, join_dealt, settle, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -256,31 +256,20 @@ def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOC
     """As :func:`join_near`, with the number of the class, ``cluster``, null for wordless texts."""
     rows = settle(signatures(docs))
     sets = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature"), F.first("n").alias("n")
+        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("signature").alias("signature"), F.first("n").alias("n"), F.count("*").alias("n_rows")
     )
-    # Classes are numbered by their set's digest, which needs no global count; a null doc_id is no obstacle.
-    number = F.xxhash64("set_key").bitwiseAND(F.lit((1 << 62) - 1))
-    classes = settle(sets.withColumn("class", number))
+    classes = numbered(sets)
     buckets = _buckets(classes)
-    pivots = buckets.groupBy("band", "bucket").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    # A bucket may be large: its rows are dealt over salts, its pivot repeated for each.
-    salts = 16
-    pivots = pivots.select(F.col("band").alias("_band"), F.col("bucket").alias("_bucket"), "pivot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    met = (
-        buckets.withColumn("salt", F.pmod("class", F.lit(salts)).cast("int"))
-        .join(pivots, (F.col("band") == F.col("_band")) & (F.col("bucket") == F.col("_bucket")) & (F.col("salt") == F.col("_salt")))
-        .groupBy("class")
-        .agg(F.collect_list("band").alias("bands"), F.collect_list("pivot").alias("pivots"))
-    )
-    met = settle(met)
+    pivots = buckets.groupBy(F.col("band").alias("_band"), F.col("bucket").alias("_bucket")).agg(F.min("class").alias("pivot"), F.count("*").alias("n_met")).where("n_met > 1")
+    met = join_dealt(buckets, settle(pivots), {"band": "_band", "bucket": "_bucket"}, "n_met", F.col("class"))
+    met = settle(met.groupBy("class").agg(F.collect_list("band").alias("bands"), F.collect_list("pivot").alias("pivots")))
     members = _with_shingles(docs, classes, met)
-    blocks = met.join(classes.select(F.col("class").alias("_class"), "n"), F.col("class") == F.col("_class")).select(F.explode(F.array_distinct("pivots")).alias("pivot"), "n")
+    blocks = met.join(classes.select(F.col("class").alias("_class"), "n"), F.col("class") == F.col("_class")).select(F.explode(F.array_distinct("pivots")).alias("_pivot"), "n")
     # A block for each member at most: a set beyond the bytes is alone.
     n_blocks = F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)))
-    blocks = blocks.groupBy("pivot").agg(n_blocks.cast("int").alias("n_blocks"))
-    large = blocks.where("n_blocks > 1").select(F.col("pivot").alias("_pivot"), "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    sent = members.withColumn("pivot", F.explode(F.array_distinct("pivots"))).withColumn("salt", F.pmod("class", F.lit(salts)).cast("int"))
-    sent = sent.join(large, (F.col("pivot") == F.col("_pivot")) & (F.col("salt") == F.col("_salt")), "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    large = settle(blocks.groupBy("_pivot").agg(n_blocks.cast("int").alias("n_blocks"), F.count("*").alias("n_members")).where("n_blocks > 1"))
+    sent = members.withColumn("pivot", F.explode(F.array_distinct("pivots")))
+    sent = join_dealt(sent, large, {"pivot": "_pivot"}, "n_members", F.col("class"), "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("class", "pivot"), F.col("n_blocks")).cast("int")
     sent = settle(sent.select("pivot", "n_blocks", own.alias("own"), "class", "signature", "bands", "pivots", "shingles"))
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
@@ -295,6 +284,19 @@ def labelled(docs: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOC
     return _labelled(rows, classes, counted, clusters)
 
 
+def numbered(sets: DataFrame, bits: int = 62) -> DataFrame:
+    """The sets with a number each, ``class``: a hash of the 128-bit digest; those that meet by chance get others until all differ."""
+    number = lambda turn: F.xxhash64("set_key", F.lit(turn)).bitwiseAND(F.lit((1 << bits) - 1))
+    classes, turn = settle(sets.withColumn("class", number(0))), 0
+    while classes.groupBy("class").count().where("count > 1").limit(1).count():
+        turn += 1
+        first = classes.groupBy(F.col("class").alias("_class")).agg(F.min("set_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        joined = classes.join(first, F.col("class") == F.col("_class"), "left")
+        other = F.when(F.col("set_key") == F.coalesce("_first", "set_key"), F.col("class")).otherwise(number(turn))
+        classes = settle(joined.withColumn("class", other).drop("_class", "_first"))
+    return classes
+
+
 def _with_shingles(docs: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
     """The members with signatures and shingle sets, from the texts of their first documents."""
     need = met.join(classes.select(F.col("class").alias("_class"), "first", "signature"), F.col("class") == F.col("_class")).drop("_class")
@@ -316,17 +318,19 @@ def _with_shingles(docs: DataFrame, classes: DataFrame, met: DataFrame) -> DataF
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, counted: DataFrame, clusters: DataFrame) -> DataFrame:
-    counted = counted.select(F.col("class").alias("_c1"), "n_links")
-    clusters = clusters.select(F.col("class").alias("_c2"), "cluster")
-    known = classes.select("set_key", "class", "copy_id").join(counted, F.col("class") == F.col("_c1"), "left").join(clusters, F.col("class") == F.col("_c2"), "left")
-    known = known.withColumn("cluster", F.coalesce("cluster", "class"))
-    least = known.groupBy(F.col("cluster").alias("_cluster")).agg(F.min("copy_id").alias("class_id"))
-    known = known.join(least, F.col("cluster") == F.col("_cluster"))
-    # A set may be that of a third of all rows: they are dealt over salts, the set's row repeated for each.
-    salts = 32
-    known = known.select(F.col("set_key").alias("_set"), "cluster", "copy_id", "n_links", "class_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = rows.select("doc_id", "text_key", "set_key", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)).cast("int").alias("salt"))
-    out = salted.join(known, (F.col("set_key") == F.col("_set")) & (F.col("salt") == F.col("_salt")), "left")
+    clusters = clusters.select(F.col("class").alias("_c1"), "cluster")
+    linked = counted.join(clusters, F.col("class") == F.col("_c1")).drop("_c1")
+    linked = settle(linked.join(classes.select(F.col("class").alias("_c2"), F.col("copy_id").alias("_copy")), F.col("class") == F.col("_c2")).drop("_c2"))
+    # Most classes have no link: only the others look for their cluster's least doc_id.
+    least = settle(linked.groupBy(F.col("cluster").alias("_cluster")).agg(F.min("_copy").alias("class_id"), F.count("*").alias("_size")))
+    linked = join_dealt(linked, least, {"cluster": "_cluster"}, "_size", F.col("class")).select(F.col("class").alias("_c3"), "n_links", "cluster", "class_id")
+    known = classes.select("set_key", "class", "copy_id", "n_rows").join(linked, F.col("class") == F.col("_c3"), "left")
+    known = known.select(
+        F.col("set_key").alias("_set"), "copy_id", "n_rows", "n_links", F.coalesce("cluster", "class").alias("cluster"),
+        F.when(F.col("cluster").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"),
+    )
+    # A set may be that of a third of all rows.
+    out = join_dealt(rows.select("doc_id", "text_key", "set_key"), settle(known), {"set_key": "_set"}, "n_rows", F.xxhash64("doc_id", "text_key"), "left")
     return out.select(
         "doc_id",
         "text_key",

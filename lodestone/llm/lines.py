@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_key
+from lodestone.llm.common import settle, text_key
 
 
 def _windows(lines: Column, size: int) -> Column:
@@ -32,7 +32,8 @@ def find_repeats(docs: DataFrame, *, size: int = 3) -> DataFrame:
     fewer lines than ``size`` and null texts have no window, and a window of blank lines is none.
     """
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.explode(_windows(F.split("text", "\n"), size)).alias("w"))
-    rows = rows.select("doc_id", "text_key", F.unhex("w.key").alias("key"), "w.at")
+    # Both sides of the join below read the windows, which are dear to hash.
+    rows = settle(rows.select("doc_id", "text_key", F.unhex("w.key").alias("key"), "w.at"))
     place = F.struct("doc_id", "text_key", "at")
     firsts = (
         rows.groupBy("key")
@@ -91,25 +92,25 @@ def digest(result: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+  SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 numbered AS (
-  SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM lines),
+  SELECT doc_id, text, ls, unnest(range(len(ls))) AS pos FROM lines),
 windows AS (
-  SELECT doc_id, pos, array_to_string(list_slice(ls, pos + 1, pos + 3), chr(10)) AS w FROM numbered WHERE pos + 3 <= len(ls)),
+  SELECT doc_id, text, pos, array_to_string(list_slice(ls, pos + 1, pos + 3), chr(10)) AS w FROM numbered WHERE pos + 3 <= len(ls)),
 placed AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth
+  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, pos) AS nth
   FROM windows WHERE regexp_replace(w, '[ \\t\\n\\v\\f\\r]', '', 'g') <> ''),
 covered AS (
-  SELECT DISTINCT doc_id, pos + k AS line FROM placed, (VALUES (0), (1), (2)) r(k) WHERE nth > 1),
+  SELECT DISTINCT doc_id, text, pos + k AS line FROM placed, (VALUES (0), (1), (2)) r(k) WHERE nth > 1),
 kept AS (
-  SELECT n.doc_id, count(c.line) AS n_removed,
+  SELECT n.doc_id, n.text, count(c.line) AS n_removed,
          count(c.line) FILTER (WHERE p.line IS NULL) AS n_spans,
          coalesce(string_agg(n.ls[n.pos + 1], chr(10) ORDER BY n.pos) FILTER (WHERE c.line IS NULL), '') AS kept_text
-  FROM numbered n LEFT JOIN covered c ON c.doc_id = n.doc_id AND c.line = n.pos
-  LEFT JOIN covered p ON p.doc_id = n.doc_id AND p.line = n.pos - 1 AND c.line IS NOT NULL
-  GROUP BY n.doc_id)
+  FROM numbered n LEFT JOIN covered c ON c.doc_id IS NOT DISTINCT FROM n.doc_id AND c.text = n.text AND c.line = n.pos
+  LEFT JOIN covered p ON p.doc_id IS NOT DISTINCT FROM n.doc_id AND p.text = n.text AND p.line = n.pos - 1 AND c.line IS NOT NULL
+  GROUP BY n.doc_id, n.text)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
        coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
        sha256(coalesce(k.kept_text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id)
+FROM documents d LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.text = d.text
 """

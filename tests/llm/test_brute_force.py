@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import join_dealt
 from lodestone.llm import decontaminate, jaccard, lines, mixing, quality, queries, secrets, shards, suffixes, tokens, urls
 
 SF = "/root/testdata/sf0.001"
@@ -208,6 +209,40 @@ def test_op2_pruning_keeps_what_can_reach_the_threshold():
     assert list(least) == sorted(least) and all(m < 0.8 * (k + 1) * jaccard.STEP for k, m in enumerate(least))
 
 
+def test_op2_edges(spark):
+    long = " ".join(f"v{k}" for k in range(20000))
+    rows = EDGE[:-1] + [(20, long, "a"), (21, long + " tail", "b"), (22, "  \n ", "a"), (22, "  \n ", "a"), (23, "ONE", None)]
+    docs = docs_of(spark, rows).withColumn("class", F.lit("clash")).withColumn("cluster", F.lit(1)).withColumn("text_key", F.lit(2))
+    assert near_rows(jaccard.join_near(docs)) == expected_near(rows)
+    nameless = docs_of(spark, [(None, "a b c d e f", "a"), (7, "A, b c d e f", "a"), (None, "x y z", "a"), (None, None, "a")])
+    got = Counter((r["doc_id"], r["copy_id"], r["n_links"], r["class_id"]) for r in jaccard.join_near(nameless).collect())
+    assert got == {(None, 7, 0, 7): 1, (7, 7, 0, 7): 1, (None, None, 0, None): 2}
+    assert jaccard.join_near(docs.limit(0)).count() == 0
+
+
+def test_op2_numbers_that_meet_by_chance_part(spark):
+    sets = spark.range(300).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("set_key"))
+    got = jaccard.numbered(sets, bits=12)
+    assert got.select("class").distinct().count() == got.select("set_key").distinct().count() == got.count() == 300
+
+
+def test_op2_recall_at_the_threshold(spark):
+    """Of all links of similarity 0.8 or more between the texts of a larger table, as many as brute force finds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    expected, got = expected_near(rows), near_rows(jaccard.join_near(docs))
+    print("links", sum(r[2] for r in expected), "found", sum(r[2] for r in got))
+    assert got == expected and sum(r[2] for r in got) > 10
+
+
+def test_join_dealt_splits_heavy_keys(spark):
+    left = spark.range(20000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy(F.col("k").alias("r")).agg(F.count("*").alias("n")).where("r % 5 <> 4")
+    got = join_dealt(left, right, {"k": "r"}, "n", F.xxhash64("id"), "left")
+    assert got.columns == ["k", "id", "r", "n"] and got.count() == 20000
+    assert got.where("n IS NULL").count() == left.where("k % 5 = 4").count() and got.where("k = 0 AND n > 6000").count() == 6667
+
+
 def test_op2_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(100))
     rows = [(3, text, "a"), (1, text, "a"), (2, text + " tail", "b"), (4, "else " * 3, "a"), (5, None, "a"), (1, text, "a"), (None, "other words", "a"), (None, "more other words", "a")]
