@@ -284,7 +284,7 @@ def test_op3_edges_chunks_and_buckets(spark):
         (20, passage[:99], "a"), (21, "q" + passage[:99], "a"), (22, passage[:100], "a"), (23, "zz" + passage[:100] + "yy", "a"),
         (24, passage[10:130] + "tail", "a"), (25, "head" + passage, "a"), (26, passage + passage, "a"), (27, "a" * 500, "a"), (28, "b" + "a" * 120, "b"),
     ]
-    frame = suffixes.find_repeats(docs_of(spark, rows), digest=True, chunk_bytes=700, bucket_keys=50)
+    frame = suffixes.find_repeats(docs_of(spark, rows), digest=True, chunk_bytes=700, log_buckets=7)
     assert sorted((tuple(r) for r in frame.collect()), key=str) == expected_suffixes(rows)
     spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffixes.find_repeats(docs_of(spark, rows)).collect()}
     assert spans[22] == [] or spans[22] == [(0, 100)]
@@ -292,6 +292,30 @@ def test_op3_edges_chunks_and_buckets(spark):
     assert suffixes.find_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_op3_near_repeats(spark):
+    """Strings of one letter, periods, and strings that differ in one byte at any place."""
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcd"), 260))
+    rows = [(0, base, "a"), (1, "a" * 3000, "a"), (2, "ab" * 700, "a"), (3, "aab" * 300, "a"), (4, "é" * 90, "a"), (5, base, "b"), (5, base, "b"), (None, None, "a")]
+    rows += [(10 + k, base[:k] + "X" + base[k + 1 :], "a") for k in range(0, 260, 7)]
+    rows += [(100 + k, "y" * k + base[k : k + 100 + k % 3 - 1], "a") for k in range(0, 150, 11)]
+    rows += [(200 + k, ("abcabcd" * 60)[k:], "b") for k in range(0, 60, 13)]
+    docs = docs_of(spark, rows).withColumn("key", F.lit("clash")).withColumn("chunk", F.lit(1))
+    for chunk_bytes, log in ((1 << 20, 0), (900, 5), (3000, 20)):
+        got = suffixes.find_repeats(docs.repartition(5), digest=True, chunk_bytes=chunk_bytes, log_buckets=log)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == expected_suffixes(rows)
+
+
+def test_op3_layout_keeps_rows_few():
+    """Keys that a chunk sends to each bucket, and keys of a bucket, from 0.1 GB to 3 TB."""
+    for size in (10**8, 10**9, 3 * 10**10, 3 * 10**11, 10**12, 3 * 10**12):
+        chunk_bytes, log = suffixes.layout(size)
+        ranks = len(suffixes.COVER) / suffixes.PERIOD
+        assert min(size, chunk_bytes) * ranks / 2**log >= suffixes.ROW_KEYS / 2
+        assert size * ranks / 2**log <= suffixes.BUCKET_KEYS[-1] and chunk_bytes <= suffixes.CHUNK_BYTES[1]
+    assert suffixes.layout(0) == suffixes.layout(1) == (1 << 20, 0)
+
+
 def test_op3_cover_is_complete():
     met = {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER}
     assert met == set(range(suffixes.PERIOD))
