@@ -21,6 +21,17 @@ def literal(term: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}-" else c for c in term)
 
 
+def folded(text: Column) -> Column:
+    """Lower case in which ``occurrences`` finds what a pattern regardless of case does: the long s is an s, a dotted capital i none."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "\u0001")), "\u017f", "s")
+
+
+def occurrences(low: Column, term: str) -> Column:
+    """Non-overlapping occurrences of an ASCII term in a folded text."""
+    term = term.lower()
+    return F.floor((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("long")
+
+
 def count(text: Column, body: str) -> Column:
     """Non-overlapping matches, whatever their case."""
     return F.regexp_count(text, F.lit("(?iu)" + body))
@@ -30,9 +41,9 @@ def has(text: Column, body: str) -> Column:
     return F.rlike(text, F.lit("(?iu)" + body))
 
 
-def any_word(text: Column, words: Sequence[str]) -> Column:
-    """Whether one of the words is a substring of the text, whatever its case."""
-    low = F.lower(text)
+def any_word(text: Column, words: Sequence[str], lowered: bool = False) -> Column:
+    """Whether one of the words is a substring of the text, whatever its case; ``lowered``: the text is in lower case."""
+    low = text if lowered else F.lower(text)
     out = F.lit(False)
     for w in words:
         out = out | F.contains(low, F.lit(w.lower()))
@@ -61,3 +72,45 @@ def title_guess(text: Column, lines: int, longest: int, cut: int, stop: Sequence
 
     found = F.get(F.filter(trimmed, fits), F.lit(0))
     return F.substring(F.coalesce(found, default if default is not None else F.lit("")), 1, cut)
+
+
+def frame_list(spec: Column) -> Column:
+    """``range:start:stop:step`` (stop exclusive) or a comma list of numbers as an array; null for what is neither."""
+    part = lambda k: F.split_part(spec, F.lit(":"), F.lit(k)).try_cast("long")
+    start, stop, step = part(2), part(3), part(4)
+    ranged = F.when((step > 0) & (stop > start), F.filter(F.sequence(start, F.greatest(stop, start), F.greatest(step, F.lit(1).cast("long"))), lambda x: x < stop))
+    listed = F.transform(F.split(spec, ","), lambda x: F.trim(x).try_cast("long"))
+    empty = F.array().cast("array<bigint>")
+    return F.when(spec.startswith("range:"), F.when((step > 0) & (stop <= start), empty).otherwise(ranged)).otherwise(F.when(F.forall(listed, lambda x: x.isNotNull()), listed))
+
+
+def numbers(text: Column) -> Column:
+    """The numbers of a text that white space parts, as doubles; null for what is none."""
+    return F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda x: x.try_cast("double"))
+
+
+def intrinsics(cells: Column) -> Column:
+    """``fx fy cx cy`` (more may follow) as a 3x3 matrix by row; null if there are fewer."""
+    c = lambda k: F.get(cells, F.lit(k))
+    zero = F.lit(0.0)
+    return F.when(F.size(cells) >= 4, F.array(c(0), zero, c(2), zero, c(1), c(3), zero, zero, F.lit(1.0)))
+
+
+def device_processes(report: Column) -> Column:
+    """An array ``pid, name`` of a device report's process rows: ``| device chip | pid | name |``; a pid of 0 is no process."""
+    row = r"(?m)^\|\s*\d+\s+\d+\s+\|\s*(\d+)\s+\|\s*([^|]+)\|"
+    part = lambda k: F.regexp_extract_all(report, F.lit(row), k)
+    rows = F.transform(F.arrays_zip(part(1).alias("p"), part(2).alias("n")), lambda x: F.struct(x["p"].cast("long").alias("pid"), F.trim(x["n"]).alias("name")))
+    return F.filter(rows, lambda x: x["pid"] > 0)
+
+
+def csv_processes(report: Column) -> Column:
+    """An array ``pid, name`` of lines ``pid, name``; blank lines are left out."""
+    lines = F.filter(F.split(report, r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(","), F.lit(1))).try_cast("long").alias("pid"), F.trim(F.substring_index(x, ",", -1)).alias("name")))
+
+
+def local_time(ts: Column, hours: int) -> Column:
+    """A UTC time stamp as ISO with the offset of a zone ``hours`` from it."""
+    shifted = ts + F.expr(f"INTERVAL '{hours}' HOUR")
+    return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f"{hours:+03d}:00"))

@@ -52,11 +52,13 @@ def score_sql(cap: int, bonus: int) -> str:
 
 
 def flat_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", "lang", F.col("text").alias("raw"), T.flat(F.col("text")).alias("t"))
+    """Documents with the flattened text, ``t``, and its lower case, ``low``, each made once."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", "lang", F.col("text").alias("raw"))
+    return L.once(L.once(docs, "t", T.flat(F.col("raw"))), "low", F.lower("t"))
 
 
 def scored(spark: SparkSession, sf: str, cap: int, bonus: int) -> DataFrame:
-    docs = flat_docs(spark, sf).where(T.any_word(F.col("t"), LEXICON.context))
+    docs = flat_docs(spark, sf).where(T.any_word(F.col("low"), LEXICON.context, lowered=True))
     return L.capped_score(docs, F.col("t"), LEXICON, ["doc_id", "source"], cap, bonus)
 
 
@@ -105,7 +107,7 @@ def any_keyword(spark, sf):
 
 @JOBS.query("p02_context_gate", f"SELECT source, count(*) FILTER (WHERE {GATE})::BIGINT AS n_in_context, count(*)::BIGINT AS n_documents FROM {FLAT} GROUP BY source")
 def context_gate(spark, sf):
-    gate = T.any_word(F.col("t"), LEXICON.context)
+    gate = T.any_word(F.col("low"), LEXICON.context, lowered=True)
     return flat_docs(spark, sf).groupBy("source").agg(F.count_if(gate).alias("n_in_context"), F.count("*").alias("n_documents"))
 
 
@@ -121,12 +123,11 @@ def strong_signal(spark, sf):
     return flat_docs(spark, sf).select("doc_id", F.explode(met).alias("pattern"))
 
 
-WIDE = f"SELECT doc_id, source, {', '.join(f'coalesce(sum(n) FILTER (WHERE category = {c!r}), 0)::BIGINT AS {c}' for c in LEXICON.categories)} FROM ({CATEGORIES}) GROUP BY doc_id, source"
+WIDE = "SELECT doc_id, source, " + ", ".join(f"({' + '.join(n(p) for p in bodies)})::BIGINT AS {name}" for name, bodies in LEXICON.categories.items()) + f" FROM {FLAT}"
 
 
 def wide(spark, sf):
-    counts = categories(spark, sf).groupBy("doc_id", "source")
-    return counts.agg(*(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0).cast("long")).alias(c) for c in LEXICON.categories))
+    return L.category_columns(flat_docs(spark, sf), F.col("t"), LEXICON.categories, ["doc_id", "source"])
 
 
 @JOBS.query("p07_cross_filter", f"SELECT doc_id, licence, secret, contact, prose FROM ({WIDE}) WHERE licence + prose >= 2 AND secret + contact >= 2")
@@ -189,17 +190,22 @@ def venue_stats(spark, sf):
     f"array_to_string((list(doc_id ORDER BY doc_id) FILTER (WHERE early AND n >= 6))[1:3], ',') AS examples FROM ({CATEGORIES}) GROUP BY category",
 )
 def topic_vs_mention(spark, sf):
-    """On the topic or in passing; fewer than five on it means unknown, never a gap."""
-    topic = F.expr("early AND n >= 6")
-    nth = F.row_number().over(Window.partitionBy("category", "topic").orderBy("doc_id"))
-    rows = categories(spark, sf).withColumn("topic", topic).withColumn("nth", nth)
-    # Only three examples of a category are gathered.
-    example = F.when(F.col("topic") & (F.col("nth") <= 3), F.struct("nth", "doc_id"))
-    return rows.groupBy("category").agg(
-        F.count_if("topic").alias("n_topic"),
-        F.count_if(F.expr("n > 0 AND NOT topic")).alias("n_mention"),
-        F.when(F.count_if("topic") < 5, "unknown").otherwise("covered").alias("verdict"),
-        F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(example)), lambda x: x["doc_id"].cast("string")), ","), F.lit("")).alias("examples"),
+    """On the topic or in passing; fewer than five on it means unknown, never a gap.
+
+    The three examples come from blocks of 65,536 doc_ids: a block's three first, then the three first of those.
+    """
+    rows = categories(spark, sf).withColumn("topic", F.expr("early AND n >= 6"))
+    first = lambda ids: F.slice(F.array_sort(ids), 1, 3)
+    blocks = rows.groupBy("category", F.shiftright("doc_id", 16).alias("block")).agg(
+        F.count_if("topic").alias("n_topic"), F.count_if(F.expr("n > 0 AND NOT topic")).alias("n_mention"), first(F.collect_list(F.when(F.col("topic"), F.col("doc_id")))).alias("ids")
+    )
+    out = blocks.groupBy("category").agg(F.sum("n_topic").alias("n_topic"), F.sum("n_mention").alias("n_mention"), first(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return out.select(
+        "category",
+        "n_topic",
+        "n_mention",
+        F.when(F.col("n_topic") < 5, "unknown").otherwise("covered").alias("verdict"),
+        F.nullif(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("examples"),
     )
 
 
@@ -236,7 +242,8 @@ def titles(spark, sf, of):
     return table(spark, sf, "documents").where(of).select("lang", F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
 
 
-FIRST, SECOND = "source IN ('src0', 'src1', 'src2')", "source IN ('src2', 'src3', 'src4')"
+#: Two sides that overlap and together hold every document, by the last character of the source.
+FIRST, SECOND = "right(coalesce(source, ''), 1) <= '6'", "right(coalesce(source, 'z'), 1) >= '4'"
 
 
 @JOBS.query("u02_union_distinct", f"SELECT lang, title FROM {titles_sql(FIRST)} UNION SELECT lang, title FROM {titles_sql(SECOND)}")
@@ -291,13 +298,25 @@ def title_guess(spark, sf):
     )
 
 
+REPORT = """(SELECT l_orderkey, string_agg('  ' || CASE WHEN l_linenumber % 2 = 1 THEN 'Model ' ELSE '' END || l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN 'x' ELSE '' END || ' | ' || l_quantity::INT
+    || CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE ' | ' || l_discount END || ' ', chr(10) ORDER BY l_linenumber) AS report FROM lineitem GROUP BY l_orderkey)"""
+
+
 @JOBS.query(
     "p19_table_row_grep",
-    "SELECT doc_id, row FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS row FROM documents) WHERE regexp_matches(row, '^[A-N]') AND regexp_matches(row, '[0-9]') AND length(row) < 160",
+    f"SELECT l_orderkey, row FROM (SELECT l_orderkey, trim(unnest(string_split(report, chr(10)))) AS row FROM {REPORT}) WHERE regexp_matches(row, '^(Model )?[A-N]\\b') AND regexp_matches(row, '\\d\\.\\d') AND length(row) < 160",
 )
 def table_rows(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("row"))
-    return rows.where(F.col("row").rlike("^[A-N]") & F.col("row").rlike("[0-9]") & (F.length("row") < 160))
+    """Rows of a text table that name a model and hold a figure with decimals; the texts are reports of the orders' lines."""
+    odd, third, fourth = (F.col("l_linenumber") % k for k in (2, 3, 4))
+    line = F.concat(
+        F.lit("  "), F.when(odd == 1, "Model ").otherwise(""), "l_returnflag", F.when(third == 0, "x").otherwise(""), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"),
+        F.when(fourth == 0, "").otherwise(F.concat(F.lit(" | "), F.col("l_discount").cast("string"))), F.lit(" "),
+    )
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line"))))
+    reports = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))
+    rows = reports.select("l_orderkey", F.explode(F.transform(F.split("report", "\n"), lambda x: F.trim(x))).alias("row"))
+    return rows.where(F.col("row").rlike(r"^(Model )?[A-N]\b") & F.col("row").rlike(r"\d\.\d") & (F.length("row") < 160))
 
 
 @JOBS.query(
@@ -334,7 +353,15 @@ def abstract(spark, sf):
     return flat_docs(spark, sf).select("doc_id", F.nullif(head, F.lit("")).alias("head"))
 
 
-@JOBS.query("f07_snippets")
+@JOBS.query(
+    "f07_snippets",
+    f"""WITH cut AS (SELECT doc_id, t, regexp_split_to_array(t, '(?i)licen[cs]ed|token') AS parts, regexp_extract_all(t, '(?i)licen[cs]ed|token') AS hits FROM {FLAT}),
+    nth AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM cut),
+    placed AS (SELECT doc_id, t, k, list_sum([length(x) FOR x IN parts[1:k]]) + coalesce(list_sum([length(x) FOR x IN hits[1:k - 1]]), 0) AS s, length(hits[k]) AS n FROM nth),
+    shown AS (SELECT doc_id, k, s::BIGINT AS "start", (s + n)::BIGINT AS "end", t[greatest(1, s - 89):s + n + 90] AS snippet FROM placed),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, snippet[1:60] ORDER BY k) AS again FROM shown)
+    SELECT doc_id, "start", "end", snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place FROM firsts WHERE again = 1) WHERE place <= 3""",
+)
 def snippets(spark, sf):
     """Up to three windows around matches, repeats by their first 60 characters dropped."""
     return windows(flat_docs(spark, sf), "doc_id", "t", r"licen[cs]ed|token", before=90, after=90, most=3, same=60)

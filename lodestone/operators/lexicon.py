@@ -26,34 +26,47 @@ class Lexicon:
     context: Sequence[str]
 
 
+def once(docs: DataFrame, name: str, made: Column) -> DataFrame:
+    """``docs`` with a column that the optimiser can't repeat: an array of one, exploded, is computed once for each row."""
+    return docs.select("*", F.explode(F.array(made)).alias(name))
+
+
 def probe_counts(docs: DataFrame, text: Column, probes: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """A row for each document and probe that it holds: ``probe, n``; counting happens once, before the rows are made."""
-    each = F.array(*(F.struct(F.lit(p).alias("probe"), T.count(text, T.literal(p)).cast("long").alias("n")) for p in probes))
+    docs, low = once(docs, "_low", T.folded(text)), F.col("_low")
+    each = F.array(*(F.struct(F.lit(p).alias("probe"), T.occurrences(low, p).alias("n")) for p in probes))
     return docs.select(*keep, F.explode(each).alias("p")).select(*keep, "p.probe", "p.n").where("n > 0")
 
 
+def _category(text: Column, bodies: Sequence[str]) -> tuple[Column, Column]:
+    total, early = F.lit(0), F.lit(False)
+    for b in bodies:
+        total = total + T.count(text, b)
+        early = early | T.has(F.substring(text, 1, 1800), b)
+    return total.cast("long"), early
+
+
 def category_counts(docs: DataFrame, text: Column, categories: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
     """A row for each document and category: the sum of its patterns' counts, whose spans may overlap, and whether it is met early."""
+    made = {k: _category(text, v) for k, v in categories.items()}
+    each = F.array(*(F.struct(F.lit(k).alias("category"), n.alias("n"), early.alias("early")) for k, (n, early) in made.items()))
+    return docs.select(*keep, F.explode(each).alias("c")).select(*keep, "c.category", "c.n", "c.early")
 
-    def one(name: str, bodies: Sequence[str]) -> Column:
-        total, early = F.lit(0), F.lit(False)
-        for b in bodies:
-            total = total + T.count(text, b)
-            early = early | T.has(F.substring(text, 1, 1800), b)
-        return F.struct(F.lit(name).alias("category"), total.cast("long").alias("n"), early.alias("early"))
 
-    each = F.array(*(one(k, v) for k, v in categories.items()))
-    return docs.select(*keep, F.explode(each).alias("c")).select(*keep, "c.category", "c.n", "c.early")
+def category_columns(docs: DataFrame, text: Column, categories: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
+    """A row for each document: the counts of all categories, a column each; nothing is shuffled."""
+    counts = F.struct(*(_category(text, v)[0].alias(k) for k, v in categories.items()))
+    return once(docs, "_c", counts).select(*keep, "_c.*")
 
 
 def capped_score(docs: DataFrame, text: Column, lexicon: Lexicon, keep: Sequence[str], cap: int, bonus: int) -> DataFrame:
     """``score``: weights times counts up to ``cap``, and ``bonus`` if a strong pattern is met; ``n_strong`` of them."""
-    counts = F.array(*(F.struct(F.lit(w).alias("w"), T.count(text, T.literal(p)).alias("n")) for p, w in lexicon.probes.items()))
-    strong = F.array(*(T.has(text, b) for b in lexicon.strong))
-    # Exploding keeps the optimiser from repeating each count in filter and result.
-    rows = docs.select(*keep, strong.alias("strong"), counts.alias("counts")).select(*keep, "strong", F.explode("counts").alias("c"))
-    scored = rows.groupBy(*keep).agg(
-        F.sum(F.col("c.w") * F.least("c.n", F.lit(cap))).alias("base"), F.first(F.size(F.filter("strong", lambda x: x))).alias("n_strong")
-    )
+    docs, low = once(docs, "_low", T.folded(text)), F.col("_low")
+    base, strong = F.lit(0), F.lit(0)
+    for p, w in lexicon.probes.items():
+        base = base + w * F.least(T.occurrences(low, p), F.lit(cap))
+    for b in lexicon.strong:
+        strong = strong + T.has(text, b).cast("int")
+    rows = once(docs, "_c", F.struct(base.alias("base"), strong.alias("n_strong"))).select(*keep, "_c.base", "_c.n_strong")
     score = F.col("base") + F.when(F.col("n_strong") > 0, F.lit(bonus)).otherwise(F.lit(0))
-    return scored.select(*keep, score.cast("long").alias("score"), F.col("n_strong").cast("long").alias("n_strong"))
+    return rows.select(*keep, score.cast("long").alias("score"), F.col("n_strong").cast("long").alias("n_strong"))
