@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions import measures as M
 from lodestone.jobs.registry import Registry
@@ -213,18 +212,34 @@ def every_nth(spark, sf):
 
 @JOBS.query("w11_head_tail_delta", f"SELECT run, round(h, 4) AS head, round(t, 4) AS tail, round((t - h) / h * 100, 6) AS change_pct FROM (SELECT run, avg(loss) FILTER (WHERE a <= 20) AS h, avg(loss) FILTER (WHERE b <= 20) AS t FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY iter) AS a, row_number() OVER (PARTITION BY run ORDER BY iter DESC) AS b FROM {TRACE}) GROUP BY run)")
 def head_tail(spark, sf):
-    rows = trace(spark, sf).withColumn("a", F.row_number().over(Window.partitionBy("run").orderBy("iter"))).withColumn("b", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("iter"))))
-    means = rows.groupBy("run").agg(F.avg(F.when(F.col("a") <= 20, F.col("loss"))).alias("h"), F.avg(F.when(F.col("b") <= 20, F.col("loss"))).alias("t"))
-    return means.select("run", F.round("h", 4).alias("head"), F.round("t", 4).alias("tail"), F.round((F.col("t") - F.col("h")) / F.col("h") * 100, 6).alias("change_pct"))
+    means = S.ends(trace(spark, sf), ["run"], "iter", "loss", 20)
+    change = (F.col("tail") - F.col("head")) / F.col("head") * 100
+    return means.select("run", F.round("head", 4).alias("head"), F.round("tail", 4).alias("tail"), F.round(change, 6).alias("change_pct"))
 
 
-@JOBS.query("w09_sample_fixed")
+@JOBS.query("w09_sample_fixed", f"SELECT vec_id, label FROM {PTS} ORDER BY md5('11:' || vec_id), vec_id LIMIT 200")
 def sample_fixed(spark, sf):
     """A seeded sample of 200 without replacement: the smallest hashes."""
-    return points(spark, sf).select("vec_id", "label").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(200)
-
-
-@JOBS.query("f20_hull_pixels")
+    seeded = F.md5(F.concat(F.lit("11:"), F.col("vec_id").cast("string")).cast("binary"))
+    return points(spark, sf).select("vec_id", "label").orderBy(seeded, "vec_id").limit(200)
+
+
+HULLS = f"""
+WITH corners AS (SELECT vec_id // 4 AS entity, label, z, x * 8 + 32 AS cx, y * 8 + 24 AS cy, vec_id FROM {PTS}),
+views AS (SELECT entity, min(label) AS cam, min(z) AS depth FROM corners GROUP BY entity),
+threes AS (
+  SELECT a.entity, a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS b_y, c.cx AS dx, c.cy AS dy, (b.cx - a.cx) * (c.cy - a.cy) - (b.cy - a.cy) * (c.cx - a.cx) AS turn
+  FROM corners a JOIN corners b ON a.entity = b.entity AND a.vec_id < b.vec_id JOIN corners c ON a.entity = c.entity AND b.vec_id < c.vec_id),
+grid AS (SELECT x, y FROM range(64) h(x), range(48) v(y)),
+cells AS (  -- a hull is the union of the triangles of its points
+  SELECT DISTINCT entity, x, y FROM (SELECT entity, x, y, x + 0.5 AS px, y + 0.5 AS py, ax, ay, bx, b_y, dx, dy, sign(turn) AS s FROM threes, grid WHERE turn <> 0)
+  WHERE s * ((bx - ax) * (py - ay) - (b_y - ay) * (px - ax)) >= 0 AND s * ((dx - bx) * (py - b_y) - (dy - b_y) * (px - bx)) >= 0 AND s * ((ax - dx) * (py - dy) - (ay - dy) * (px - dx)) >= 0),
+owned AS (SELECT entity, cam, first_value(entity) OVER (PARTITION BY cam, x, y ORDER BY depth, entity) AS owner FROM cells JOIN views USING (entity))
+SELECT cam, entity, (count(*) FILTER (WHERE entity = owner))::DOUBLE / count(*) AS visible, count(*)::BIGINT AS n_pixels FROM owned GROUP BY cam, entity
+"""
+
+
+@JOBS.query("f20_hull_pixels", HULLS)
 def hull_pixels(spark, sf):
     """F20, W02-W04 by pixel: outlines of four neighbouring points, one view for each label, and the share of each that stays visible."""
     p = points(spark, sf).withColumn("entity", F.floor(F.col("vec_id") / 4))
@@ -232,3 +247,46 @@ def hull_pixels(spark, sf):
     outlines = p.groupBy("entity").agg(F.min("label").alias("cam"), F.min("z").alias("depth"), F.collect_list(corner).alias("outline"))
     cells = R.pixels(outlines, ["entity", "cam", "depth"], "outline", 64, 48)
     return R.owners(cells, ["cam"], "entity", "depth")
+
+
+def _det_sql(rows: list[int], columns: list[int], width: int) -> str:
+    """A determinant by expansion along its first row."""
+    if not rows:
+        return "1"
+    terms = [f"{'-' if k % 2 else '+'} p[{rows[0] * width + c + 1}] * ({_det_sql(rows[1:], columns[:k] + columns[k + 1 :], width)})" for k, c in enumerate(columns)]
+    return " ".join(terms)
+
+
+NUMBERS = "(SELECT vec_id, [x::DOUBLE * 10 FOR x IN embedding] AS p FROM embeddings)"
+CENTRE = ", ".join(
+    f"round(-({_det_sql([0, 1, 2], columns, 4)}) / ({_det_sql([0, 1, 2], [0, 1, 2], 4)}), 4) AS {name}" for name, columns in (("cx", [3, 1, 2]), ("cy", [0, 3, 2]), ("cz", [0, 1, 3]))
+)
+
+
+def leading(spark, sf, n: int):
+    numbers = F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double") * 10)
+    return table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(numbers)).alias("p"))
+
+
+@JOBS.query("f34_camera_centre", f"SELECT vec_id, {CENTRE} FROM {NUMBERS} WHERE abs({_det_sql([0, 1, 2], [0, 1, 2], 4)}) > 0.01")
+def camera_centres(spark, sf):
+    """Camera centres of 3x4 projections, the vectors' first twelve numbers; nearly singular ones are left out."""
+    p = leading(spark, sf, 12)
+    e = lambda r, c: F.get("p", F.lit(4 * r + c))
+    det = e(0, 0) * (e(1, 1) * e(2, 2) - e(1, 2) * e(2, 1)) - e(0, 1) * (e(1, 0) * e(2, 2) - e(1, 2) * e(2, 0)) + e(0, 2) * (e(1, 0) * e(2, 1) - e(1, 1) * e(2, 0))
+    centre = M.camera_centre(F.col("p"))
+    return p.where(F.abs(det) > 0.01).select("vec_id", *(F.round(c, 4).alias(n) for c, n in zip(centre, ("cx", "cy", "cz"), strict=True)))
+
+
+ALL4 = [0, 1, 2, 3]
+INVERSE = ", ".join(
+    f"round({'-' if (i + j) % 2 else ''}({_det_sql([r for r in ALL4 if r != j], [c for c in ALL4 if c != i], 4)}) / ({_det_sql(ALL4, ALL4, 4)}), 4) AS m{i}{j}" for i, j in ((0, 0), (0, 3), (1, 2), (2, 1), (3, 0), (3, 3))
+)
+
+
+@JOBS.query("f16_general_inverse", f"SELECT vec_id, {INVERSE} FROM {NUMBERS} WHERE abs({_det_sql(ALL4, ALL4, 4)}) > 0.01")
+def general_inverse(spark, sf):
+    """Inverses of general 4x4 matrices, the vectors' first sixteen numbers; nearly singular ones are left out."""
+    both = F.struct(M.inverse4(F.col("p")).alias("m"), M.determinant4(F.col("p")).alias("det"))
+    held = leading(spark, sf, 16).select("vec_id", F.explode(F.array(both)).alias("x")).select("vec_id", "x.m", "x.det")
+    return held.where(F.abs("det") > 0.01).select("vec_id", *(F.round(F.get("m", F.lit(4 * i + j)), 4).alias(f"m{i}{j}") for i, j in ((0, 0), (0, 3), (1, 2), (2, 1), (3, 0), (3, 3))))

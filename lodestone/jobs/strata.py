@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import measures as M
+from lodestone.functions import text as X
 from lodestone.jobs.registry import Registry
 from lodestone.operators import statistics as S
 from lodestone.sources.tables import table
@@ -268,18 +269,18 @@ BOX = f"(SELECT *, depth AS x0, line * 2.0 AS y0, depth + px_height / 40 AS x1,
 
 @JOBS.query(
     "j05_theta_occluders",
-    f"""SELECT a.scene, a.frame, a.line, coalesce(max(CASE WHEN b.frame IS NOT NULL AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+    f"""SELECT a.scene, a.frame, a.cam, a.line, coalesce(max(CASE WHEN b.frame IS NOT NULL AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
       THEN round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1e-6), 9) ELSE 0 END), 0) AS occlusion
-    FROM {BOX} a LEFT JOIN {BOX} b ON a.frame = b.frame AND a.instance_id <> b.instance_id AND b.depth < a.depth GROUP BY a.scene, a.frame, a.line""",
+    FROM {BOX} a LEFT JOIN {BOX} b ON a.frame = b.frame AND a.cam = b.cam AND a.instance_id <> b.instance_id AND b.depth < a.depth GROUP BY a.scene, a.frame, a.cam, a.line""",
 )
 def occluders(spark, sf):
-    """The largest share of a box that a strictly nearer one of another entity covers in the same frame."""
-    boxes = observations(spark, sf).selectExpr("scene", "frame", "line", "instance_id", "depth", "depth AS x0", "line * 2.0D AS y0", "depth + px_height / 40 AS x1", "line * 2.0D + 3 AS y1")
+    """The largest share of a box that a strictly nearer one of another entity covers in the same frame and camera."""
+    boxes = observations(spark, sf).selectExpr("scene", "frame", "cam", "line", "instance_id", "depth", "depth AS x0", "line * 2.0D AS y0", "depth + px_height / 40 AS x1", "line * 2.0D + 3 AS y1")
     a, b = boxes.alias("a"), boxes.alias("b")
-    pairs = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.instance_id") != F.col("b.instance_id")) & (F.col("b.depth") < F.col("a.depth")), "left")
+    pairs = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cam") == F.col("b.cam")) & (F.col("a.instance_id") != F.col("b.instance_id")) & (F.col("b.depth") < F.col("a.depth")), "left")
     side = lambda t: [F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")]
     ratio = F.when(F.col("b.frame").isNotNull(), F.round(M.coverage_ratio(side("a"), side("b")), 9))
-    return pairs.groupBy("a.scene", "a.frame", "a.line").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("occlusion"))
+    return pairs.groupBy("a.scene", "a.frame", "a.cam", "a.line").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("occlusion"))
 
 
 @JOBS.query("w07_argmax_per_frame", f"SELECT scene, frame, cam, px_height FROM (SELECT *, row_number() OVER (PARTITION BY scene, frame ORDER BY px_height DESC, cam, line) AS nth FROM {OBS}) WHERE nth = 1")
@@ -344,11 +345,18 @@ def latest_by_key(spark, sf):
     return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max_by("c_name", number).alias("latest"))
 
 
-@JOBS.query("w06_topk_spaced")
+def _spaced_sql(rounds: int) -> str:
+    ctes = [f"left0 AS (SELECT instance_id, frame, px_height FROM {OBS})"]
+    for k in range(rounds):
+        ctes.append(f"best{k} AS (SELECT instance_id, arg_max(frame, (px_height, -frame)) AS frame FROM left{k} GROUP BY instance_id)")
+        ctes.append(f"left{k + 1} AS (SELECT l.* FROM left{k} l JOIN best{k} b USING (instance_id) WHERE abs(l.frame - b.frame) >= 500)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT instance_id, {k}::INT AS nth, frame FROM best{k}" for k in range(rounds))
+
+
+@JOBS.query("w06_topk_spaced", _spaced_sql(3))
 def topk_spaced(spark, sf):
     """Per part, greedily three orders of the largest height at least 500 apart."""
-    rows = observations(spark, sf).select("instance_id", "frame", (F.col("px_height") * 1000000 - F.col("frame")).alias("rank"))
-    return S.spaced_top(rows, ["instance_id"], "frame", "rank", 3, 500)
+    return S.spaced_top(observations(spark, sf), ["instance_id"], "frame", "px_height", 3, 500)
 
 
 @JOBS.query("f33_step_policy", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 THEN 0.85 WHEN l_quantity < 40 THEN 0.6 WHEN l_quantity < 45 THEN 0.35 ELSE 0.15 END::DOUBLE AS duty FROM lineitem")
@@ -358,11 +366,25 @@ def step_policy(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", duty.alias("duty"))
 
 
-@JOBS.query("j12_join_pred_gt", "SELECT ordinal, o_orderkey AS native, o_totalprice AS truth FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey >= 10 AND o_orderkey < 2000)")
+@JOBS.query(
+    "j12_join_pred_gt",
+    "SELECT o_orderpriority AS scene, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS native, o_totalprice AS truth FROM orders",
+)
 def join_pred_gt(spark, sf):
-    """A prediction's file number is the place of its frame in the request (stop excluded); truth has the native number."""
-    asked = F.filter(F.sequence(F.lit(10), F.lit(2000), F.lit(10)), lambda x: x < 2000)
-    frames = spark.range(1).select(F.posexplode(asked).alias("_", "native"))
-    have = frames.join(table(spark, sf, "orders"), F.col("native") == F.col("o_orderkey"))
-    ordinal = F.row_number().over(Window.orderBy("native")) - 1  # of the request's list
-    return have.select(ordinal.cast("long").alias("ordinal"), F.col("o_orderkey").alias("native"), F.col("o_totalprice").alias("truth"))
+    """A prediction's file number is the place of its frame in the scene's request; the truth has the native number."""
+    orders = table(spark, sf, "orders")
+    asked = S.numbered(orders.select(F.col("o_orderpriority").alias("scene"), F.col("o_orderkey").alias("native")), ["scene"], "native")
+    truth = orders.select(F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("truth"))
+    return asked.join(truth, F.col("native") == F.col("frame")).select("scene", F.col("_nth").alias("ordinal"), "native", "truth")
+
+
+@JOBS.query(
+    "f31_frame_ranges",
+    "SELECT o_orderkey, len(range(first, stop, step))::BIGINT AS n_frames, coalesce(list_max(range(first, stop, step)), -1)::BIGINT AS last FROM (SELECT o_orderkey, o_orderkey % 7 AS first, o_orderkey % 100 AS stop, 1 + o_orderkey % 5 AS step FROM orders)",
+)
+def frame_ranges(spark, sf):
+    """a request ``range:start:stop:step`` or a comma list as frames; the stop is exclusive."""
+    key = F.col("o_orderkey")
+    spec = F.concat_ws(":", F.lit("range"), *((x).cast("string") for x in (key % 7, key % 100, 1 + key % 5)))
+    frames = X.frame_list(spec)
+    return table(spark, sf, "orders").select("o_orderkey", F.size(frames).cast("long").alias("n_frames"), F.coalesce(F.array_max(frames), F.lit(-1)).cast("long").alias("last"))

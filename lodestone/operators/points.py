@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.statistics import quantiles
+
 XYZ = ("x", "y", "z")
 
 
@@ -45,22 +49,87 @@ def near_within(queries: DataFrame, reference: DataFrame, key: str, radius: floa
     return queries.select(key).join(met, key, "left")
 
 
-def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, block_rows: int = 4096) -> DataFrame:
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def nearest_vectors(queries: DataFrame, reference: DataFrame, key: str, vector: str, pivots: int = 64, block_rows: int = 4096) -> DataFrame:
     """Exact distance from each query vector to the nearest reference vector.
 
-    The reference is read in blocks of at most ``block_rows`` rows, each broadcast in
-    turn; its number of rows decides the number of blocks. Minima are combined by key.
+    Reference vectors lie in the cell of the nearest of some pivots (those of them with the smallest hashes). A query
+    looks into its own cell first; what it finds bounds the distance, and by the triangle inequality
+    only cells that reach into that ball are searched too. A cell is dealt in
+    blocks of about ``block_rows`` rows of each side, so that no task holds more of either; minima are
+    combined by key. All vectors are of one length; null ones are left out.
     """
-    ref = reference.select(F.col(vector).alias("_v"))
-    blocks = max(1, -(-ref.count() // block_rows))
-    out = None
-    for k in range(blocks):
-        part = ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("_v"), F.lit(blocks)) == k)
-        gap = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
-        d2 = F.aggregate(F.zip_with(vector, "_v", gap), F.lit(0.0), lambda acc, x: acc + x)
-        near = queries.join(F.broadcast(part)).groupBy(key).agg(F.min(d2).alias("d2"))
-        out = near if out is None else out.unionByName(near)
-    return out.groupBy(key).agg(F.sqrt(F.min("d2")).alias("distance"))
+    session = queries.sparkSession
+    kind = queries.schema[key].dataType.simpleString()
+    doubles = F.col(vector).cast("array<double>").alias("v")
+    ref = reference.where(F.col(vector).isNotNull()).select(doubles)
+    own = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), doubles)
+    chosen = ref.orderBy(F.xxhash64("v"), "v").limit(pivots).collect()  # some pivots
+    if not chosen:
+        return own.select(F.col("key").alias(key), F.lit(None).cast("double").alias("distance"))
+    at = session.sparkContext.broadcast(np.unique(np.array([r["v"] for r in chosen]), axis=0))
+
+    def home(batches):
+        for batch in batches:
+            v = batch.column(batch.num_columns - 1)
+            if len(v):
+                d = _squares(_matrix(v), at.value)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(np.sqrt(d[np.arange(len(cell)), cell]))], [*batch.schema.names, "cell", "gap"])
+
+    ref = ref.mapInArrow(home, "v array<double>, cell int, gap double")
+    cells = {r["cell"]: (r["reach"], r["n"]) for r in ref.groupBy("cell").agg(F.max("gap").alias("reach"), F.count("*").alias("n")).collect()}  # a row for each pivot
+    blocks = F.create_map(*(F.lit(x) for c, (_, n) in cells.items() for x in (c, -(-n // block_rows))))
+    ref = ref.select("v", "cell", F.pmod(F.xxhash64("v"), blocks[F.col("cell")]).cast("int").alias("block"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        """Minima of the queries ``key, v, cell`` in their cells."""
+        held = {r["cell"]: -(-r["n"] // block_rows) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
+        parts = F.create_map(*(F.lit(x) for c in cells for x in (c, held.get(c, 1))))
+        left = asked.select("key", "v", "cell", F.pmod(F.xxhash64("key"), parts[F.col("cell")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)).alias("block"))
+        right = ref.select("v", "cell", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)).alias("part"), "block")
+
+        def near(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"key": a["key"].slice(0, 0), "d2": pa.array([], pa.float64())})
+            x, y, d2 = _matrix(a["v"]), _matrix(b["v"]), []
+            for k in range(0, len(x), 1024):
+                some = x[k : k + 1024]
+                d2.append(((some - y[_squares(some, y).argmin(1)]) ** 2).sum(1))
+            return pa.table({"key": a["key"], "d2": pa.array(np.concatenate(d2))})
+
+        return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(near, f"key {kind}, d2 double")
+
+    own = own.mapInArrow(home, f"key {kind}, v array<double>, cell int, gap double").drop("gap")
+    first = search(own).groupBy("key").agg(F.min("d2").alias("d2"))
+    bound = first.select(F.col("key").alias("_key"), F.sqrt("d2").alias("bound"))
+    asked = own.join(bound, F.col("key") == F.col("_key"), "left").select("key", "bound", "cell", "v")
+    reach = np.full(len(at.value), -np.inf)
+    for c, (r, _) in cells.items():
+        reach[c] = r
+
+    def others(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column(3))
+                d = np.sqrt(_squares(v, at.value))
+                bound = np.array(batch.column(1).to_numpy(zero_copy_only=False), float)
+                bound[np.isnan(bound)] = np.inf
+                inside = d - reach[None] <= bound[:, None] * (1 + 1e-9) + 1e-9
+                inside[np.arange(len(v)), np.array(batch.column(2))] = False
+                row, cell = np.nonzero(inside)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(cell, pa.int32())], ["key", "v", "cell"])
+
+    more = search(asked.mapInArrow(others, f"key {kind}, v array<double>, cell int"))
+    return first.unionByName(more).groupBy(F.col("key").alias(key)).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -74,14 +143,16 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
 
 def quantile_bins(rows: DataFrame, x: str, y: str, bins: int, least: int) -> DataFrame:
     """Median and quartiles of ``y`` over bins of ``x`` between its quantiles; half open, so that the largest x is left out."""
-    edges = rows.agg(F.array_distinct(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(bins + 1))))).alias("edges"))
-    held = rows.join(F.broadcast(edges))  # one row
+    edges = quantiles(rows, [], x, [k / bins for k in range(bins + 1)]).agg(F.array_sort(F.collect_set("value")).alias("edges"))
+    held = rows.select(x, y).join(F.broadcast(edges))  # one row
     number = F.size(F.filter("edges", lambda e: e <= F.col(x)))
-    held = held.withColumn("bin", number - 1).where(F.col("bin") < F.size("edges") - 1)
+    held = held.withColumn("bin", number - 1).where((F.col("bin") < F.size("edges") - 1) & F.col(x).isNotNull())
     held = held.withColumn("centre", (F.element_at("edges", F.col("bin") + 1) + F.element_at("edges", F.col("bin") + 2)) / 2)
-    quartiles = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = held.groupBy("bin", "centre").agg(F.count("*").alias("n"), quartiles.alias("q"))
-    return out.where(F.col("n") >= least).select("bin", "centre", "n", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(2)).alias("q75"))
+    counts = held.groupBy("bin", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    quartiles = quantiles(held.select("bin", y), ["bin"], y, (0.25, 0.5, 0.75)).groupBy(F.col("bin").alias("_bin"))
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    quartiles = quartiles.agg(at(0.5).alias("median"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    return counts.join(quartiles, F.col("bin") == F.col("_bin"), "left").drop("_bin")
 
 
 def grid_median(rows: DataFrame, by: Sequence[str], x: str, y: str, value: str, low: float, high: float, cells: int, least: int) -> DataFrame:

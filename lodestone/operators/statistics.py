@@ -17,11 +17,72 @@ def macro_average(rows: DataFrame, cell: Sequence[str], entity: str, metric: str
     )
 
 
+#: A numbered column is cut into at most this many ranges, of so many rows where there are fewer.
+RANGES, RANGE_ROWS = 1024, 100_000
+
+
+def range_of(rows: DataFrame, order: str) -> Column:
+    """The number of the range in which a number lies; ranges hold about as many rows each, and a null lies in the first.
+
+    Their bounds are constants, so that a row that is computed again finds the same range.
+    """
+    value = F.col(order).cast("double")
+    n, bounds = rows.agg(F.count("*"), F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)])).first()
+    step = 1
+    while step * step * RANGE_ROWS < n and step * step < RANGES:
+        step *= 2
+    if step == 1 or not bounds:
+        return F.lit(0)
+    bounds = [bounds[k * RANGES // step**2 - 1] for k in range(1, step**2)]
+    array = lambda part: F.split(F.lit(",".join(map(repr, part))), ",").cast("array<double>")
+    coarse = F.size(F.filter(array(bounds[step - 1 :: step]), lambda b: b <= value))
+    return coarse * step + F.size(F.filter(F.slice(array(bounds), coarse * step + 1, F.lit(step - 1)), lambda b: b <= value))
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: str, weight: str | None = None) -> DataFrame:
+    """``rows`` with ``_nth``, the rows (or the sum of ``weight``) before a row in its group, in the order of the number ``order``.
+
+    Groups may be of any size: each is numbered range by range, and what earlier ranges hold of it is
+    added; only a row for each range and group meets in one place.
+    """
+    ranged = rows.withColumn("_part", range_of(rows, order))
+    one = F.col(weight) if weight else F.lit(1)
+    held = ranged.groupBy(*by, "_part").agg(F.sum(one).alias("_held"))
+    earlier = F.coalesce(F.sum("_held").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_of"), earlier.alias("_earlier"))
+    own = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_part") == F.col("_of")]
+    out = ranged.withColumn("_own", F.coalesce(F.sum(one).over(own), F.lit(0))).join(held, same)
+    return out.withColumn("_nth", (F.col("_own") + F.col("_earlier")).cast("long")).drop("_part", "_of", "_own", "_earlier", *(f"_by_{c}" for c in by))
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """``by, q, value``: exact, linearly interpolated quantiles of each group's values that aren't null.
+
+    Equal values are counted before they are put in order, and groups may be of any size.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = numbered(counts, by, "_v", "_n")
+    # The group's last value knows the group's size.
+    sizes = counts.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    placed = placed.join(sizes, same) if by else placed.join(F.broadcast(sizes))  # one row
+    at = lambda q: F.lit(q) * (F.col("_size") - 1)
+    holds = lambda rank: (F.col("_nth") <= rank) & (rank < F.col("_nth") + F.col("_n"))
+    # A value is a quantile's lower or upper neighbour, or both; few rows are left after this.
+    met = F.array(*(F.struct(F.lit(float(q)).alias("q"), at(q).alias("at"), holds(F.floor(at(q))).alias("low"), holds(F.ceil(at(q))).alias("high")) for q in qs))
+    near = placed.withColumn("_m", F.explode(F.filter(met, lambda m: m["low"] | m["high"])))
+    ends = near.groupBy(*by, F.col("_m.q").alias("q")).agg(
+        F.first("_m.at").alias("at"), F.max(F.when(F.col("_m.low"), F.col("_v"))).alias("low"), F.max(F.when(F.col("_m.high"), F.col("_v"))).alias("high")
+    )
+    mid = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    return ends.select(*by, "q", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(mid).alias("value"))
+
+
 def quantile_profile(rows: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
-    """``metric, q, value``: exact, linearly interpolated quantiles."""
-    profile = rows.select(*(F.percentile(c, list(qs)).alias(c) for c in columns)) if not columns else rows.agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in columns))
-    long = F.array(*(F.struct(F.lit(c).alias("metric"), F.lit(q).alias("q"), F.get(c, F.lit(k)).alias("value")) for c in columns for k, q in enumerate(qs)))
-    return profile.select(F.explode(long).alias("x")).select("x.metric", "x.q", "x.value")
+    """``metric, q, value``: exact, linearly interpolated quantiles of each column."""
+    long = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns))
+    return quantiles(rows.select(F.explode(long).alias("x")).select("x.metric", "x.v"), ["metric"], "v", qs)
 
 
 def average_ranks(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -40,27 +101,37 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return average_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
-def moving_average(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int) -> DataFrame:
-    """Means of ``k`` rows labelled with the first; a series of fewer rows is returned as it is."""
-    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(0, k - 1)
-    whole = Window.partitionBy(*by)
-    out = rows.withColumn("n", F.count("*").over(whole)).withColumn("held", F.count("*").over(ahead)).withColumn("mean", F.avg(value).over(ahead))
-    return out.where((F.col("held") == k) | (F.col("n") < k)).select(*by, order, F.when(F.col("n") < k, F.col(value)).otherwise(F.col("mean")).alias(value))
+def moving_average(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int, block: int = 4096) -> DataFrame:
+    """Means of ``k`` rows labelled with the first; a series of fewer rows is returned as it is.
+
+    A series may be of any length: it is cut into blocks of rows, each with the ``k - 1`` first ones of the next block.
+    """
+    placed = numbered(rows.select(*by, order, value), by, order)
+    home = F.floor(F.col("_nth") / block)
+    blocks = F.array_distinct(F.array(home, F.greatest(F.floor((F.col("_nth") - k + 1) / block), F.lit(0))))
+    cut = placed.select("*", home.alias("_home"), F.explode(blocks).alias("_block"))
+    ahead = Window.partitionBy(*by, "_block").orderBy("_nth").rowsBetween(0, k - 1)
+    out = cut.withColumn("held", F.count("*").over(ahead)).withColumn("mean", F.avg(value).over(ahead))
+    # A short series lies in its first block as a whole.
+    first = Window.partitionBy(*by, "_block")
+    out = out.withColumn("short", (F.col("_block") == 0) & (F.count("*").over(first) < k)).where("_home = _block")
+    return out.where((F.col("held") == k) | F.col("short")).select(*by, order, F.when(F.col("short"), F.col(value)).otherwise(F.col("mean")).alias(value))
 
 
 def every_nth(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """Every n-th row in order, n so that at most about ``most`` stay.
+    """Every n-th row in order, n so that at most about ``most`` stay."""
+    step = max(1, rows.count() // most)
+    return numbered(rows, [], order).where(F.col("_nth") % step == 0).drop("_nth")
 
-    Row numbers come from per-partition counts of a range partitioning, not from one global window.
-    """
-    total = rows.count()
-    step = max(1, total // most)
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", "_least", before.alias("_before"))
-    numbered = ranged.join(F.broadcast(starts), "_part").withColumn("_nth", F.col("_before") + F.col("_at") - F.col("_least"))  # a row for each partition
-    return numbered.where(F.col("_nth") % step == 0).drop("_part", "_at", "_least", "_before", "_nth")
+
+def ends(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int) -> DataFrame:
+    """Means of the first and the last ``k`` rows of each series, ``head, tail``; all but ``k`` rows of a series and task are left out before the shuffle."""
+
+    def side(name: str, place) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(place))
+        return rows.withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy(*by).agg(F.avg(value).alias(name))
+
+    return side("head", F.asc(order)).join(side("tail", F.desc(order)), list(by))
 
 
 def argmax_rows(rows: DataFrame, by: Sequence[str], best: Column, columns: Sequence[str]) -> DataFrame:
@@ -69,12 +140,16 @@ def argmax_rows(rows: DataFrame, by: Sequence[str], best: Column, columns: Seque
 
 
 def spaced_top(rows: DataFrame, by: Sequence[str], place: str, rank: str, k: int, apart: int) -> DataFrame:
-    """Greedily the ``k`` rows of the highest ``rank`` that lie at least ``apart`` from those taken.
+    """Greedily the ``k`` rows of the highest ``rank`` (a tie: of the least ``place``) that lie at least ``apart`` from those taken; ``nth`` from 0.
 
-    A fold over each group's sorted array; a group's rows must fit into one row.
+    A round for each: the best row of every group, combined before the shuffle, then the group's rows far enough from it.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col(rank)).alias("key"), F.col(place).alias("place"))))
-    empty = F.array().cast("array<bigint>")
-    take = lambda acc, x: F.when((F.size(acc) < k) & F.forall(acc, lambda t: F.abs(t - x["place"]) >= apart), F.concat(acc, F.array(x["place"]))).otherwise(acc)
-    chosen = rows.groupBy(*by).agg(ordered.alias("all")).select(*by, F.aggregate("all", empty, take).alias("taken"))
-    return chosen.select(*by, F.posexplode("taken").alias("nth", place))
+    left, out = rows.select(*by, place, rank), None
+    for nth in range(k):
+        best = left.groupBy(*by).agg(F.max_by(place, F.struct(F.col(rank), -F.col(place))).alias(place))
+        taken = best.select(*by, F.lit(nth).alias("nth"), place)
+        out = taken if out is None else out.unionByName(taken)
+        gone = best.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(place).alias("_taken"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        left = left.join(gone, same).where(F.abs(F.col(place) - F.col("_taken")) >= apart).select(*by, place, rank)
+    return out
