@@ -5,15 +5,13 @@ All have explicit schemas; what doesn't fit one is kept apart rather than guesse
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import text as X
+from lodestone.operators import records as R
+
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """One object a file: the good rows, and paths of files whose root is no object or doesn't parse."""
@@ -62,9 +60,38 @@ def trace(spark: SparkSession, path: str) -> DataFrame:
 
 def matrices(spark: SparkSession, glob: str) -> DataFrame:
     """White-space separated numbers of each file as an array of doubles."""
-    rows = spark.read.text(glob, wholetext=True)
-    cells = F.transform(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x.try_cast("double"))
-    return rows.select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"))
+    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), X.numbers(F.col("value")).alias("cells"))
+
+
+def scene_frames(spark: SparkSession, root: str, folder: str = "extrinsics", marker: str = "instances") -> DataFrame:
+    """``scene, frame, cam, value`` of the texts ``root/<scene>/<folder>/<frame>_<cam>.txt``; a directory is a scene if it has a file in ``marker``."""
+    rows = spark.read.text(f"{root}/*/{folder}/*.txt", wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+    part = lambda k: F.regexp_extract("_path", r"/([^/]+)/[^/]+/(\d+)_(\d+)\.txt$", k)
+    named = rows.select(part(1).alias("scene"), part(2).try_cast("int").alias("frame"), part(3).try_cast("int").alias("cam"), "value").where("scene <> ''")
+    marked = spark.read.format("binaryFile").load(f"{root}/*/{marker}/*").select(F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("scene")).distinct()
+    return named.join(marked, "scene", "left_semi")
+
+
+def inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Objects ``key, size_bytes, sha256`` of inventory files, and per file whether their number and sum are the stated ones."""
+    kind = "summary struct<object_count:bigint,total_bytes:bigint>, objects array<struct<key:string,size_bytes:bigint,sha256:string>>"
+    rows = spark.read.schema(kind).json(path, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
+    total = F.aggregate("objects", F.lit(0).cast("long"), lambda a, x: a + x["size_bytes"])
+    checks = rows.select("path", F.size("objects").cast("long").alias("n_objects"), total.alias("n_bytes"), (F.size("objects").eqNullSafe(F.col("summary.object_count").cast("int")) & total.eqNullSafe(F.col("summary.total_bytes"))).alias("matches"))
+    return rows.select("path", F.inline("objects")), checks
+
+
+def ledger_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of ``index.json`` against ``records/*.json`` and the front matter of ``notes/*.md``: what lacks or states another title or status."""
+    index = spark.read.schema("items array<struct<id:string,title:string,status:string>>").json(f"{folder}/index.json", multiLine=True).select(F.inline("items"))
+    records = spark.read.schema("experiment_id string, title string, status string").json(f"{folder}/records/*.json", multiLine=True)
+    records = records.select(F.col("experiment_id").alias("record_id"), F.col("title").alias("record_title"), F.col("status").alias("record_status"))
+    notes = front_matter(spark, f"{folder}/notes/*.md").groupBy("path").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"note_{k}") for k in ("id", "status")))
+    records = records.join(notes.drop("path"), F.col("record_id") == F.col("note_id"), "full")
+    records = records.select(F.coalesce("record_id", "note_id").alias("record"), "record_title", "record_status", "note_status")
+    return R.drift(index, records, "id", "record", {"title": "record_title", "status": "record_status"}).unionByName(
+        index.join(records, F.col("id") == F.col("record")).where(F.col("title").eqNullSafe(F.col("record_title")) & F.col("status").eqNullSafe(F.col("record_status")) & ~F.col("status").eqNullSafe(F.col("note_status")))
+    )
 
 
 def markdown_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -94,25 +121,6 @@ def output_gate(files: DataFrame, pattern: str, least: int, size: int) -> DataFr
     )
 
 
-def zip_entries(spark: SparkSession, glob: str, pattern: str = "") -> DataFrame:
-    """Entries of archives, and the contents of those whose names match; an archive is read by one task."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for e in z.infolist():
-                        wanted = bool(pattern) and re.search(pattern, e.filename) is not None
-                        rows.append((path, e.filename, e.compress_type, e.compress_size, e.file_size, e.header_offset, z.read(e) if wanted else None))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["path", "name", "method", "csize", "usize", "offset", "content"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    rows = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return rows.mapInArrow(run, "path string, name string, method int, csize long, usize long, offset long, content binary")
-
-
 def unseen(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What the ledger of processed items doesn't have."""
     return items.join(done.select(key).distinct(), key, "left_anti")

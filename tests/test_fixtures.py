@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import zipfile
 
 import numpy as np
 import pytest
@@ -225,14 +224,6 @@ def test_output_gate(spark, tmp_path):
     assert tuple(one(files.output_gate(stats, "g", 3, 2))) == (2, False, "g: 2/3 valid files")
 
 
-def test_zip(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("keep/a.txt", "hello" * 50)
-        z.writestr("skip.bin", b"0")
-    got = {r["name"]: r for r in files.zip_entries(spark, f"{tmp_path}/*.zip", r"^keep/").collect()}
-    assert bytes(got["keep/a.txt"]["content"]) == b"hello" * 50 and got["skip.bin"]["content"] is None and got["skip.bin"]["usize"] == 1
-
-
 def test_filled_hulls_against_half_planes():
     rng = np.random.default_rng(2)
     for _ in range(30):
