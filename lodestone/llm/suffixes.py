@@ -10,6 +10,10 @@ key space at a time, and all but the earliest of each tie are covered.
 Documents in order are cut into chunks. Keys travel as one sorted array for
 each chunk and bucket, a tie inside a chunk once; back come bit masks. So no
 bucket grows with a string's copies inside a chunk, and no row is a suffix.
+
+Suffixes are told apart by hashes, not by their bytes: by 64 bits within a
+bucket, and the bucket by further bits of a second hash, so that the chance of
+a false tie doesn't grow with the number of buckets.
 """
 
 from __future__ import annotations
@@ -30,29 +34,53 @@ from lodestone.llm.common import settle, text_key
 #: A perfect difference set: every residue is a difference of two members.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 LENGTH = 100
-#: Keys that a bucket holds on average.
-BUCKET_KEYS = 1 << 19
+#: Keys that a bucket holds at most on average, the fewer the smaller the corpus.
+BUCKET_KEYS = (1 << 19, 1 << 20, 1 << 21)
+#: Bytes of a chunk; as many as give a bucket ``ROW_KEYS`` keys from each chunk, within these bounds.
+CHUNK_BYTES, ROW_KEYS = (1 << 20, 1 << 24), 16
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
 
 
-def string_keys(text: np.ndarray, length: int) -> np.ndarray:
-    """64-bit keys of all substrings of this many bytes, by doubling."""
+def layout(total: int) -> tuple[int, int]:
+    """Bytes of a chunk, and the base-two logarithm of the number of buckets, for this many bytes of text."""
+    n_ranks = total * len(COVER) // PERIOD + 1
+    for most in BUCKET_KEYS:
+        log = max(0, math.ceil(math.log2(n_ranks / most)))
+        if log <= 16:
+            break
+    need = ROW_KEYS * (PERIOD << log) // len(COVER)
+    return min(max(need, CHUNK_BYTES[0]), CHUNK_BYTES[1]), log
+
+
+def string_keys(text: np.ndarray, length: int, mixed=None) -> np.ndarray:
+    """Keys of all substrings of this many bytes, by doubling: of 64 bits, or what ``mixed`` makes of the text's type."""
     n = len(text) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    done, keys, size, power = 0, None, 1, text.astype(np.uint64)
+    mixed = mixed or _mixed
+    done, keys, size, power = 0, None, 1, text.astype(np.uint64) if mixed is _mixed else text
     bits = length
     while bits:
         if bits & 1:
             part = power[done : done + n]
-            keys = part.copy() if keys is None else _mixed(keys, part)
+            keys = part.copy() if keys is None else mixed(keys, part)
             done += size
         bits >>= 1
         if bits:
-            power, size = _mixed(power[:-size], power[size:]), size * 2
+            power, size = mixed(power[:-size], power[size:]), size * 2
     return keys
 
 
+def _checked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The second hash, of 32 bits."""
+    out = a * np.uint32(0x85EBCA6B)
+    out ^= out >> np.uint32(15)
+    out += b
+    out *= np.uint32(0xC2B2AE35)
+    out ^= out >> np.uint32(13)
+    return out
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = a * _A
     out += b
@@ -88,9 +116,9 @@ class Chunk:
             keys.append(own[at])
         return np.concatenate(places), np.concatenate(keys)
 
-    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of the suffixes within reach of a tied cover position."""
-        places, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, keys and second hashes of the suffixes within reach of a tied cover position."""
+        places, keys, checks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
         bounds = np.searchsorted(tied, np.concatenate(([0], self.ends)))
         for k, (first, text) in enumerate(self.documents()):
             n = len(text) - LENGTH + 1
@@ -103,22 +131,21 @@ class Chunk:
             near = np.flatnonzero(np.cumsum(step[:n]) > 0)
             places.append(first + near)
             keys.append(string_keys(text, LENGTH)[near])
-        return np.concatenate(places), np.concatenate(keys)
+            checks.append(string_keys(text.astype(np.uint32), LENGTH, _checked)[near])
+        return np.concatenate(places), np.concatenate(keys), np.concatenate(checks)
 
 
-def ties(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their first indices, and the indices of the others."""
+def ties(keys: np.ndarray, checks: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their buckets and first indices, in the order of bucket and key, and the indices of the others."""
     order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
+    ranked, second = keys[order], checks[order]
     new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    return ranked[new], order[new], order[~new]
-
-
-def cut(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Bounds of the buckets in sorted keys: equal slices of the key space."""
-    edges = [(k << bits) // buckets for k in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
+    new[1:] = (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1])
+    first, buckets = order[new], second[new].astype(np.uint64) >> np.uint64(32 - log)
+    if log <= 16:
+        buckets = buckets.astype(np.uint16)  # sorted by counting
+    by_bucket = np.argsort(buckets, kind="stable")
+    return ranked[new][by_bucket], buckets[by_bucket], first[by_bucket], order[~new]
 
 
 def packed(keys: np.ndarray, twice: np.ndarray | None = None) -> bytes:
@@ -235,13 +262,14 @@ _BLOCK = "chunk long, bucket int, n long, frame binary"
 _KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
 
-def _blocks(chunk: int, keys: np.ndarray, buckets: int, bits: int, twice: np.ndarray | None = None) -> pa.RecordBatch:
-    """A chunk's sorted distinct keys, a row for each bucket."""
-    bounds = cut(keys, buckets, bits).tolist()
+def _blocks(chunk: int, keys: np.ndarray, buckets: np.ndarray, twice: np.ndarray | None = None) -> pa.RecordBatch:
+    """A chunk's distinct keys in the order of bucket and key, a row for each bucket that has any."""
+    bounds = [*np.flatnonzero(np.diff(buckets, prepend=buckets[:1])).tolist(), len(keys)]
+    if bounds[0]:
+        bounds.insert(0, 0)
     rows = [
-        (chunk, k, b - a, packed(keys[a:b], None if twice is None else twice[a:b]))
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))
-        if b > a
+        (chunk, int(buckets[a]), b - a, packed(keys[a:b], None if twice is None else twice[a:b]))
+        for a, b in zip(bounds, bounds[1:], strict=False)
     ]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], ["chunk", "bucket", "n", "frame"])
 
@@ -258,7 +286,7 @@ def _masks(blocks: DataFrame, rule, name: str) -> DataFrame:
     return masks.groupBy(F.col("chunk").alias(f"_{name}")).agg(F.collect_list(F.struct("bucket", "n", "mask")).alias(name))
 
 
-def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: int = BUCKET_KEYS, digest: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets: int | None = None, digest: bool = False) -> DataFrame:
     """The bytes of each text that a string of ``LENGTH`` bytes covers which also starts earlier.
 
     Earlier is a smaller doc_id (null first), at equal doc_ids a smaller text
@@ -268,14 +296,14 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: in
     end`` in bytes), or, as a digest, ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Suffixes are told apart by 64-bit hashes of their ``LENGTH`` bytes within a
-    bucket; cover ranks by as many bits as make one in a thousand of them tie by
-    chance, which costs work and changes no result.
+    bucket, and 32 bits of a second hash decide the bucket; cover ranks by as many bits as make one in a thousand of them tie by
+    chance, which costs work and changes no result. A text is held whole, about 60 bytes for each of its own.
     """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    planned = layout(total)
+    chunk_bytes, log = chunk_bytes or planned[0], planned[1] if log_buckets is None else log_buckets
     chunks = chunked(docs, chunk_bytes)
-    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0).cast("long"))))).first()[0] or 0
-    n_ranks = total * len(COVER) // PERIOD + 1
-    buckets = math.ceil(n_ranks / bucket_keys)
-    bits = min(64, n_ranks.bit_length() + 10)
+    bits = min(64, (total * len(COVER) // PERIOD + 1).bit_length() + 10)
     shift = np.uint64(64 - bits)
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -284,9 +312,9 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: in
             for chunk, sizes, frame in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys, times = np.unique(Chunk(sizes, frame).cover()[1] >> shift, return_counts=True)
                 if len(keys):
-                    yield _blocks(chunk, keys, buckets, bits, times > 1)
+                    yield _blocks(chunk, keys, keys >> np.uint64(bits - log), times > 1)
 
-    def suffixes(own: Chunk, ranks) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(own: Chunk, ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places, keys = own.cover()
         inverse = np.unique(keys >> shift, return_inverse=True)[1]
         return own.suffixes(places[_marks(ranks)[inverse]])
@@ -294,16 +322,16 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int = 1 << 20, bucket_keys: in
     def sort(batches):
         for batch in batches:
             for sizes, frame, ranks, chunk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                keys = np.unique(suffixes(Chunk(sizes, frame), ranks)[1])
+                keys, buckets, _, _ = ties(*suffixes(Chunk(sizes, frame), ranks)[1:], log)
                 if len(keys):
-                    yield _blocks(chunk, keys, buckets, 64)
+                    yield _blocks(chunk, keys, buckets)
 
     def cover(batches):
         for batch in batches:
             for sizes, frame, ranks, later, doc_ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 own = Chunk(sizes, frame)
-                places, keys = suffixes(own, ranks)
-                _, first, others = ties(keys)
+                places, keys, checks = suffixes(own, ranks)
+                _, _, first, others = ties(keys, checks, log)
                 starts = np.concatenate([places[others], places[first[_marks(later)]]])
                 step = np.zeros(len(own.text) + LENGTH + 1, np.int64)
                 step[: len(own.text) + 1] += np.bincount(starts, minlength=len(own.text) + 1)
