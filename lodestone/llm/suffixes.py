@@ -1,19 +1,20 @@
-"""Suffix-array dedup by blockwise construction over a difference cover.
+"""Suffix-array dedup by blockwise construction over difference covers.
 
 Two equal strings of ``length`` bytes have, at one of the first ``period``
 offsets, positions that both belong to the difference cover; the
-``length - period + 1`` bytes from there are equal too. So cover positions are
-ranked first, by the bytes that follow. Only suffixes beside a rank held twice
-can tie with another over ``length`` bytes: they alone are sorted, one bucket of the
-key space at a time, and all but the earliest of each tie are covered.
-
-Documents in order are cut into chunks. Keys travel as one sorted array for
-each chunk and bucket, a tie inside a chunk once; back come bit masks. So no
-bucket grows with a string's copies inside a chunk, and no row is a suffix.
-
-Suffixes are told apart by hashes, not by their bytes: by 64 bits within a
-bucket, and the bucket by further bits of a second hash, so that the chance of
-a false tie doesn't grow with the number of buckets.
+``length - period + 1`` bytes from there are equal too. So keys of cover positions are
+compared first: only suffixes beside a key held twice can tie with another
+over ``length`` bytes.
+
+These are dealt into buckets by the least gram that their ``length`` bytes hold, so that ties
+meet. Neighbouring suffixes of one bucket travel as one segment of text. Buckets
+are sorted one at a time, each over its own text alone: suffixes that tie by a hash are
+compared by their first bytes and then by the ranks of positions of a small
+difference cover of that text, which are made beforehand and exact. All but the
+earliest of each tie are covered.
+
+Documents in order are cut into chunks; a segment that a chunk repeats, and
+in a bucket one that several chunks hold, is sorted once. Back come bit masks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ from lodestone.llm.common import settle, text_key
 #: A perfect difference set: every residue is a difference of two members.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 LENGTH = 100
+#: Bytes of the grams of which the least one decides a suffix's bucket.
+GRAM = 16
+#: The cover of a bucket's text, and for two residues the offset at which both meet it.
+STEP, SMALL = 7, (0, 1, 3)
+_MEET = np.array([[next(d for d in range(STEP) if (a + d) % STEP in SMALL and (b + d) % STEP in SMALL) for b in range(STEP)] for a in range(STEP)])
 #: Keys that a bucket holds at most on average, the fewer the smaller the corpus.
 BUCKET_KEYS = (1 << 19, 1 << 20, 1 << 21)
 #: Bytes of a chunk; as many as give a bucket ``ROW_KEYS`` keys from each chunk, within these bounds.
@@ -116,9 +122,9 @@ class Chunk:
             keys.append(own[at])
         return np.concatenate(places), np.concatenate(keys)
 
-    def suffixes(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, keys and second hashes of the suffixes within reach of a tied cover position."""
-        places, keys, checks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    def segments(self, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places, numbers of suffixes and least grams of the segments of suffixes within reach of a tied cover position."""
+        firsts, counts, grams = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         bounds = np.searchsorted(tied, np.concatenate(([0], self.ends)))
         for k, (first, text) in enumerate(self.documents()):
             n = len(text) - LENGTH + 1
@@ -129,23 +135,123 @@ class Chunk:
             np.add.at(step, np.maximum(at - PERIOD + 1, 0), 1)
             np.add.at(step, at + 1, -1)
             near = np.flatnonzero(np.cumsum(step[:n]) > 0)
-            places.append(first + near)
-            keys.append(string_keys(text, LENGTH)[near])
-            checks.append(string_keys(text.astype(np.uint32), LENGTH, _checked)[near])
-        return np.concatenate(places), np.concatenate(keys), np.concatenate(checks)
+            least = least_of(string_keys(text.astype(np.uint32), GRAM, _checked), LENGTH - GRAM + 1)[near]
+            new = np.ones(len(near), bool)
+            new[1:] = (near[1:] != near[:-1] + 1) | (least[1:] != least[:-1])
+            starts = np.flatnonzero(new)
+            firsts.append(first + near[starts])
+            counts.append(np.diff(starts, append=len(near)))
+            grams.append(least[starts])
+        return np.concatenate(firsts), np.concatenate(counts), np.concatenate(grams)
+
+
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` consecutive values: of what is left of one block of that size and the start of the next."""
+    n = len(values) - size + 1
+    blocks = np.concatenate([values, np.full(-len(values) % size, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, size)
+    left = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
+    start = np.minimum.accumulate(blocks, 1).reshape(-1)
+    return np.minimum(left[:n], start[size - 1 : size - 1 + n])
+
+
+def spread(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` consecutive numbers from each of ``firsts``."""
+    return np.repeat(firsts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def own_segments(own: Chunk, tied: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's segments: first places and numbers of suffixes, and of the different ones in the order of their buckets: texts, indices, buckets; and the indices of repeats."""
+    firsts, counts, grams = own.segments(tied)
+    text, seen, new = own.text.tobytes(), set(), np.zeros(len(firsts), bool)
+    texts = []
+    for k, (a, n) in enumerate(zip(firsts.tolist(), counts.tolist(), strict=True)):
+        piece = text[a : a + n + LENGTH - 1]
+        if piece not in seen:
+            seen.add(piece)
+            texts.append(piece)
+            new[k] = True
+    chosen = np.flatnonzero(new)
+    buckets = ((grams[chosen] * np.uint32(0x9E3779B1)).astype(np.uint64) >> np.uint64(32 - log)).astype(np.int64)
+    order = np.argsort(buckets, kind="stable")
+    return firsts, counts, [texts[k] for k in order.tolist()], chosen[order], buckets[order], np.flatnonzero(~new)
+
+
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number whose order is theirs."""
+    n = len(text) - 7
+    out = np.zeros(n, np.uint64)
+    for k in range(8):
+        out <<= np.uint64(8)
+        out |= text[k : k + n]
+    return out
 
 
-def ties(keys: np.ndarray, checks: np.ndarray, log: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their buckets and first indices, in the order of bucket and key, and the indices of the others."""
-    order = np.argsort(keys, kind="stable")
-    ranked, second = keys[order], checks[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1])
-    first, buckets = order[new], second[new].astype(np.uint64) >> np.uint64(32 - log)
-    if log <= 16:
-        buckets = buckets.astype(np.uint16)  # sorted by counting
-    by_bucket = np.argsort(buckets, kind="stable")
-    return ranked[new][by_bucket], buckets[by_bucket], first[by_bucket], order[~new]
+def sorted_by(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of numbers below ``2 ** bits``, and which ones in it equal the one before."""
+    width = max(1, (len(values) - 1).bit_length())
+    if bits + width <= 64:  # a number and its place fit into one: sorting these is much faster than sorting places
+        both = np.sort((values.astype(np.uint64) << np.uint64(width)) | np.arange(len(values), dtype=np.uint64))
+        order, ranked = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+    else:
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+    return order, ranked[1:] == ranked[:-1]
+
+
+def ranks_of(values: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks: equal for equal numbers, in their order."""
+    order, same = sorted_by(values, bits)
+    out = np.zeros(len(values), np.uint64)
+    out[order[1:]] = np.cumsum(~same)
+    return out
+
+
+def cover_ranks(words: np.ndarray) -> np.ndarray:
+    """For the positions of the small cover, the rank of the 13 steps (91 bytes) from there."""
+    # A residue's positions are a step apart, so that a string of more steps is two ranked ones.
+    own_words = [words[r::STEP] for r in SMALL]
+    cuts = np.cumsum([len(w) for w in own_words])[:-1]
+    flat = np.concatenate(own_words)
+    width = np.uint64(max(1, len(flat).bit_length()))
+    five = ranks_of(flat >> np.uint64(24), 40)
+    ranks = np.split(ranks_of((five << np.uint64(16)) | (flat >> np.uint64(8)) & np.uint64(0xFFFF), int(width) + 16), cuts)
+    for ahead in (1, 2, 4, 5):
+        pairs = [(r[: max(len(r) - ahead, 0)] << width) | r[ahead:] for r in ranks]
+        ranks = np.split(ranks_of(np.concatenate(pairs), 2 * int(width)), np.cumsum([len(p) for p in pairs])[:-1])
+    out = np.zeros(len(words), np.uint32)
+    for r, own in zip(SMALL, ranks, strict=True):
+        out[r : r + STEP * len(own) : STEP] = own
+    return out
+
+
+def later_suffixes(texts: list[bytes], key_bits: int = 32) -> np.ndarray:
+    """Which of the texts' suffixes of ``LENGTH`` bytes or more tie, over these, with an earlier one, in the texts' order."""
+    text = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = spread(np.cumsum(sizes) - sizes, sizes - LENGTH + 1)
+    out = np.zeros(len(at), bool)
+    if not len(at):
+        return out
+    order, same = sorted_by(string_keys(text.astype(np.uint32), LENGTH, _checked)[at] >> np.uint32(32 - key_bits), key_bits)
+    if not same.any():
+        return out
+    i, j = order[:-1][same], order[1:][same]
+    p, q = at[i], at[j]
+    words = words_of(text)
+    ranks, meet = cover_ranks(words), _MEET[p % STEP, q % STEP]
+    tie = (words[p] == words[q]) & (ranks[p + meet] == ranks[q + meet])
+    for tail in (LENGTH - 16, LENGTH - 8):
+        tie &= words[p + tail] == words[q + tail]
+    out[j[tie]] = True
+    if not tie.all():  # different strings of one hash: their groups are told apart by the strings themselves
+        groups = np.concatenate(([0], np.cumsum(~same)))
+        for g in np.unique(groups[1:][same][~tie]).tolist():
+            seen = set()
+            for k in order[np.searchsorted(groups, g) : np.searchsorted(groups, g, "right")].tolist():
+                piece = text[at[k] : at[k] + LENGTH].tobytes()
+                out[k] = piece in seen
+                seen.add(piece)
+    return out
 
 
 def packed(keys: np.ndarray, twice: np.ndarray | None = None) -> bytes:
@@ -249,15 +355,6 @@ def repeated_rule(keys: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return out
 
 
-def later_rule(keys: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    """Suffixes that tie with one of an earlier chunk (chunks ascend and the sort is stable)."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    out = np.zeros(len(keys), bool)
-    out[order[1:][ranked[1:] == ranked[:-1]]] = True
-    return out
-
-
 _BLOCK = "chunk long, bucket int, n long, frame binary"
 _KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
@@ -275,17 +372,43 @@ def _blocks(chunk: int, keys: np.ndarray, buckets: np.ndarray, twice: np.ndarray
 
 
 def _marks(masks: list[dict] | None) -> np.ndarray:
-    """The marks of all buckets, in the order of the chunk's sorted keys."""
+    """The marks of all buckets, in the order of bucket and, in it, of what the chunk sent."""
     parts = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in sorted(masks or [], key=lambda m: m["bucket"])]
     return np.concatenate([*parts, np.empty(0, np.uint8)]).astype(bool)
 
 
-def _masks(blocks: DataFrame, rule, name: str) -> DataFrame:
-    """Each chunk's masks, gathered in one row."""
-    masks = _sorted_buckets(blocks, rule)
+def _gathered(masks: DataFrame, name: str) -> DataFrame:
+    """Each chunk's masks in one row."""
     return masks.groupBy(F.col("chunk").alias(f"_{name}")).agg(F.collect_list(F.struct("bucket", "n", "mask")).alias(name))
 
 
+def _sorted_segments(segments: DataFrame) -> DataFrame:
+    """Masks of the suffixes of each chunk and bucket that tie with an earlier one; ``segments`` has ``chunk, bucket, counts, text``."""
+
+    def run(key, table):
+        chunks = np.array(table["chunk"].to_pylist(), np.int64)
+        order = np.argsort(chunks, kind="stable")
+        counts = [np.frombuffer(table["counts"][int(i)].as_py(), np.uint32).astype(np.int64) for i in order]
+        seen, new, texts = set(), [], []
+        for i, n in zip(order.tolist(), counts, strict=True):
+            text, a = table["text"][i].as_py(), 0
+            for size in (n + LENGTH - 1).tolist():
+                piece = text[a : a + size]
+                a += size
+                new.append(piece not in seen)
+                if new[-1]:
+                    seen.add(piece)
+                    texts.append(piece)
+        # All suffixes of a segment that was there before tie.
+        marked = np.ones(sum(int(n.sum()) for n in counts), bool)
+        marked[np.repeat(np.array(new, bool), np.concatenate(counts))] = later_suffixes(texts)
+        sizes = [int(n.sum()) for n in counts]
+        masks = [np.packbits(m).tobytes() for m in np.split(marked, np.cumsum(sizes)[:-1])]
+        return pa.table({"chunk": pa.array(chunks[order]), "bucket": pa.array([key[0].as_py()] * len(order), pa.int32()), "n": pa.array(sizes, pa.int64()), "mask": pa.array(masks, pa.binary())})
+
+    return segments.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n long, mask binary")
+
+
 def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets: int | None = None, digest: bool = False) -> DataFrame:
     """The bytes of each text that a string of ``LENGTH`` bytes covers which also starts earlier.
 
@@ -295,9 +418,8 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
     judged on the input. Returns ``doc_id, n_bytes, spans`` (array of ``start,
     end`` in bytes), or, as a digest, ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    Suffixes are told apart by 64-bit hashes of their ``LENGTH`` bytes within a
-    bucket, and 32 bits of a second hash decide the bucket; cover ranks by as many bits as make one in a thousand of them tie by
-    chance, which costs work and changes no result. A text is held whole, about 60 bytes for each of its own.
+    The result is exact: keys of cover positions, of as many bits as make one in a thousand of them tie by
+    chance, only cost work, and suffixes that tie are compared by their bytes and by exact ranks. A text is held whole, about 60 bytes for each of its own.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     planned = layout(total)
@@ -314,25 +436,28 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
                 if len(keys):
                     yield _blocks(chunk, keys, keys >> np.uint64(bits - log), times > 1)
 
-    def suffixes(own: Chunk, ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tied(own: Chunk, ranks) -> np.ndarray:
         places, keys = own.cover()
         inverse = np.unique(keys >> shift, return_inverse=True)[1]
-        return own.suffixes(places[_marks(ranks)[inverse]])
+        return places[_marks(ranks)[inverse]]
 
-    def sort(batches):
+    def send(batches):
         for batch in batches:
             for sizes, frame, ranks, chunk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                keys, buckets, _, _ = ties(*suffixes(Chunk(sizes, frame), ranks)[1:], log)
-                if len(keys):
-                    yield _blocks(chunk, keys, buckets)
+                own = Chunk(sizes, frame)
+                _, counts, texts, chosen, buckets, _ = own_segments(own, tied(own, ranks), log)
+                edges = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(buckets)]
+                rows = [(chunk, int(buckets[a]), counts[chosen[a:b]].astype(np.uint32).tobytes(), b"".join(texts[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["chunk", "bucket", "counts", "text"])
 
     def cover(batches):
         for batch in batches:
             for sizes, frame, ranks, later, doc_ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 own = Chunk(sizes, frame)
-                places, keys, checks = suffixes(own, ranks)
-                _, _, first, others = ties(keys, checks, log)
-                starts = np.concatenate([places[others], places[first[_marks(later)]]])
+                firsts, counts, _, chosen, _, others = own_segments(own, tied(own, ranks), log)
+                starts = np.concatenate([spread(firsts[chosen], counts[chosen])[_marks(later)], spread(firsts[others], counts[others])])
                 step = np.zeros(len(own.text) + LENGTH + 1, np.int64)
                 step[: len(own.text) + 1] += np.bincount(starts, minlength=len(own.text) + 1)
                 step[LENGTH:] -= np.bincount(starts, minlength=len(own.text) + 1)
@@ -357,10 +482,11 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
         counts = [pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64())]
         return pa.RecordBatch.from_arrays([*head, *counts, pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    ranks = settle(_masks(chunks.select("chunk", "sizes", "frame").mapInArrow(rank, _BLOCK), repeated_rule, "ranks"))
+    ranks = settle(_gathered(_sorted_buckets(chunks.select("chunk", "sizes", "frame").mapInArrow(rank, _BLOCK), repeated_rule), "ranks"))
     # Both uses of this join read the same columns, so that they share its shuffles; the next join on the chunk needs none for it.
     ranked = chunks.join(ranks, F.col("chunk") == F.col("_ranks"), "left").drop("_ranks")
-    later = _masks(ranked.select("sizes", "frame", "ranks", "chunk", "doc_ids").mapInArrow(sort, _BLOCK), later_rule, "later")
+    segments = ranked.select("sizes", "frame", "ranks", "chunk", "doc_ids").mapInArrow(send, "chunk long, bucket int, counts binary, text binary")
+    later = _gathered(_sorted_segments(segments), "later")
     joined = ranked.join(later, F.col("chunk") == F.col("_later"), "left")
     last = "n_removed long, n_spans long, kept_sha256 string" if digest else "spans array<struct<start:long,end:long>>"
     return joined.select("sizes", "frame", "ranks", "later", "doc_ids").mapInArrow(cover, f"doc_id {doc_kind}, n_bytes long, {last}")

@@ -316,9 +316,51 @@ def test_op3_layout_keeps_rows_few():
     assert suffixes.layout(0) == suffixes.layout(1) == (1 << 20, 0)
 
 
+@pytest.mark.parametrize("key_bits", [32, 12, 1])
+@pytest.mark.parametrize("packed", [True, False])
+def test_op3_ties_are_exact_whatever_the_hash(monkeypatch, key_bits, packed):
+    """With few bits nearly all suffixes tie by their hash: bytes and ranks must part them."""
+    if not packed:
+        own = suffixes.sorted_by
+        monkeypatch.setattr(suffixes, "sorted_by", lambda values, bits: own(values, 64))
+    rng = np.random.default_rng(key_bits)
+    base = rng.integers(97, 100, 900, dtype=np.uint8)
+    for _ in range(20):
+        texts = [b"a" * 250, b"ab" * 120, b"x" * 100]
+        for _ in range(12):
+            a, n = rng.integers(0, 700), rng.integers(100, 200)
+            piece = base[a : a + n].copy()
+            if rng.random() < 0.5:
+                piece[rng.integers(0, n)] = 120
+            texts.append(piece.tobytes())
+        seen, expected = set(), []
+        for t in texts:
+            for k in range(len(t) - suffixes.LENGTH + 1):
+                expected.append(t[k : k + suffixes.LENGTH] in seen)
+                seen.add(t[k : k + suffixes.LENGTH])
+        assert suffixes.later_suffixes(texts, key_bits).tolist() == expected
+    assert suffixes.later_suffixes([], key_bits).tolist() == [] and suffixes.later_suffixes([b"x" * 100], key_bits).tolist() == [False]
+
+
+def test_op3_least_grams_and_ranks():
+    rng = np.random.default_rng(12)
+    values = rng.integers(0, 1000, 700, dtype=np.uint32)
+    assert suffixes.least_of(values, 85).tolist() == [values[k : k + 85].min() for k in range(616)]
+    text = np.frombuffer(bytes(rng.integers(97, 99, 600, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
+    ranks = suffixes.cover_ranks(suffixes.words_of(text))
+    places = [p for p in range(len(text) - 98) if p % suffixes.STEP in suffixes.SMALL]
+    strings = {p: text[p : p + 91].tobytes() for p in places}
+    order = {x: n for n, x in enumerate(sorted(set(strings.values())))}
+    got = {}
+    for p in places:
+        got.setdefault(order[strings[p]], set()).add(int(ranks[p]))
+    least = [min(got[k]) for k in sorted(got)]
+    assert all(len(x) == 1 for x in got.values()) and least == sorted(set(least))
+
+
 def test_op3_cover_is_complete():
-    met = {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER}
-    assert met == set(range(suffixes.PERIOD))
+    for period, cover in ((suffixes.PERIOD, suffixes.COVER), (suffixes.STEP, suffixes.SMALL)):
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
 # --- op4
