@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
 
 from lodestone.llm.common import settle, shared_folder, text_key
@@ -53,10 +54,11 @@ _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
 
 def by_words(tokenizer: Tokenizer) -> bool:
     """Whether the tokenizer is of the kind that :class:`WordIds` knows; its special tokens hold no white space."""
-    own = json.loads(tokenizer.to_str())
-    known = own["normalizer"] == _NORMALISER and own["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLITTER, _BYTES]}
-    plain = own["model"]["type"] == "BPE" and not own["model"]["dropout"] and not own["truncation"] and not own["padding"]
-    return known and plain and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in own["added_tokens"])
+    state = lambda part: json.loads(part.__getstate__()) if part else None
+    known = state(tokenizer.normalizer) == _NORMALISER and state(tokenizer.pre_tokenizer) == {"type": "Sequence", "pretokenizers": [_SPLITTER, _BYTES]}
+    plain = isinstance(tokenizer.model, BPE) and not tokenizer.model.dropout and not tokenizer.truncation and not tokenizer.padding
+    added = tokenizer.get_added_tokens_decoder().values()
+    return known and plain and not any(t.normalized or t.lstrip or t.rstrip or t.single_word or t.content.split() != [t.content] for t in added)
 
 
 class TextIds:
