@@ -31,6 +31,12 @@ def shared_folder(session: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def drop_folder(session: SparkSession, path: str) -> None:
+    """Delete a folder that a query wrote and needs no more."""
+    at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_dealt(left: DataFrame, right: DataFrame, keys: dict[str, str], rows: str, spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
     """Equi-join of ``left`` with ``right``, where one key may be that of a third of ``left``'s rows.
 

@@ -68,7 +68,8 @@ def assign(docs: DataFrame, *, shards: int = 40, virtual: int = 64, slack: float
     ``size`` is the text's UTF-8 bytes (null: none) plus 16. Loads are bytes: a shard
     takes at most ``1 + slack`` times the mean, or, where nothing fits, at most
     the mean and one cell. ``slot`` counts a shard's rows from 0 without gaps. The
-    key is doc_id and text; equal rows share a cell and
+    key is doc_id and text: equal texts of several doc_ids are dealt over the
+    shards, as one text may be a third of all rows and no shard could take it. Equal rows share a cell and
     have slots side by side. With no rows the result is empty.
     """
     session = docs.sparkSession

@@ -739,6 +739,34 @@ def test_op10_law_and_slots(spark, table):
     assert shards.assign(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_shards, virtual, slack", [(40, 64, 0.0005), (7, 16, 0.05)])
+def test_op10_against_a_ring_in_plain_python(spark, table, n_shards, virtual, slack):
+    """Hashes are Spark's; walking the ring and filling shards is done one cell after the other."""
+    docs = docs_of(spark, table + EDGE)
+    nodes = spark.range(n_shards).selectExpr("CAST(id AS INT) AS shard").crossJoin(spark.range(virtual).selectExpr("id AS replica"))
+    nodes = nodes.selectExpr("shard", f"CAST(pmod(xxhash64('node', shard, replica), {shards.CELLS}) AS INT) AS at").selectExpr("at", "xxhash64(at, shard) AS tie", "shard")
+    ring = sorted((r["at"], r["tie"], r["shard"]) for r in nodes.collect())
+    placed = docs.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 16 AS size", "crc32(CAST(coalesce(text, '') AS BINARY)) AS crc", "xxhash64(doc_id, xxhash64(text, isnull(text))) AS draw")
+    cells = defaultdict(list)
+    for r in placed.selectExpr("*", f"pmod(xxhash64('cell', draw), {shards.CELLS}) AS cell").collect():
+        cells[r["cell"]].append((r["draw"], (r["doc_id"] is not None, r["doc_id"] or 0), r["crc"], r["size"], r["doc_id"]))
+    load = {c: sum(x[3] for x in rows) for c, rows in cells.items()}
+    limit = -int(-sum(load.values()) * (1 + slack) // n_shards)
+    held, shard_of = [0] * n_shards, {}
+    for c in sorted(load, key=lambda c: (-load[c], c)):
+        start = sum(at < c for at, _, _ in ring)
+        way = dict.fromkeys(s for _, _, s in ring[start:] + ring[:start])
+        shard_of[c] = next((s for s in way if held[s] + load[c] <= limit), held.index(min(held)))
+        held[shard_of[c]] += load[c]
+    slots, expected = Counter(), Counter()
+    for c in sorted(cells):
+        for *_, crc, size, doc_id in sorted(cells[c], key=lambda x: x[:4]):
+            expected[doc_id, size, crc, shard_of[c], slots[shard_of[c]]] += 1
+            slots[shard_of[c]] += 1
+    got = shards.assign(docs, shards=n_shards, virtual=virtual, slack=slack)
+    assert Counter(tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()) == expected
+
+
 def test_op10_one_more_shard_moves_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before, after = (shards.assign(docs, shards=n).select("doc_id", "size", "text_crc32", "shard") for n in (40, 41))

@@ -109,6 +109,41 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[5].collect()))
 
 
+EDGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder_of(spark, tmp_path, rows, items):
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], EDGE_DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_edge_cases(spark, tmp_path):
+    body = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, None, None), (1, "", "a"), (2, "few words", "a"), (3, body(3), "a"), (3, body(3), "a"), (4, body(4), None), (None, body(5), "b"), (None, body(5), "b"), (6, body(6, 20000), "a")]
+    rows += [(7, body(7) + " alpha beta gamma delta", "b"), (8, body(4), "b"), (9, body(9) + " unseen tail", "a"), (9, "w9x0 " * 200, "a")]
+    sf = folder_of(spark, tmp_path, rows, [(None, "alpha beta gamma delta"), (2, None), (3, "")])
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = settle(stage(spark, docs, sf))
+        kept.append(docs.collect())
+    named = [Counter((r["doc_id"], len((r["text"] or "").split())) for r in k) for k in kept[:3]]
+    quality = Counter({(3, 80): 2, (4, 80): 1, (None, 80): 2, (6, 20000): 1, (7, 84): 1, (8, 80): 1, (9, 82): 1})
+    assert named[0] == quality
+    single = Counter({(3, 80): 1, (4, 80): 1, (None, 80): 1, (6, 20000): 1, (7, 84): 1, (9, 82): 1})  # 8 is a copy of 4
+    assert named[1] == single
+    assert named[2] == single - Counter({(7, 84): 1})
+    mixed = Counter(r["doc_id"] for r in kept[3])
+    assert mixed and set(mixed) <= {3, 4, None, 6, 9} and max(mixed.values()) <= 2
+    assert Counter(r["doc_id"] for r in kept[4]) == mixed
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, kept[4]))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None)]])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    assert corpus_pipeline.run(spark, folder_of(spark, tmp_path, rows, [])).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
