@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, jaccard, mixing, quality, tokens
-from lodestone.llm.common import settle
+from lodestone.llm.common import drop_folder, shared_folder
 from lodestone.llm.queries import tokenizer_file
 
 
@@ -49,13 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's rows are written to the shared checkpoint folder and read again."""
-    settle(spark.range(1))  # sets a folder where the session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages; each one's rows are written to the shared checkpoint folder, read again, and deleted when the next one's are there."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{number}-{name}")
             docs = spark.read.parquet(f"{folder}/{number}-{name}")
+            if number:
+                drop_folder(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
