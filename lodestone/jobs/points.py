@@ -125,7 +125,7 @@ def consistency(spark, sf):
     return per.groupBy("label").agg(F.round(F.avg("s"), 9).alias("mean_sd"), F.round(F.max("s"), 9).alias("max_sd"))
 
 
-#: Ten cameras, one for each label: the mean of its points, turned about the vertical by 36 degrees each.
+#: A camera for each label: the mean of its points, turned about the vertical by 36 degrees each.
 CAMS = f"(SELECT label AS cam, avg(x) AS cx, avg(y) AS cy, avg(z) - 2 AS cz, cos(label * 0.1) AS c, sin(label * 0.1) AS s FROM {PTS} GROUP BY label)"
 SIGNS = "(VALUES " + ", ".join(f"({a}.0::DOUBLE, {b}.0::DOUBLE, {c}.0::DOUBLE)" for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)) + ") t(sa, sb, sc)"
 CORNERS = f"SELECT vec_id, x + sa * (abs(v) + 0.1) AS px, y + sb * (abs(w) + 0.1) AS py, z + sc * 0.2 AS pz FROM {PTS}, {SIGNS}"
@@ -143,7 +143,7 @@ def views(spark, sf):
     )
     cams = p.groupBy(F.col("label").alias("cam")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.avg("z") - 2).alias("cz"))
     cams = cams.withColumns({"c": F.cos(F.col("cam") * 0.1), "s": F.sin(F.col("cam") * 0.1)})
-    seen = corners.join(F.broadcast(cams))  # ten cameras
+    seen = P.with_every(corners, cams)
     zero, one = F.lit(0.0), F.lit(1.0)
     rotation = [F.col("c"), zero, F.col("s"), zero, one, zero, -F.col("s"), zero, F.col("c")]
     camera = M.to_camera([F.col("px"), F.col("py"), F.col("pz")], rotation, [F.col("cx"), F.col("cy"), F.col("cz")])
@@ -175,7 +175,7 @@ def camera_distance(spark, sf):
     p = points(spark, sf)
     cams = p.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.avg("z") - 2).alias("cz")).drop("label")
     d = F.sqrt(P.squared_distance([F.col(c) for c in P.XYZ], [F.col(f"c{c}") for c in P.XYZ]))
-    return p.join(F.broadcast(cams)).groupBy("vec_id").agg(F.round(F.median(d), 6).alias("distance"))  # ten cameras
+    return P.with_every(p, cams).groupBy("vec_id").agg(F.round(F.median(d), 6).alias("distance"))
 
 
 @JOBS.query("j14_join_lookup_grid", f"SELECT label, count(*)::BIGINT AS n_observed FROM {PTS} p WHERE EXISTS (SELECT 1 FROM {PTS} o WHERE o.label = 0 AND round_even(o.x, 0) = round_even(p.x, 0) AND round_even(o.y, 0) = round_even(p.y, 0) AND round_even(o.z, 0) = round_even(p.z, 0)) GROUP BY label")

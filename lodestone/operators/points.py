@@ -21,6 +21,11 @@ def voxel_downsample(points: DataFrame, size: float, by: Sequence[str] = ()) ->
     return points.groupBy(*by, *keys).agg(*(F.avg(c).alias(c) for c in XYZ), F.count("*").alias("n"))
 
 
+def with_every(rows: DataFrame, few: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row with each of ``few``, such as cameras: broadcast up to ``most`` of them, beyond that a product of partitions."""
+    return rows.crossJoin(F.broadcast(few) if few.limit(most + 1).count() <= most else few)
+
+
 def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
     out = F.lit(0.0)
     for p, q in zip(a, b, strict=True):

@@ -5,6 +5,8 @@ All have explicit schemas; what doesn't fit one is kept apart rather than guesse
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,21 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def replace_report(rows: DataFrame, path: str) -> None:
+    """As :func:`write_report`, into a new folder that takes the place of the old one by renaming: readers see one or the other, and rows may come from the old one."""
+    session = rows.sparkSession
+    turn = uuid.uuid4().hex
+    rows.write.json(f"{path}.new-{turn}")
+    jvm = session.sparkContext._jvm
+    at = lambda suffix="": jvm.org.apache.hadoop.fs.Path(f"{path}{suffix}")
+    system = at().getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+    old = system.exists(at())
+    if old and not system.rename(at(), at(f".old-{turn}")) or not system.rename(at(f".new-{turn}"), at()):
+        raise OSError(f"{path} can't be replaced; the new rows are in {path}.new-{turn}")
+    if old:
+        system.delete(at(f".old-{turn}"), True)
+
+
 def append_events(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -107,6 +107,21 @@ def test_inventory_totals(spark, tmp_path):
     assert objects.count() == 4 and {r["path"].split("/")[-1]: r["matches"] for r in checks.collect()} == {"good.json": True, "bad.json": False}
 
 
+def test_report_takes_the_place_of_the_old_one(spark, tmp_path):
+    path = f"{tmp_path}/report"
+    read = lambda: spark.read.schema("k long").json(path)
+    files.replace_report(spark.range(3).withColumnRenamed("id", "k"), path)
+    files.replace_report(read().selectExpr("k + 10 AS k"), path)  # made of the rows that it replaces
+    assert sorted(r["k"] for r in read().collect()) == [10, 11, 12]
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_every_pair_with_few_or_many(spark):
+    rows, few = spark.range(20), spark.range(5).withColumnRenamed("id", "c")
+    for most in (10, 3):
+        assert P.with_every(rows, few, most).count() == 100
+
+
 def test_ledger_drift(spark, tmp_path):
     for d in ("records", "notes"):
         (tmp_path / d).mkdir()
