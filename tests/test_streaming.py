@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.sources import tail
 from lodestone.streaming import delivery, supervisor, windows
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,39 @@ def test_delivery(spark, tmp_path):
     query.awaitTermination(60)
     assert spark.read.json(f"{tmp_path}/log").count() == 3
     assert {r["event_id"]: r["ok"] for r in spark.read.json(f"{tmp_path}/audit").collect()} == {1: True, 3: False}
+
+
+def test_tail_reads_whole_lines_as_they_end(spark, tmp_path):
+    tail.register(spark)
+    (tmp_path / "in").mkdir()
+    log = tmp_path / "in" / "a.log"
+    log.write_bytes(b"first\nfatal er")
+    rows = spark.readStream.format("tail").load(f"{tmp_path}/in/*.log")
+    query = rows.writeStream.format("memory").queryName("tailed").option("checkpointLocation", f"{tmp_path}/state").start()
+    read = lambda: sorted(r["line"] for r in spark.table("tailed").collect())
+    try:
+        query.processAllAvailable()
+        assert read() == ["first"]
+        with log.open("ab") as f:
+            f.write("ror é\nthird\npart".encode())
+        query.processAllAvailable()
+        assert read() == ["fatal error é", "first", "third"]
+        (tmp_path / "in" / "b.log").write_bytes(b"other\n")
+        query.processAllAvailable()
+        assert read() == ["fatal error é", "first", "other", "third"]
+    finally:
+        query.stop()
+
+
+def test_tail_spans_part_at_lines(tmp_path, monkeypatch):
+    lines = [f"line {k} " + "x" * (k % 13) for k in range(200)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\nrest")
+    reader = tail.TailReader(f"{tmp_path}/*.log")
+    end = reader.latestOffset()
+    for span in (1, 7, 100, 10**6):
+        monkeypatch.setattr(tail, "SPAN", span)
+        assert [r[2] for p in reader.partitions({}, end) for r in reader.read(p)] == lines
+    path = f"{tmp_path}/a.log"
+    assert reader.partitions(end, end) == [] and reader.partitions({path: 10**9}, end)[0].start == 0
+    monkeypatch.setattr(tail, "STEP", 3)
+    assert reader.latestOffset() == end and tail.last_break(path, 4) == 0
