@@ -283,6 +283,33 @@ def occluders(spark, sf):
     return pairs.groupBy("a.scene", "a.frame", "a.cam", "a.line").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("occlusion"))
 
 
+@JOBS.query(
+    "p24_depth_strict_lt",
+    f"SELECT a.frame, a.cam, count(*)::BIGINT AS n_pairs, (count(*) FILTER (WHERE b.depth < a.depth))::BIGINT AS n_nearer, (count(*) FILTER (WHERE b.depth = a.depth))::BIGINT AS n_level FROM {OBS} a JOIN {OBS} b ON a.frame = b.frame AND a.cam = b.cam AND a.instance_id <> b.instance_id GROUP BY a.frame, a.cam",
+)
+def strictly_nearer(spark, sf):
+    """Of the pairs of different entities in a view, those whose second is strictly nearer; at equal depth neither hides the other."""
+    rows = observations(spark, sf).select("frame", "cam", "instance_id", "depth")
+    other = rows.select("frame", "cam", F.col("instance_id").alias("other"), F.col("depth").alias("its_depth"))
+    pairs = rows.join(other, ["frame", "cam"]).where("instance_id <> other")
+    return pairs.groupBy("frame", "cam").agg(F.count("*").alias("n_pairs"), F.count_if(F.expr("its_depth < depth")).alias("n_nearer"), F.count_if(F.expr("its_depth = depth")).alias("n_level"))
+
+
+@JOBS.query(
+    "f18_coverage_ratio",
+    f"""SELECT a.frame, a.cam, a.line, b.line AS other, round(CASE WHEN least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+      THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1e-6) ELSE 0 END, 9) AS ratio
+    FROM {BOX} a JOIN {BOX} b ON a.frame = b.frame AND a.cam = b.cam AND a.line <> b.line""",
+)
+def coverage_ratios(spark, sf):
+    """How much of each box another one of its view covers; not symmetric."""
+    boxes = observations(spark, sf).selectExpr("frame", "cam", "line", "depth AS x0", "line * 2.0D AS y0", "depth + px_height / 40 AS x1", "line * 2.0D + 3 AS y1")
+    a, b = boxes.alias("a"), boxes.alias("b")
+    pairs = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cam") == F.col("b.cam")) & (F.col("a.line") != F.col("b.line")))
+    side = lambda t: [F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")]
+    return pairs.select("a.frame", "a.cam", "a.line", F.col("b.line").alias("other"), F.round(M.coverage_ratio(side("a"), side("b")), 9).alias("ratio"))
+
+
 @JOBS.query("w07_argmax_per_frame", f"SELECT scene, frame, cam, px_height FROM (SELECT *, row_number() OVER (PARTITION BY scene, frame ORDER BY px_height DESC, cam, line) AS nth FROM {OBS}) WHERE nth = 1")
 def argmax_per_frame(spark, sf):
     best = F.struct("px_height", (-F.col("cam")).alias("c"), (-F.col("line")).alias("l"))
