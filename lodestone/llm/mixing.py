@@ -238,8 +238,14 @@ def repeated(docs: DataFrame, *, source: str = "source", **options) -> DataFrame
     )
     same_row = [names[k] for k in ("id", "key", "source")]
     taken = taken.groupBy(*same_row).agg(F.sum(c["copies"]).alias(names["copies"]), F.count("*").alias(names["rows"])).where(c["copies"] > 0)
+    taken = settle(taken)
     same = docs["doc_id"].eqNullSafe(taken[names["id"]]) & (text_key(docs["text"]) == taken[names["key"]]) & docs[source].cast("string").eqNullSafe(taken[names["source"]])
     joined = docs.join(taken, same)
+    plain = [F.col(f"`{x}`") for x in docs.columns]
+    one = joined.where(c["rows"] == 1).select(*(docs[x] for x in docs.columns), c["copies"].cast("int").alias(names["copies"]))
+    emitted = lambda rows: rows.select(*plain, F.explode(F.sequence(F.lit(1), c["copies"])).alias(names["nth"])).drop(names["nth"])
+    if not taken.where(c["rows"] > 1).limit(1).count():  # no rows are equal
+        return emitted(one)
     many = joined.where(c["rows"] > 1).withColumns({names["part"]: F.spark_partition_id(), names["at"]: F.monotonically_increasing_id()})
     many = settle(many)
     held = many.groupBy(*same_row, names["part"]).agg(F.count("*").alias("n"))
@@ -249,10 +255,8 @@ def repeated(docs: DataFrame, *, source: str = "source", **options) -> DataFrame
     own = F.row_number().over(Window.partitionBy(*same_row, names["part"]).orderBy(names["at"])) - 1
     many = many.withColumn(names["nth"], own).join(held, here)
     extra = (F.col("_before") + c["nth"] < F.pmod(c["copies"], c["rows"])).cast("long")
-    plain = [F.col(f"`{x}`") for x in docs.columns]
     many = many.select(*plain, (F.floor(c["copies"] / c["rows"]) + extra).cast("int").alias(names["copies"])).where(c["copies"] > 0)
-    one = joined.where(c["rows"] == 1).select(*(docs[x] for x in docs.columns), c["copies"].cast("int").alias(names["copies"]))
-    return one.unionByName(many).select(*plain, F.explode(F.sequence(F.lit(1), c["copies"])).alias(names["nth"])).drop(names["nth"])
+    return emitted(one.unionByName(many))
 
 
 ORACLE = """
