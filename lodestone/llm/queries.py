@@ -6,16 +6,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jaccard, lines, mixing, quality, secrets, shards, suffixes, tokens, urls
+from lodestone.llm import decontaminate, jaccard, lines, mixing, packing, quality, secrets, shards, suffixes, tokens, urls
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """The tokenizer's file: ``LODESTONE_TOKENIZER``, or the installed public one."""
     if path := os.environ.get("LODESTONE_TOKENIZER"):
         return path
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.assign(_read(spark, sf_dir, "documents")))
 
 
+def op11_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op8_url_filter,
         op9_token_files,
         op10_ring_shards,
+        op11_pack_windows,
     )
 }
 
