@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jaccard, lines, mixing, packing, quality, secrets, shards, suffixes, tokens, urls
+from lodestone.llm import decontaminate, jaccard, lines, merkle, mixing, packing, quality, resampling, secrets, shards, suffixes, tokens, urls
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -67,6 +67,14 @@ def op11_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json")))
 
 
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(_read(spark, sf_dir, "documents"), digest=True).drop("source")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +89,8 @@ QUERIES = {
         op9_token_files,
         op10_ring_shards,
         op11_pack_windows,
+        op12_merkle_proofs,
+        op13_resample,
     )
 }
 
@@ -90,4 +100,6 @@ ORACLE_SQL = {
     "op5_line_quality": quality.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op8_url_filter": urls.ORACLE,
+    "op12_merkle_proofs": merkle.ORACLE,
+    "op13_resample": resampling.ORACLE,
 }
