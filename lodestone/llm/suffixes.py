@@ -13,6 +13,10 @@ compared by their first bytes and then by the ranks of positions of a small
 difference cover of that text, which are made beforehand and exact. All but the
 earliest of each tie are covered.
 
+A passage that many documents share in different surroundings has one gram that is the least
+of most suffixes around it. A bucket that has grown too heavy so is split: its suffixes
+are dealt by 128-bit keys of their bytes, which spread whatever grams they share.
+
 Documents in order are cut into chunks; a segment that a chunk repeats, and
 in a bucket one that several chunks hold, is sorted once. Back come bit masks.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle, text_key
+from lodestone.llm.common import settle, shared_folder, text_key
 
 #: A perfect difference set: every residue is a difference of two members.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
@@ -44,6 +49,10 @@ _MEET = np.array([[next(d for d in range(STEP) if (a + d) % STEP in SMALL and (b
 BUCKET_KEYS = (1 << 19, 1 << 20, 1 << 21)
 #: Bytes of a chunk; as many as give a bucket ``ROW_KEYS`` keys from each chunk, within these bounds.
 CHUNK_BYTES, ROW_KEYS = (1 << 20, 1 << 24), 16
+#: Bytes of segments from which on a bucket is split, or so many times the mean bucket's where that is more.
+HEAVY, HEAVY_MEANS = 4 << 20, 4
+#: Keys that a range of split buckets' suffixes holds on average.
+RANGE_KEYS = 1 << 19
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
 
 
@@ -96,6 +105,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _remixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The second half of 128-bit keys."""
+    out = a * np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    out += b
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(31)
+    return out
+
+
 class Chunk:
     """The texts of consecutive documents."""
 
@@ -409,6 +428,89 @@ def _sorted_segments(segments: DataFrame) -> DataFrame:
     return segments.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, n long, mask binary")
 
 
+def heavy_buckets(segments: DataFrame) -> DataFrame:
+    """``_bucket`` of the buckets whose segments outgrow a task; there is one for each ``HEAVY`` bytes of segments at most."""
+    held = segments.groupBy(F.col("bucket").alias("_bucket")).agg(F.sum("bytes").alias("_bytes"))
+    total, n = held.agg(F.sum("_bytes"), F.count("*")).first()
+    return held.where(F.col("_bytes") > max(HEAVY, HEAVY_MEANS * (total or 0) // max(1, n))).select("_bucket")
+
+
+def suffix_keys(counts: bytes, text: bytes) -> np.ndarray:
+    """128-bit keys, as pairs of numbers, of the suffixes of segments that follow each other."""
+    n = np.frombuffer(counts, np.uint32).astype(np.int64)
+    sizes = n + LENGTH - 1
+    at = spread(np.cumsum(sizes) - sizes, n)
+    raw = np.frombuffer(text, np.uint8)
+    out = np.empty(len(at), [("a", np.uint64), ("b", np.uint64)])
+    out["a"] = string_keys(raw, LENGTH)[at]
+    out["b"] = string_keys(raw.astype(np.uint64), LENGTH, _remixed)[at]
+    return out
+
+
+def different(counts: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, where each comes first, and the number of each suffix's key."""
+    return np.unique(suffix_keys(counts, text), return_index=True, return_inverse=True)
+
+
+def keys_in_ranges(heavy: DataFrame, log: int) -> DataFrame:
+    """``chunk, bucket, range, n, keys``: what each row of heavy segments holds of each of ``2 ** log`` ranges of keys, once."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, bucket, counts, text = (batch.column(i)[k].as_py() for i in range(4))
+                keys, _, _ = different(counts, text)
+                ranges = (keys["a"] >> np.uint64(64 - log)).astype(np.int64) if log else np.zeros(len(keys), np.int64)
+                edges = [*np.flatnonzero(np.diff(ranges, prepend=-1)).tolist(), len(keys)]
+                rows = [(chunk, bucket, int(ranges[a]), b - a, keys[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["chunk", "bucket", "range", "n", "keys"])
+
+    return heavy.select("chunk", "bucket", "counts", "text").mapInArrow(run, "chunk long, bucket int, range int, n long, keys binary")
+
+
+def _later_keys(ranged: DataFrame) -> DataFrame:
+    """``chunk, bucket, range, n, mask``: which keys an earlier chunk holds too; equal suffixes have equal buckets."""
+
+    def run(key, table):
+        chunks, n = np.array(table["chunk"].to_pylist(), np.int64), table["n"].to_pylist()
+        order = np.argsort(chunks, kind="stable").tolist()
+        keys = np.frombuffer(b"".join(table["keys"][i].as_py() for i in order), [("a", np.uint64), ("b", np.uint64)])
+        place = np.lexsort((keys["b"], keys["a"]))  # stable: of equal keys the earliest chunk's comes first
+        ranked = keys[place]
+        later = np.zeros(len(keys), bool)
+        later[place[1:]] = ranked[1:] == ranked[:-1]
+        masks = [np.packbits(m).tobytes() for m in np.split(later, np.cumsum([n[i] for i in order])[:-1])]
+        head = table.select(["chunk", "bucket", "range", "n"]).take(pa.array(order))
+        return head.append_column("mask", pa.array(masks, pa.binary()))
+
+    return ranged.groupBy("range").applyInArrow(run, "chunk long, bucket int, range int, n long, mask binary")
+
+
+def _sorted_heavy(heavy: DataFrame, suffixes: int) -> DataFrame:
+    """As :func:`_sorted_segments`, for buckets of any size."""
+    log = max(0, math.ceil(math.log2(max(1, suffixes) / RANGE_KEYS)))
+    masks = _later_keys(keys_in_ranges(heavy, log))
+    gathered = masks.groupBy(F.col("chunk").alias("_chunk"), F.col("bucket").alias("_bucket")).agg(F.collect_list(F.struct("range", "n", "mask")).alias("masks"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, bucket, counts, text, masks = (batch.column(i)[k].as_py() for i in range(5))
+                _, first, inverse = different(counts, text)
+                parts = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in sorted(masks, key=lambda m: m["range"])]
+                later = np.concatenate(parts).astype(bool)[inverse]
+                again = np.ones(len(inverse), bool)
+                again[first] = False
+                out = np.packbits(later | again).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([len(inverse)], pa.int64()), pa.array([out], pa.binary())], ["chunk", "bucket", "n", "mask"]
+                )
+
+    both = heavy.join(gathered, (F.col("chunk") == F.col("_chunk")) & (F.col("bucket") == F.col("_bucket")))
+    return both.select("chunk", "bucket", "counts", "text", "masks").mapInArrow(run, "chunk long, bucket int, n long, mask binary")
+
+
 def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets: int | None = None, digest: bool = False) -> DataFrame:
     """The bytes of each text that a string of ``LENGTH`` bytes covers which also starts earlier.
 
@@ -419,7 +521,7 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
     end`` in bytes), or, as a digest, ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     The result is exact: keys of cover positions, of as many bits as make one in a thousand of them tie by
-    chance, only cost work, and suffixes that tie are compared by their bytes and by exact ranks. A text is held whole, about 60 bytes for each of its own.
+    chance, only cost work, and suffixes that tie are compared by their bytes and by exact ranks; those of split buckets by 128-bit keys. A text is held whole, about 60 bytes for each of its own.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     planned = layout(total)
@@ -447,10 +549,11 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
                 own = Chunk(sizes, frame)
                 _, counts, texts, chosen, buckets, _ = own_segments(own, tied(own, ranks), log)
                 edges = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(buckets)]
-                rows = [(chunk, int(buckets[a]), counts[chosen[a:b]].astype(np.uint32).tobytes(), b"".join(texts[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+                joined = [b"".join(texts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                rows = [(chunk, int(buckets[a]), counts[chosen[a:b]].astype(np.uint32).tobytes(), t, len(t)) for a, b, t in zip(edges, edges[1:], joined, strict=False)]
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["chunk", "bucket", "counts", "text"])
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["chunk", "bucket", "counts", "text", "bytes"])
 
     def cover(batches):
         for batch in batches:
@@ -485,8 +588,18 @@ def find_repeats(docs: DataFrame, *, chunk_bytes: int | None = None, log_buckets
     ranks = settle(_gathered(_sorted_buckets(chunks.select("chunk", "sizes", "frame").mapInArrow(rank, _BLOCK), repeated_rule), "ranks"))
     # Both uses of this join read the same columns, so that they share its shuffles; the next join on the chunk needs none for it.
     ranked = chunks.join(ranks, F.col("chunk") == F.col("_ranks"), "left").drop("_ranks")
-    segments = ranked.select("sizes", "frame", "ranks", "chunk", "doc_ids").mapInArrow(send, "chunk long, bucket int, counts binary, text binary")
-    later = _gathered(_sorted_segments(segments), "later")
+    sent = ranked.select("sizes", "frame", "ranks", "chunk", "doc_ids").mapInArrow(send, "chunk long, bucket int, counts binary, text binary, bytes long")
+    folder = f"{shared_folder(docs.sparkSession)}/segments-{uuid.uuid4().hex}"
+    sent.write.option("compression", "zstd").parquet(folder)
+    segments = docs.sparkSession.read.parquet(folder)
+    outgrown = F.broadcast(heavy_buckets(segments))  # a few bytes for each HEAVY bytes of segments
+    at = F.col("bucket") == F.col("_bucket")
+    heavy = segments.join(outgrown, at, "left_semi")
+    suffixes = heavy.agg(F.sum("bytes")).first()[0] or 0  # no more than their bytes
+    masks = _sorted_segments(segments.join(outgrown, at, "left_anti"))
+    if suffixes:
+        masks = masks.unionByName(_sorted_heavy(heavy, suffixes))
+    later = _gathered(masks, "later")
     joined = ranked.join(later, F.col("chunk") == F.col("_later"), "left")
     last = "n_removed long, n_spans long, kept_sha256 string" if digest else "spans array<struct<start:long,end:long>>"
     return joined.select("sizes", "frame", "ranks", "later", "doc_ids").mapInArrow(cover, f"doc_id {doc_kind}, n_bytes long, {last}")

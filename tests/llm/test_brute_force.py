@@ -306,6 +306,44 @@ def test_op3_near_repeats(spark):
         assert sorted((tuple(r) for r in got.collect()), key=str) == expected_suffixes(rows)
 
 
+@pytest.mark.parametrize("n", [250, 500])
+def test_op3_a_passage_of_many_surroundings_fills_no_bucket(spark, monkeypatch, n):
+    """One line of 70 bytes in every document: its least gram is that of most suffixes around it."""
+    rng = np.random.default_rng(11)
+    letters = lambda size: "".join(map(chr, rng.integers(97, 123, size)))
+    common, twin = letters(70), letters(40)
+    rows = [(k, f"{letters(500)} {common} {twin if k % 3 == 0 else ''}{letters(300 + k)}", "a") for k in range(n)]
+    docs = docs_of(spark, rows).repartition(4)
+    monkeypatch.setattr(suffixes, "HEAVY", 4096)
+    monkeypatch.setattr(suffixes, "RANGE_KEYS", 1024)
+    seen = {}
+    sort, sort_heavy = suffixes._sorted_segments, suffixes._later_keys
+
+    def watch(segments):
+        seen["bucket"] = [r[0] for r in segments.groupBy("bucket").agg(F.sum("bytes")).select("sum(bytes)").collect()]
+        return sort(segments)
+
+    def watch_heavy(ranged):
+        seen["range"] = [r[0] for r in ranged.groupBy("range").agg(F.sum("n")).select("sum(n)").collect()]
+        return sort_heavy(ranged)
+
+    monkeypatch.setattr(suffixes, "_sorted_segments", watch)
+    monkeypatch.setattr(suffixes, "_later_keys", watch_heavy)
+    got = suffixes.find_repeats(docs, digest=True, chunk_bytes=8192, log_buckets=8)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == expected_suffixes(rows)
+    # No group grows with the documents that share the line.
+    assert max(seen["bucket"]) <= 4096 and sum(seen["range"]) > 20 * n and max(seen["range"]) <= 2 * 1024
+
+
+def test_op3_keys_of_different_suffixes_differ():
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 99, 5000, dtype=np.uint8))
+    counts = np.array([len(text) - suffixes.LENGTH + 1], np.uint32).tobytes()
+    keys, first, inverse = suffixes.different(counts, text)
+    pieces = [text[k : k + suffixes.LENGTH] for k in range(len(text) - suffixes.LENGTH + 1)]
+    assert len(keys) == len(set(pieces)) and [pieces[first[i]] for i in inverse] == pieces
+
+
 def test_op3_layout_keeps_rows_few():
     """Keys that a chunk sends to each bucket, and keys of a bucket, from 0.1 GB to 3 TB."""
     for size in (10**8, 10**9, 3 * 10**10, 3 * 10**11, 10**12, 3 * 10**12):
