@@ -231,7 +231,7 @@ def repeated(docs: DataFrame, *, source: str = "source", **options) -> DataFrame
     together: each as often as all of them, the first few once more. They are
     numbered by the partitions that hold them, so that no task gets them all.
     """
-    names = {k: fresh(k, docs.columns) for k in ("id", "key", "source", "copies", "rows", "part", "at", "nth")}
+    names = {k: fresh(k, docs.columns) for k in ("id", "key", "source", "copies", "rows", "part", "at", "nth", "before", "held", "of_id", "of_key", "of_source", "of_part")}
     c = {k: F.col(f"`{v}`") for k, v in names.items()}
     taken = by_source(docs, source, **options).select(
         F.col("doc_id").alias(names["id"]), F.col("text_key").alias(names["key"]), F.element_at("pattern", 1).alias(names["source"]), F.col("copies").alias(names["copies"])
@@ -248,13 +248,13 @@ def repeated(docs: DataFrame, *, source: str = "source", **options) -> DataFrame
         return emitted(one)
     many = joined.where(c["rows"] > 1).withColumns({names["part"]: F.spark_partition_id(), names["at"]: F.monotonically_increasing_id()})
     many = settle(many)
-    held = many.groupBy(*same_row, names["part"]).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*same_row).orderBy(names["part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.select(*(c[k].alias(f"_{n}") for n, k in enumerate(("id", "key", "source", "part"))), before.alias("_before"))
-    here = c["id"].eqNullSafe(F.col("_0")) & (c["key"] == F.col("_1")) & c["source"].eqNullSafe(F.col("_2")) & (c["part"] == F.col("_3"))
+    held = many.groupBy(*same_row, names["part"]).agg(F.count("*").alias(names["held"]))
+    before = F.coalesce(F.sum(c["held"]).over(Window.partitionBy(*same_row).orderBy(names["part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*(c[k].alias(names[f"of_{k}"]) for k in ("id", "key", "source", "part")), before.alias(names["before"]))
+    here = c["id"].eqNullSafe(c["of_id"]) & (c["key"] == c["of_key"]) & c["source"].eqNullSafe(c["of_source"]) & (c["part"] == c["of_part"])
     own = F.row_number().over(Window.partitionBy(*same_row, names["part"]).orderBy(names["at"])) - 1
     many = many.withColumn(names["nth"], own).join(held, here)
-    extra = (F.col("_before") + c["nth"] < F.pmod(c["copies"], c["rows"])).cast("long")
+    extra = (c["before"] + c["nth"] < F.pmod(c["copies"], c["rows"])).cast("long")
     many = many.select(*plain, (F.floor(c["copies"] / c["rows"]) + extra).cast("int").alias(names["copies"])).where(c["copies"] > 0)
     return emitted(one.unionByName(many))
 
