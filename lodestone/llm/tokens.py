@@ -39,7 +39,8 @@ from lodestone.llm.common import settle, shared_folder, text_key
 LANE = 64
 MAX_BITS = 16
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 600_000
+#: Bytes of words and ids that a Python worker remembers, about so many beside the strings' own for each, and of the longest such word.
+CACHED_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 200, 64
 
 
 #: Latin letters in composed form whose lower case is one letter, then ASCII punctuation.
@@ -87,6 +88,21 @@ class WordIds(dict):
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.shown: dict[str, str] = {}
         self.early: dict[bytes, bytes] = {}
+        self.held = self.early_held = 0
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        """Remember a word. When all take too much, the later half is forgotten: frequent words come early."""
+        if len(word) > LONGEST:
+            return
+        if self.held > CACHED_BYTES:
+            if not self.early:
+                self.early = dict(islice(self.items(), len(self) // 2))
+                self.early_held = sum(ENTRY_BYTES + len(w) + len(i) for w, i in self.early.items())
+            self.clear()
+            self.update(self.early)
+            self.held = self.early_held
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+        self[word] = ids
 
     def letters(self, word: bytes) -> bytes:
         if (ids := self.get(word)) is None:
@@ -96,15 +112,11 @@ class WordIds(dict):
                     if c not in self.shown:
                         self.shown[c] = self.bytes_of(c)[0][0]
                 spelt = "".join(map(self.shown.__getitem__, spelt))
-            ids = self[word] = array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            ids = array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self.keep(word, ids)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            if not self.early:  # frequent words come early: half of the room is theirs for good
-                self.early = dict(islice(self.items(), CACHED_WORDS // 2))
-            self.clear()
-            self.update(self.early)
         if word.isalpha():  # ASCII letters
             ids = self.letters(word.lower())
         elif word[:-1].isalpha() and word[-1:] in b".,":
@@ -115,7 +127,7 @@ class WordIds(dict):
                 ids += self.letters(m[2].encode("utf-8"))
         else:
             ids = array("H", self.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        self.keep(word, ids)
         return ids
 
     def text(self, text: bytes) -> bytes:
