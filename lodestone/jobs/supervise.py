@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.jobs.registry import Registry
 from lodestone.operators import supervision as V
+from lodestone.sources.scratch import shared_folder
 from lodestone.sources.tables import table
+from lodestone.streaming import limits
 
 JOBS = Registry()
 LOG = "(SELECT user_id AS job, event_id, ts, event_type AS kind, value FROM events)"
@@ -73,6 +77,32 @@ def reminders(spark, sf):
     return V.reminders(log(spark, sf), (DAY, 3 * DAY, 7 * DAY)).select("job", "threshold", clock("fired").alias("fired_us"))
 
 
+#: A job of no user, whose one row lies so long after the last that all others are over.
+LAST_JOB = -1
+
+
+@JOBS.query(
+    "t09_limits_stream",
+    f"SELECT v.*, CASE WHEN waited >= 172800000000 THEN 'RESOURCE_WAIT_TIMEOUT' WHEN waited > 86400000000 THEN 'NO_PROGRESS: start marker' WHEN ran > 2505600000000 THEN 'NO_PROGRESS: task deadline exceeded' ELSE 'ok' END AS wait, "
+    f"(SELECT count(*) FROM (VALUES (86400), (259200), (604800)) t(threshold) WHERE ran >= threshold * 1000000::BIGINT)::BIGINT AS n_reminders "
+    f"FROM ({VERDICT}) v JOIN (SELECT job, epoch_us(coalesce(min(ts) FILTER (WHERE kind = 'signup'), max(ts))) - epoch_us(min(ts)) AS waited, epoch_us(max(ts)) - epoch_us(min(ts)) AS ran FROM {LOG} GROUP BY job) w ON v.job = w.job",
+)
+def limits_stream(spark, sf):
+    """T03, T04, T08, T09, T12 as a stream with timers, run to its end: the verdicts of the batch queries and the reminders that were seen."""
+    rules = limits.Rules()
+    rows = log(spark, sf)
+    folder = f"{shared_folder(spark)}/limits-{uuid.uuid4().hex}"
+    last = rows.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * rules.closed))).alias("ts"))
+    last = last.select(F.lit(LAST_JOB).cast("long").alias("job"), F.lit(0).cast("long").alias("event_id"), "ts", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("value"))
+    last.coalesce(1).write.parquet(f"{folder}/last")
+    files = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    stream = files.select(F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value")
+    said = limits.replay(stream.unionByName(spark.readStream.schema(last.schema).parquet(f"{folder}/last")), folder, rules)
+    seen = said.where("event = 'REMINDER_SEEN'").groupBy("job").agg(F.count("*").alias("n_reminders"))
+    verdicts = said.where("event = 'VERDICT'").select("job", "code", "state", "late_start", "over_deadline", "gate_message", "wait")
+    return verdicts.join(seen, "job", "left").fillna(0, ["n_reminders"])
+
+
 @JOBS.query("t10_progress_clock", f"SELECT job, epoch_us(greatest(coalesce(max(ts) FILTER (WHERE kind = 'view'), min(ts)), coalesce(max(ts) FILTER (WHERE kind = 'click'), min(ts)), coalesce(max(ts) FILTER (WHERE kind = 'purchase'), min(ts)))) AS progress_us FROM {LOG} GROUP BY job")
 def progress_clock(spark, sf):
     """The latest of several signs of life."""

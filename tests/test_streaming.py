@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.jobs import gates, supervise
+from lodestone.operators import supervision
 from lodestone.sources import tail
-from lodestone.streaming import delivery, supervisor, windows
+from lodestone.streaming import delivery, limits, supervisor, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +69,81 @@ def test_supervisor(spark, tmp_path):
     assert 3 not in states
 
 
+JOB_ROW = "job long, ts timestamp, event_id long, kind string, value double"
+
+
+def limits_of(spark, tmp_path, name):
+    stream = spark.readStream.schema(JOB_ROW).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/jobs")
+    return limits.replay(stream, f"{tmp_path}/{name}").collect()
+
+
+def add_file(spark, tmp_path, rows, number):
+    """Files are read in the order of their times."""
+    at = tmp_path / "part"
+    rows.select("job", "ts", "event_id", "kind", "value").coalesce(1).write.mode("overwrite").parquet(str(at))
+    (tmp_path / "jobs").mkdir(exist_ok=True)
+    target = tmp_path / "jobs" / f"{number:03d}.parquet"
+    next(at.glob("part-*.parquet")).rename(target)
+    os.utime(target, (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+def sentinel(spark, day):
+    return spark.createDataFrame([(-1, day, 0, None, None)], "job long, t string, event_id long, kind string, value double").withColumn("ts", F.to_timestamp("t"))
+
+
+def test_limits_on_shuffled_files_with_late_rows_and_a_restart_equal_batch(spark, tmp_path):
+    log = supervise.log(spark, SF).where("job % 3 = 0")
+    slices = log.withColumn("slice", (F.dayofmonth("ts") / 4).cast("int"))
+    order = [1, 0, 3, 2, 5, 4, 7, 6]
+    for k, part in enumerate(order[:4]):
+        add_file(spark, tmp_path, slices.where(F.col("slice") == part), k)
+    first = limits_of(spark, tmp_path, "run")
+    assert {r["event"] for r in first} >= {"REMINDER", "REMINDER_SEEN"} and "VERDICT" not in {r["event"] for r in first}
+    for k, part in enumerate(order[4:], 4):
+        add_file(spark, tmp_path, slices.where(F.col("slice") == part), k)
+    add_file(spark, tmp_path, sentinel(spark, "2024-06-01 00:00:00"), 20)
+    # The watermark has passed these: they must not count.
+    late = spark.createDataFrame([(0, "2024-01-02 00:00:00", 1, "error", 99.0)] * 3, "job long, t string, event_id long, kind string, value double").withColumn("ts", F.to_timestamp("t"))
+    add_file(spark, tmp_path, late, 21)
+    add_file(spark, tmp_path, sentinel(spark, "2024-06-02 00:00:00"), 22)
+    got = limits_of(spark, tmp_path, "run")  # starts again from the checkpoint
+    us = lambda c: F.unix_micros(c)
+    seen = sorted((r["job"], r["threshold"], r["at_us"]) for r in got if r["event"] == "REMINDER_SEEN")
+    expected = supervision.reminders(log, (86400, 259200, 604800)).select("job", "threshold", us("fired").alias("at_us"))
+    assert seen == sorted(map(tuple, expected.collect()))
+    verdicts = {r["job"]: r for r in got if r["event"] == "VERDICT"}
+    assert sum(r["event"] == "VERDICT" for r in got) == len(verdicts)
+    for r in supervise.exit_classification(spark, SF).where("job % 3 = 0").collect():
+        assert all(verdicts[r["job"]][c] == r[c] for c in ("code", "state", "late_start", "over_deadline", "gate_message"))
+    for r in gates.wait_timeout(spark, SF).where("job % 3 = 0").collect():
+        assert verdicts[r["job"]]["wait"] == r["verdict"]
+    # Timers tell of a limit once, whether or not a row came at that time.
+    told = [(r["job"], r["event"], r["threshold"]) for r in got if r["event"] not in ("REMINDER_SEEN", "VERDICT")]
+    assert len(told) == len(set(told)) and {j for j, e, _ in told if e == "REMINDER"} == set(verdicts)
+    early = {r["job"] for r in got if r["event"] == "RESOURCE_WAIT_TIMEOUT"}
+    assert early == {j for j, r in verdicts.items() if r["wait"] == "RESOURCE_WAIT_TIMEOUT"}
+
+
+def test_limits_at_their_borders(spark, tmp_path):
+    rows = [
+        (1, "2024-01-01 00:00:00", 1, "view", None), (1, "2024-01-02 00:00:00", 2, "signup", None),  # starts at the marker's limit: in time
+        (2, "2024-01-01 00:00:00", 3, "view", None), (2, "2024-01-02 00:00:00.000001", 4, "signup", None),  # and beyond it
+        (3, "2024-01-01 00:00:00", 5, "view", None), (3, "2024-01-03 00:00:00", 6, "signup", 0.0),  # a wait is over when it reaches its limit
+        (4, "2024-01-01 00:00:00", 7, None, None), (None, "2024-01-01 00:00:00", 8, "signup", None),
+        (5, "2024-01-01 00:00:00", 9, "signup", None), (5, "2024-01-01 00:00:00", 9, "signup", None), (5, "2024-01-01 00:00:01", 10, "error", 90.0), (5, "2024-01-01 00:00:02", 11, "purchase", 20.0),
+    ]
+    add_file(spark, tmp_path, spark.createDataFrame(rows, "job long, t string, event_id long, kind string, value double").withColumn("ts", F.to_timestamp("t")), 0)
+    add_file(spark, tmp_path, sentinel(spark, "2024-06-01 00:00:00"), 1)
+    got = limits_of(spark, tmp_path, "run")
+    verdicts = {r["job"]: (r["code"], r["wait"], r["gate_message"]) for r in got if r["event"] == "VERDICT"}
+    assert verdicts == {
+        1: (4, "ok", "purchase: 0/3 valid files"), 2: (4, "NO_PROGRESS: start marker", "purchase: 0/3 valid files"), 3: (4, "RESOURCE_WAIT_TIMEOUT", "purchase: 0/3 valid files"),
+        4: (5, "ok", "purchase: 0/3 valid files"), 5: (4, "ok", "purchase: 1/3 valid files"),
+    }
+    assert {r["job"] for r in got if r["event"] == "NO_PROGRESS: start marker"} == {2, 3, 4}
+    assert {r["job"] for r in got if r["event"] == "RESOURCE_WAIT_TIMEOUT"} == {3, 4}
+
+
 def test_delivery(spark, tmp_path):
     rows = [(1, "error", "a"), (2, "view", "b"), (3, "error", "c")]
     spark.createDataFrame(rows, "event_id long, kind string, detail string").coalesce(1).write.parquet(f"{tmp_path}/in")
