@@ -95,7 +95,8 @@ def limits_stream(spark, sf):
     last = rows.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * rules.closed))).alias("ts"))
     last = last.select(F.lit(LAST_JOB).cast("long").alias("job"), F.lit(0).cast("long").alias("event_id"), "ts", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("value"))
     last.coalesce(1).write.parquet(f"{folder}/last")
-    files = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    # A stream's plain path must be a folder; a pattern may be a file.
+    files = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
     stream = files.select(F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value")
     said = limits.replay(stream.unionByName(spark.readStream.schema(last.schema).parquet(f"{folder}/last")), folder, rules)
     seen = said.where("event = 'REMINDER_SEEN'").groupBy("job").agg(F.count("*").alias("n_reminders"))
