@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.jobs.registry import Registry
+from lodestone.operators import automata as A
 from lodestone.operators import lexicon as L
 from lodestone.operators.snippets import windows
 from lodestone.sources.tables import table
@@ -100,6 +101,38 @@ def work_cap(spark, sf):
     return candidates.orderBy(F.desc("score"), "doc_id").limit(100).join(F.broadcast(total))  # one row
 
 
+TOKENS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents"
+LEXICONS = f"SELECT lang AS lexicon, term, length(term) AS weight FROM ({TOKENS}) WHERE length(term) >= 7 GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3"
+
+
+def lexicons(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon for each language: its words of seven letters and more in three documents and more, weighed by their length."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 7))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("lexicon"), F.explode(words).alias("term"))
+    return rows.groupBy("lexicon", "term").agg(F.count("*").alias("n")).where("n >= 3").select("lexicon", "term", F.length("term").alias("weight"))
+
+
+@JOBS.query(
+    "x03_lexicon_scores",
+    f"SELECT doc_id, t.lang, lexicon, sum(weight * least(n, 5))::DOUBLE AS score, count(*)::BIGINT AS n_terms FROM (SELECT doc_id, lang, term, count(*) AS n FROM ({TOKENS}) GROUP BY ALL) t JOIN ({LEXICONS}) l ON t.term = l.term GROUP BY doc_id, t.lang, lexicon",
+)
+def lexicon_scores(spark, sf):
+    """Every document against lexicons that are tables, derived from the corpus; whole words."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("low"))
+    return A.lexicon_scores(docs, "low", lexicons(spark, sf), ["doc_id", "lang"], 5, inside=A.LETTERS)
+
+
+@JOBS.query(
+    "x03_term_counts",
+    f"SELECT term, count(*)::BIGINT AS n_documents, sum(n)::BIGINT AS n_found FROM (SELECT doc_id, term, count(*) AS n FROM ({TOKENS}) WHERE term IN (SELECT term FROM ({LEXICONS})) GROUP BY ALL) GROUP BY term",
+)
+def lexicon_terms(spark, sf):
+    """How many documents hold each term of the lexicons, and how often."""
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    found = A.term_counts(docs, "low", lexicons(spark, sf), ["doc_id"], inside=A.LETTERS)
+    return found.groupBy("term").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_found"))
+
+
 @JOBS.query("p01_any_keyword", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed') OR contains(lower(text), 'worthless') OR contains(lower(text), 'reserved')")
 def any_keyword(spark, sf):
     return table(spark, sf, "documents").where(T.any_word(F.col("text"), ("licensed", "worthless", "reserved"))).select("doc_id", "source")
