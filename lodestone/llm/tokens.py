@@ -40,7 +40,7 @@ LANE = 64
 MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 #: Bytes of words and ids that a Python worker remembers, about so many beside the strings' own for each, and of the longest such word.
-CACHED_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 200, 64
+CACHED_BYTES, ENTRY_BYTES, LONGEST = 160 << 20, 200, 64
 
 
 #: Latin letters in composed form whose lower case is one letter, then ASCII punctuation.
@@ -92,7 +92,7 @@ class WordIds(dict):
 
     def keep(self, word: bytes, ids: bytes) -> None:
         """Remember a word. When all take too much, the later half is forgotten: frequent words come early."""
-        if len(word) > LONGEST:
+        if len(word) > LONGEST or word in self:
             return
         if self.held > CACHED_BYTES:
             if not self.early:
