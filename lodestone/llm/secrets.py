@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and automata inferred from the credentials that these label.
 
 Per kind, a prefix tree of character classes is grown from a bounded sample of
-labelled credentials, and states whose outgoing frequencies are statistically
-compatible (Hoeffding bounds, tested ``DEPTH`` moves down the tree) are merged into a
+labelled credentials, and states of which what follows is statistically
+compatible (likelihood ratios, at every distance ahead) are merged into a
 probabilistic automaton. Every other token of six characters or more is a candidate: it
 is a secret of the kind ``format`` if one automaton makes it likelier, a character, than a
 background model of all candidates does, by no less than all but a twentieth of
@@ -11,7 +11,6 @@ the labelled ones do.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -33,8 +32,6 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 SAMPLE = 600
 #: Only credentials of at most this many characters are learnt from; longer ones are scored like the others.
 LONGEST = 256
-#: Moves over which two states are compared, and states of an automaton; when it is full, a state joins the nearest one.
-DEPTH, MAX_STATES = 12, 256
 #: Distinct words that a task counts or judges at a time.
 CACHED_WORDS = 200_000
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_", ".", "=", "-")
@@ -70,120 +67,124 @@ def code_points(text: bytes, at: list[int]) -> list[int]:
 
 
 class Automaton:
-    """A probabilistic automaton over character classes, merged from a prefix tree."""
+    """A probabilistic automaton over character classes, merged from the prefix tree of some words.
+
+    A state is what follows it: the suffixes of words that reach it. Those of one state are
+    counted by how far ahead they lie, their ends and their classes at each distance. Two states
+    are compatible if no such share differs by a likelihood-ratio test, so that what single deep states of
+    the tree can't show, such as the words' length, is seen by all of them together. What follows the
+    states settled first is taken first, so that all of one distance have met before the next; each joins the nearest compatible settled state, or settles itself.
+    """
 
     def __init__(self, words: list[bytes], alpha: float = 0.05):
-        self.next: list[dict[int, int]] = [{}]
-        self.seen, self.ends = [0], [0]
-        self.moves: list[Counter] = [Counter()]
-        for w in words:
-            s = 0
-            self.seen[s] += 1
-            for c in _CLASS_OF[np.frombuffer(w, np.uint8)].tolist():
-                self.moves[s][c] += 1
-                if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
-                    self.next.append({})
-                    self.seen.append(0)
-                    self.ends.append(0)
-                    self.moves.append(Counter())
-                s = self.next[s][c]
-                self.seen[s] += 1
-            self.ends[s] += 1
-        self.root = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge()
+        self.codes = np.concatenate([_CLASS_OF[np.frombuffer(b"".join(words), np.uint8)], [0]]).astype(np.int64)
+        self.ends = np.cumsum([len(w) for w in words])
+        self.starts = self.ends - np.array([len(w) for w in words])
+        self.reach = int(max(len(w) for w in words)) + 1
+        tests = self.reach * (len(_CLASSES) + 1)
+        self.limit = 2 * math.log(1 / (alpha / tests))  # about the quantile of a chi-square of one degree
+        values = np.arange(1, len(self.codes) + len(words) + 1)
+        self.xlogx = np.concatenate(([0.0], values * np.log(values)))
+        self._merge(len(words))
         self._fix()
 
-    def _gap(self, n: int, of: int, m: int, total: int) -> float:
-        """By how many bounds two shares lie apart; above one they differ."""
-        if not of or not total:
-            return 0.0
-        return abs(n / of - m / total) / (self.root * (1 / math.sqrt(of) + 1 / math.sqrt(total)))
-
-    def _apart(self, a: int, b: int, most: float) -> float:
-        """The largest gap between what two states see, ``DEPTH`` moves down; stops beyond ``most``."""
-        worst, stack = 0.0, [(a, b, DEPTH)]
-        while stack and worst <= most:
-            a, b, left = stack.pop()
-            worst = max(worst, self._gap(self.ends[a], self.seen[a], self.ends[b], self.seen[b]))
-            for c in self.moves[a].keys() | self.moves[b].keys():
-                worst = max(worst, self._gap(self.moves[a][c], self.seen[a], self.moves[b][c], self.seen[b]))
-                if left and c in self.next[a] and c in self.next[b]:
-                    stack.append((self.next[a][c], self.next[b][c], left - 1))
-        return worst
-
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below b to the automaton at a."""
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            self.seen[a] += self.seen[b]
-            self.ends[a] += self.ends[b]
-            for c, n in self.moves[b].items():
-                self.moves[a][c] += n
-                if c in self.next[a]:
-                    stack.append((self.next[a][c], self.next[b][c]))
-                else:
-                    self.next[a][c] = self.next[b][c]
-
-    def _merge(self) -> None:
-        """States settle in the order of how often they are seen; a queue holds those one move off the settled ones."""
-        red, settled = [0], {0}
-        queue: list[tuple[int, int, int]] = []
-
-        def reach(s: int) -> None:
-            for c, t in self.next[s].items():
-                if t not in settled:
-                    heapq.heappush(queue, (-self.seen[t], s, c))
-
-        reach(0)
-        while queue:
-            seen, s, c = heapq.heappop(queue)
-            t = self.next[s][c]
-            if t in settled:
-                continue
-            if -seen != self.seen[t]:  # a fold below a settled state has added to it
-                heapq.heappush(queue, (-self.seen[t], s, c))
-                continue
-            full, best = len(red) >= MAX_STATES, None
-            for r in red:
-                gap = self._apart(r, t, best[0] if full and best else 1.0 if not full else float("inf"))
-                if gap <= 1 or full and (best is None or gap < best[0]):
-                    best = (gap, r)
-                    if gap <= 1:
-                        break
+    def _profile(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each distance ahead, how many suffixes end there, and are of each class there."""
+        left = self.ends[word] - at
+        k = len(_CLASSES) + 1
+        first = np.repeat(np.cumsum(left) - left, left)
+        ahead = np.arange(int(left.sum())) - first
+        cells = np.concatenate([ahead * k + self.codes[np.repeat(at, left) + ahead], left * k + k - 1])
+        return np.bincount(cells, minlength=self.reach * k).reshape(self.reach, k)
+
+    def _apart(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Likelihood ratios of ``x`` of ``n`` against ``y`` of ``m``."""
+        f = self.xlogx
+        return 2 * (f[x] + f[n - x] + f[y] + f[m - y] - f[n] - f[m] - f[x + y] - f[n + m - x - y] + f[n + m])
+
+    def _merge(self, n: int) -> None:
+        profiles: list[np.ndarray] = []
+        self.next: list[dict[int, int]] = []
+        waiting: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def settle_at(state: int, word: np.ndarray, at: np.ndarray) -> None:
+            """Suffixes join a settled state, and what follows them the states after it."""
+            stack = [(state, word, at)]
+            while stack:
+                state, word, at = stack.pop()
+                profiles[state] += self._profile(word, at)
+                going = at < self.ends[word]
+                word, at = word[going], at[going]
+                classes = self.codes[at]
+                for c in np.unique(classes).tolist():
+                    own = classes == c
+                    if c in self.next[state]:
+                        stack.append((self.next[state][c], word[own], at[own] + 1))
+                    else:
+                        held = waiting.get((state, c), (word[:0], at[:0]))
+                        waiting[state, c] = np.concatenate([held[0], word[own]]), np.concatenate([held[1], at[own] + 1])
+
+        def settled() -> int:
+            profiles.append(np.zeros((self.reach, len(_CLASSES) + 1), np.int64))
+            self.next.append({})
+            return len(profiles) - 1
+
+        settle_at(settled(), np.arange(n), self.starts)
+        while waiting:
+            key = max(waiting, key=lambda k: (-k[0], len(waiting[k][0]), -k[1]))
+            word, at = waiting.pop(key)
+            own = self._profile(word, at)
+            # By their ends first, which leaves few states for all classes.
+            ends = np.stack([p[:, -1] for p in profiles])
+            reached = ends[:, ::-1].cumsum(1)[:, ::-1]
+            far = self._apart(own[:, -1], self._left(own), ends, reached).max(1)
+            best, nearest = None, self.limit
+            for state in np.flatnonzero(far <= self.limit).tolist():
+                of, total = profiles[state], self._left(profiles[state])
+                gap = float(self._apart(own, self._left(own)[:, None], of, total[:, None]).max())
+                if gap <= nearest and (best is None or gap < nearest):
+                    best, nearest = state, gap
             if best is None:
-                red.append(t)
-                settled.add(t)
-                reach(t)
-            else:
-                self.next[s][c] = best[1]
-                self._fold(best[1], t)
-                # What was folded in may have opened moves at any settled state.
-                for r in red:
-                    if any(x not in settled for x in self.next[r].values()):
-                        reach(r)
-        self.states = red
+                best = settled()
+            self.next[key[0]][key[1]] = best
+            settle_at(best, word, at)
+        self.states = range(len(profiles))
+        self.profiles = profiles
+
+    @staticmethod
+    def _left(profile: np.ndarray) -> np.ndarray:
+        """How many suffixes go so far: those that end there or later."""
+        return profile[:, -1][::-1].cumsum()[::-1]
 
     def _fix(self) -> None:
         # Half an occurrence is added to each class and to the end, so that few words give a broad automaton.
-        each = 0.5 * (len(_CLASSES) + 1)
-        self.log = [
-            [math.log2((self.moves[s][c] + 0.5) / (self.seen[s] + each)) + w for c, w in enumerate(_WITHIN)] for s in range(len(self.next))
-        ]
-        self.stop = [math.log2((self.ends[s] + 0.5) / (self.seen[s] + each)) for s in range(len(self.next))]
-        keep = {s: i for i, s in enumerate(self.states)}
-        self.next = [{c: keep[t] for c, t in self.next[s].items() if t in keep} for s in self.states]
-        self.log, self.stop = [self.log[s] for s in self.states], [self.stop[s] for s in self.states]
-        del self.seen, self.ends, self.moves
+        seen = np.array([p[0] for p in self.profiles]) + 0.5
+        chances = np.log2(seen / seen.sum(1, keepdims=True))
+        self.log, self.stop = chances[:, :-1] + np.array(_WITHIN), chances[:, -1]
+        self.move = np.zeros((len(self.next), len(_CLASSES)), np.int64)  # what no sample has restarts
+        for s, moves in enumerate(self.next):
+            for c, t in moves.items():
+                self.move[s, c] = t
+        del self.profiles, self.codes, self.starts, self.ends, self.xlogx
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """log2 likelihoods a character, all words a step at a time."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        codes = _CLASS_OF[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
+        at = (np.cumsum(sizes) - sizes)[order]
+        active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")  # words longer than so many steps
+        state, total = np.zeros(len(words), np.int64), np.zeros(len(words))
+        for step, n in enumerate(active.tolist()):
+            c = codes[at[:n] + step]
+            total[:n] += self.log[state[:n], c]
+            state[:n] = self.move[state[:n], c]
+        out = np.empty(len(words))
+        out[order] = (total + self.stop[state]) / (sizes[order] + 1)
+        return out
 
     def score(self, word: bytes) -> float:
-        """log2 likelihood a character; what no sample has restarts."""
-        s, total = 0, 0.0
-        for c in _CLASS_OF[np.frombuffer(word, np.uint8)].tolist():
-            total += self.log[s][c]
-            s = self.next[s].get(c, 0)
-        return (total + self.stop[s]) / (len(word) + 1)
+        return float(self.scores([word])[0])
 
 
 def moves(words: Counter) -> np.ndarray:
@@ -203,9 +204,12 @@ class Background:
         n = counts + 1.0
         self.log = np.log2(n / n.sum(1, keepdims=True)) + np.array([*_WITHIN, 0.0])
 
-    def score(self, word: bytes) -> float:
-        c = np.concatenate(([len(_CLASSES)], _CLASS_OF[np.frombuffer(word, np.uint8)], [len(_CLASSES)]))
-        return float(self.log[c[:-1], c[1:]].sum()) / (len(word) + 1)
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        k = len(_CLASSES)
+        c = np.minimum(_CLASS_OF, k)[np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)]
+        steps = self.log[c[:-1], c[1:]]
+        sizes = np.array([len(w) for w in words], np.int64) + 1
+        return np.add.reduceat(steps, np.cumsum(sizes) - sizes) / sizes
 
 
 class Formats:
@@ -217,13 +221,19 @@ class Formats:
         for _, words in sorted(labelled.items()):
             if words:
                 a = Automaton(words)
-                own = [a.score(w) - self.background.score(w) for w in words]
+                own = a.scores(words) - self.background.scores(words)
                 # Ordinary tokens may hold unlabelled secrets: they give the background, not a bar.
                 self.kinds.append((a, max(0.0, float(np.quantile(own, 0.05)))))
 
-    def secret(self, word: bytes) -> bool:
-        ground = self.background.score(word) if self.kinds else 0.0
-        return any((more := a.score(word) - ground) > 0 and more >= bar - 1e-9 for a, bar in self.kinds)
+    def secret(self, words: list[bytes]) -> np.ndarray:
+        """Which of the words are secrets."""
+        out = np.zeros(len(words), bool)
+        if self.kinds and words:
+            ground = self.background.scores(words)
+            for a, bar in self.kinds:
+                more = a.scores(words) - ground
+                out |= (more > 0) & (more >= bar - 1e-9)
+        return out
 
 
 def _sample(values: DataFrame, n: int) -> list[bytes]:
@@ -276,19 +286,16 @@ def scan(docs: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     def score(batches):
         formats, known = sent.value, {}
         for batch in batches:
-            spans = []
-            for text in batch.column(2).to_pylist():
-                text = text or b""
-                base = base_spans(text)
+            spans, texts = [], [t or b"" for t in batch.column(2).to_pylist()]
+            bases = [base_spans(t) for t in texts]
+            tokens = [candidates(t, base) for t, base in zip(texts, bases, strict=True)]
+            if len(known) >= CACHED_WORDS:
+                known.clear()
+            new = list({word for own in tokens for _, _, word in own} - known.keys())
+            known.update(zip(new, formats.secret(new).tolist(), strict=True))
+            for text, base, own in zip(texts, bases, tokens, strict=True):
                 every = [(a, k, b) for a, k, b, _ in base]
-                for a, b, word in candidates(text, base):
-                    secret = known.get(word)
-                    if secret is None:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        secret = known[word] = formats.secret(word)
-                    if secret:
-                        every.append((a, 3, b))
+                every += [(a, 3, b) for a, b, word in own if known[word]]
                 every.sort(key=lambda x: x[:2])
                 at = code_points(text, [x for a, _, b in every for x in (a, b)])
                 spans.append([{"start": a, "kind": k, "end": b} for a, b, (_, k, _) in zip(at[::2], at[1::2], every, strict=True)])
