@@ -97,11 +97,11 @@ def intrinsics(cells: Column) -> Column:
 
 
 def device_processes(report: Column) -> Column:
-    """An array ``pid, name`` of a device report's process rows: ``| device chip | pid | name |``; a pid of 0 is no process."""
-    row = r"(?m)^\|\s*\d+\s+\d+\s+\|\s*(\d+)\s+\|\s*([^|]+)\|"
-    part = lambda k: F.regexp_extract_all(report, F.lit(row), k)
-    rows = F.transform(F.arrays_zip(part(1).alias("p"), part(2).alias("n")), lambda x: F.struct(x["p"].cast("long").alias("pid"), F.trim(x["n"]).alias("name")))
-    return F.filter(rows, lambda x: x["pid"] > 0)
+    """An array ``pid, name`` of a device report's process rows, whose cells are device and chip, pid, name; a pid of 0 is no process."""
+    cells = F.transform(F.split(report, r"\r?\n"), lambda line: F.transform(F.split(line, r"\|"), lambda cell: F.trim(cell)))
+    place = lambda c: F.transform(F.split(F.get(c, 1), " +"), lambda x: x.try_cast("long"))
+    rows = F.filter(cells, lambda c: (F.size(c) >= 5) & (F.get(c, 0) == "") & (F.size(place(c)) == 2) & F.forall(place(c), lambda x: x.isNotNull()) & (F.get(c, 3) != ""))
+    return F.filter(F.transform(rows, lambda c: F.struct(F.get(c, 2).try_cast("long").alias("pid"), F.get(c, 3).alias("name"))), lambda x: x["pid"] > 0)
 
 
 def csv_processes(report: Column) -> Column:

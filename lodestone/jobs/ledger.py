@@ -42,9 +42,13 @@ def index_record(spark, sf):
     "SELECT 'REC-' || upper(substr(sha256(text), 1, 12)) AS record_id, min(doc_id) AS created, max(doc_id) AS updated, array_to_string(list_sort(list_distinct(list(source))), ',') AS retrievals FROM documents GROUP BY text",
 )
 def upsert(spark, sf):
-    """Records named by a digest of their identity; a repeat adds its retrieval and moves the update, not the creation."""
-    rows = table(spark, sf, "documents").select(F.concat(F.lit("REC-"), F.upper(F.substring(F.sha2("text", 256), 1, 12))).alias("record_id"), "doc_id", "source")
-    return rows.groupBy("record_id").agg(F.min("doc_id").alias("created"), F.max("doc_id").alias("updated"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("retrievals"))
+    """Records named by a digest of their identity; a repeat adds its retrieval and moves the update, not the creation.
+
+    Records are told apart by the whole digest. The name shows its first twelve characters, or all where two records share these.
+    """
+    rows = table(spark, sf, "documents").select(F.upper(F.sha2("text", 256)).alias("digest"), "doc_id", "source")
+    records = rows.groupBy("digest").agg(F.min("doc_id").alias("created"), F.max("doc_id").alias("updated"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("retrievals"))
+    return R.named(records, "digest", "record_id").select("record_id", "created", "updated", "retrievals")
 
 
 @JOBS.query("a32_status_rollup", "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*)::BIGINT AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -66,13 +70,17 @@ def inventory(spark, sf):
     )
 
 
+#: The words that make a key sensitive.
+SENSITIVE = "token|secret|password|credential|api[_-]?key|access[_-]?key"
+
+
 @JOBS.query(
     "p20_sensitive_key_scan",
-    "SELECT doc_id, key, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_]+) = \"', 1)) AS key FROM documents) WHERE regexp_matches(key, '(?i)token|secret|password|credential|api_?key|access_?key') GROUP BY doc_id, key",
+    "SELECT doc_id, key, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_-]+) = \"', 1)) AS key FROM documents) WHERE regexp_matches(key, '(?i)" + SENSITIVE + "') GROUP BY doc_id, key",
 )
 def sensitive_keys(spark, sf):
-    keys = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('([A-Za-z_]+) = "'), 1)).alias("key"))
-    return keys.where(F.col("key").rlike("(?i)token|secret|password|credential|api_?key|access_?key")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    keys = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('([A-Za-z_-]+) = "'), 1)).alias("key"))
+    return keys.where(F.col("key").rlike(f"(?i){SENSITIVE}")).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
 
 
 @JOBS.query(

@@ -14,13 +14,14 @@ from lodestone.functions import measures as M
 from lodestone.functions import text as X
 from lodestone.jobs.registry import Registry
 from lodestone.operators import statistics as S
+from lodestone.sources.scratch import settled
 from lodestone.sources.tables import table
 
 JOBS = Registry()
 OBS = (
     "(SELECT l_returnflag AS scene, l_partkey AS instance_id, l_orderkey AS frame, (l_suppkey % 6)::INT AS cam, l_linenumber AS line, "
     "l_extendedprice / 1000 AS depth, l_quantity * 8 AS px_height, l_quantity * l_quantity AS area, 1 - 8 * l_discount AS visible, l_tax AS err, "
-    "l_linestatus = 'F' AS posed FROM lineitem)"
+    "least(greatest((60 - l_extendedprice / 1000) / (l_quantity / 5), 0), 1) AS in_frame, l_linestatus = 'F' AS posed FROM lineitem)"
 )
 #: The edges and names of the strata.
 PX, PX_LABELS = (0.0, 96.0, 160.0, 320.0, float("inf")), ("px<96", "px96-160", "px160-320", "px>320")
@@ -45,6 +46,8 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_quantity") * F.col("l_quantity")).alias("area"),
         (1 - 8 * F.col("l_discount")).alias("visible"),
         F.col("l_tax").alias("err"),
+        # The part of the box, whose width is a fortieth of its height, before the frame's edge at 60.
+        F.least(F.greatest((60 - F.col("l_extendedprice") / 1000) / (F.col("l_quantity") / 5), F.lit(0)), F.lit(1)).alias("in_frame"),
         (F.col("l_linestatus") == "F").alias("posed"),
     )
 
@@ -52,32 +55,34 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 A07 = f"""SELECT scene, instance_id, count(*)::BIGINT AS n_observations, count(DISTINCT frame)::BIGINT AS n_frames, count(DISTINCT cam)::BIGINT AS n_cameras,
   min(depth) AS depth_min, median(depth) AS depth_median, max(px_height) AS px_height_max, median(px_height) AS px_height_median FROM {OBS} GROUP BY scene, instance_id"""
 A08 = f"""SELECT scene, instance_id, count(*)::BIGINT AS n_visible, median(visible) AS visible_median, round(quantile_cont(visible, 0.1), 9) AS visible_p10, round(sum(visible * area) / sum(area), 9) AS visible_weighted,
-  round(avg((visible < 0.5)::INT::DOUBLE), 9) AS frac_below_50, round(avg((visible < 0.25)::INT::DOUBLE), 9) AS frac_below_25, max(visible) AS best_view FROM {OBS} WHERE cam <> 5 GROUP BY scene, instance_id"""
+  round(avg((visible < 0.5)::INT::DOUBLE), 9) AS frac_below_50, round(avg((visible < 0.25)::INT::DOUBLE), 9) AS frac_below_25, max(visible) AS best_view, round(median(in_frame), 12) AS in_frame_median FROM {OBS} WHERE cam <> 5 GROUP BY scene, instance_id"""
 STRATA = f"""SELECT a.scene, a.instance_id, px_height_max, visible_weighted, {label_sql('px_height_max', PX, PX_LABELS)} AS px_stratum, {label_sql('visible_weighted', VIS, VIS_LABELS)} AS vis_stratum,
   a.n_frames / 5.0::DOUBLE AS independent FROM ({A07}) a JOIN ({A08}) b USING (scene, instance_id)"""
 
 
-@JOBS.query("a07_observation_summary", A07)
-def observation_summary(spark, sf):
-    return observations(spark, sf).groupBy("scene", "instance_id").agg(
+BOX = f"(SELECT *, depth AS x0, line * 2.0 AS y0, depth + px_height / 40 AS x1, line * 2.0 + 3 AS y1 FROM {OBS})"
+OCCLUSION = f"""SELECT a.scene, a.frame, a.cam, a.line, coalesce(max(CASE WHEN b.frame IS NOT NULL AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+      THEN round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1e-6), 9) ELSE 0 END), 0) AS occlusion
+    FROM {BOX} a LEFT JOIN {BOX} b ON a.frame = b.frame AND a.cam = b.cam AND a.instance_id <> b.instance_id AND b.depth < a.depth GROUP BY a.scene, a.frame, a.cam, a.line"""
+A07_WHOLE = f"""SELECT a.*, occlusion_median, occlusion_max FROM ({A07}) a JOIN (SELECT scene, instance_id, round(median(occlusion), 9) AS occlusion_median, max(occlusion) AS occlusion_max
+  FROM ({OCCLUSION}) JOIN {OBS} USING (scene, frame, cam, line) GROUP BY scene, instance_id) o USING (scene, instance_id)"""
+
+
+def entity_views(rows):
+    """What is known of each entity's views without quantiles."""
+    return rows.groupBy("scene", "instance_id").agg(
         F.count("*").alias("n_observations"),
         F.count_distinct("frame").alias("n_frames"),
-        F.count_distinct("cam").alias("n_cameras"),
+        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("cam")))).cast("long").alias("n_cameras"),  # six of them
         F.min("depth").alias("depth_min"),
-        F.median("depth").alias("depth_median"),
         F.max("px_height").alias("px_height_max"),
-        F.median("px_height").alias("px_height_median"),
     )
 
 
-@JOBS.query("a08_visibility_summary", A08)
-def visibility_summary(spark, sf):
-    """Quantiles, the mean weighted by area, shares below thresholds."""
+def entity_visibility(rows):
     share = lambda t: F.round(F.avg((F.col("visible") < t).cast("double")), 9)
-    return observations(spark, sf).where("cam <> 5").groupBy("scene", "instance_id").agg(
+    return rows.where("cam <> 5").groupBy("scene", "instance_id").agg(
         F.count("*").alias("n_visible"),
-        F.median("visible").alias("visible_median"),
-        F.round(F.percentile("visible", 0.1), 9).alias("visible_p10"),
         F.round(F.sum(F.col("visible") * F.col("area")) / F.sum("area"), 9).alias("visible_weighted"),
         share(0.5).alias("frac_below_50"),
         share(0.25).alias("frac_below_25"),
@@ -85,9 +90,29 @@ def visibility_summary(spark, sf):
     )
 
 
+@JOBS.query("a07_observation_summary", A07_WHOLE)
+def observation_summary(spark, sf):
+    """Counts, extremes and exact medians of each entity, also of how far nearer boxes hide it; an entity may have any number of views."""
+    rows = observations(spark, sf)
+    key = ["scene", "instance_id"]
+    hidden = occluders(spark, sf).select("scene", "frame", "cam", "line", "occlusion")
+    rows = settled(rows.select(*key, "frame", "cam", "line", "depth", "px_height").join(hidden, ["scene", "frame", "cam", "line"]))
+    hiding = rows.groupBy(*key).agg(F.max("occlusion").alias("occlusion_max"))
+    out = S.with_quantiles(entity_views(rows).join(hiding, key), rows, key, {"depth_median": ("depth", 0.5), "px_height_median": ("px_height", 0.5), "occlusion_median": ("occlusion", 0.5)})
+    return out.withColumn("occlusion_median", F.round("occlusion_median", 9))
+
+
+@JOBS.query("a08_visibility_summary", A08)
+def visibility_summary(spark, sf):
+    """Quantiles, the mean weighted by area, shares below thresholds."""
+    rows, key = observations(spark, sf).where("cam <> 5"), ["scene", "instance_id"]
+    out = S.with_quantiles(entity_visibility(rows), rows, key, {"visible_median": ("visible", 0.5), "visible_p10": ("visible", 0.1), "in_frame_median": ("in_frame", 0.5)})
+    return out.withColumns({"visible_p10": F.round("visible_p10", 9), "in_frame_median": F.round("in_frame_median", 12)})
+
+
 def strata(spark, sf):
-    a = observation_summary(spark, sf).select("scene", "instance_id", "px_height_max", "n_frames")
-    b = visibility_summary(spark, sf).select("scene", "instance_id", "visible_weighted")
+    a = entity_views(observations(spark, sf)).select("scene", "instance_id", "px_height_max", "n_frames")
+    b = entity_visibility(observations(spark, sf)).select("scene", "instance_id", "visible_weighted")
     return a.join(b, ["scene", "instance_id"]).select(
         "scene",
         "instance_id",
@@ -264,15 +289,7 @@ def visible_ratio(spark, sf):
     return owned.groupBy("scene", "instance_id").agg(F.round(F.least(F.lit(1.0), ratio), 9).alias("ratio"))
 
 
-BOX = f"(SELECT *, depth AS x0, line * 2.0 AS y0, depth + px_height / 40 AS x1, line * 2.0 + 3 AS y1 FROM {OBS})"
-
-
-@JOBS.query(
-    "j05_theta_occluders",
-    f"""SELECT a.scene, a.frame, a.cam, a.line, coalesce(max(CASE WHEN b.frame IS NOT NULL AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
-      THEN round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1e-6), 9) ELSE 0 END), 0) AS occlusion
-    FROM {BOX} a LEFT JOIN {BOX} b ON a.frame = b.frame AND a.cam = b.cam AND a.instance_id <> b.instance_id AND b.depth < a.depth GROUP BY a.scene, a.frame, a.cam, a.line""",
-)
+@JOBS.query("j05_theta_occluders", OCCLUSION)
 def occluders(spark, sf):
     """The largest share of a box that a strictly nearer one of another entity covers in the same frame and camera."""
     boxes = observations(spark, sf).selectExpr("scene", "frame", "cam", "line", "instance_id", "depth", "depth AS x0", "line * 2.0D AS y0", "depth + px_height / 40 AS x1", "line * 2.0D + 3 AS y1")

@@ -19,6 +19,10 @@ def _same(by: Sequence[str], prefix: str = "_by_") -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by]
 
 
+#: So many rows and fewer are numbered by one task at once, which needs no ranges and no written table.
+SMALL = 50_000
+
+
 def in_order(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``rows`` with ``_part`` and ``_at``, which grow in the order of group and ``order`` (nulls first), written once.
 
@@ -34,8 +38,12 @@ def numbered(rows: DataFrame, by: Sequence[str], order: str, weight: str | None
 
     Rows of equal ``order`` and ``tie`` come in any order: what depends on a row's number needs an order without ties.
     """
-    held = in_order(rows, by, [order, *tie])
     n = F.sum(weight) if weight else F.count("*")
+    if rows.limit(SMALL + 1).count() <= SMALL:
+        group = Window.partitionBy(*by)
+        before = n.over(group.orderBy(*(F.col(c).asc_nulls_first() for c in (order, *tie))).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumns({"_nth": F.coalesce(before, F.lit(0)), "_size": n.over(group)})
+    held = in_order(rows, by, [order, *tie])
     runs = held.groupBy(*by, "_part").agg(n.alias("_held"), F.min("_at").alias("_first"))
     every = Window.partitionBy(*by)
     earlier = F.coalesce(F.sum("_held").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -50,7 +58,7 @@ def numbered(rows: DataFrame, by: Sequence[str], order: str, weight: str | None
     out = out.withColumn("_nth", before + F.col("_earlier"))
     if not weight or dict(rows.dtypes)[weight] in ("int", "bigint"):
         out = out.withColumn("_nth", F.col("_nth").cast("long"))
-    return out.drop("_part", "_at", "_of", "_first", "_earlier", "_own", *(f"_by_{c}" for c in by))
+    return out.select(*rows.columns, "_nth", "_size")
 
 
 def as_of(

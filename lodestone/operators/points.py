@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.statistics import quantiles
+from lodestone.operators.statistics import quantiles, with_quantiles
 
 XYZ = ("x", "y", "z")
 
@@ -163,5 +163,6 @@ def quantile_bins(rows: DataFrame, x: str, y: str, bins: int, least: int) -> Dat
 def grid_median(rows: DataFrame, by: Sequence[str], x: str, y: str, value: str, low: float, high: float, cells: int, least: int) -> DataFrame:
     """Medians of the cells of a square grid that hold ``least`` rows; coordinates outside go to the border cells."""
     cell = lambda c: F.least(F.greatest(F.floor((F.col(c) - low) / ((high - low) / cells)), F.lit(0)), F.lit(cells - 1)).cast("int")
-    out = rows.groupBy(*by, cell(x).alias("gx"), cell(y).alias("gy")).agg(F.median(value).alias("median"), F.count("*").alias("n"))
-    return out.where(F.col("n") >= least)
+    cells_of = rows.select(*by, cell(x).alias("gx"), cell(y).alias("gy"), value)
+    counts = cells_of.groupBy(*by, "gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return with_quantiles(counts, cells_of, [*by, "gx", "gy"], {"median": (value, 0.5)})

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def drift(index: DataFrame, records: DataFrame, key: str, record: str, fields: Mapping[str, str]) -> DataFrame:
@@ -15,3 +16,10 @@ def drift(index: DataFrame, records: DataFrame, key: str, record: str, fields: M
     for a, b in fields.items():
         differs = differs | ~F.col(a).eqNullSafe(F.col(b))
     return both.where(differs)
+
+
+def named(records: DataFrame, digest: str, name: str, prefix: str = "REC-", shown: int = 12) -> DataFrame:
+    """``records``, one for each whole ``digest``, with a ``name`` of its first characters; those that share these show all of it."""
+    short = F.substring(digest, 1, shown)
+    one = F.count("*").over(Window.partitionBy(short)) == 1
+    return records.withColumn(name, F.concat(F.lit(prefix), F.when(one, short).otherwise(F.col(digest))))

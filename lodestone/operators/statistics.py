@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.ordered import numbered
+from lodestone.sources.scratch import settled
+
 
 def macro_average(rows: DataFrame, cell: Sequence[str], entity: str, metric: str, pixels: str) -> DataFrame:
     """Each entity's mean first, then a cell's mean and population deviation over its entities, so that large entities don't outweigh."""
@@ -17,45 +20,6 @@ def macro_average(rows: DataFrame, cell: Sequence[str], entity: str, metric: str
     )
 
 
-#: A numbered column is cut into at most this many ranges, of so many rows where there are fewer.
-RANGES, RANGE_ROWS = 1024, 100_000
-
-
-def range_of(rows: DataFrame, order: str) -> Column:
-    """The number of the range in which a number lies; ranges hold about as many rows each, and a null lies in the first.
-
-    Their bounds are constants, so that a row that is computed again finds the same range.
-    """
-    value = F.col(order).cast("double")
-    n, bounds = rows.agg(F.count("*"), F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)])).first()
-    step = 1
-    while step * step * RANGE_ROWS < n and step * step < RANGES:
-        step *= 2
-    if step == 1 or not bounds:
-        return F.lit(0)
-    bounds = [bounds[k * RANGES // step**2 - 1] for k in range(1, step**2)]
-    array = lambda part: F.split(F.lit(",".join(map(repr, part))), ",").cast("array<double>")
-    coarse = F.size(F.filter(array(bounds[step - 1 :: step]), lambda b: b <= value))
-    return coarse * step + F.size(F.filter(F.slice(array(bounds), coarse * step + 1, F.lit(step - 1)), lambda b: b <= value))
-
-
-def numbered(rows: DataFrame, by: Sequence[str], order: str, weight: str | None = None) -> DataFrame:
-    """``rows`` with ``_nth``, the rows (or the sum of ``weight``) before a row in its group, in the order of the number ``order``.
-
-    Groups may be of any size: each is numbered range by range, and what earlier ranges hold of it is
-    added; only a row for each range and group meets in one place.
-    """
-    ranged = rows.withColumn("_part", range_of(rows, order))
-    one = F.col(weight) if weight else F.lit(1)
-    held = ranged.groupBy(*by, "_part").agg(F.sum(one).alias("_held"))
-    earlier = F.coalesce(F.sum("_held").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_of"), earlier.alias("_earlier"))
-    own = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_part") == F.col("_of")]
-    out = ranged.withColumn("_own", F.coalesce(F.sum(one).over(own), F.lit(0))).join(held, same)
-    return out.withColumn("_nth", (F.col("_own") + F.col("_earlier")).cast("long")).drop("_part", "_of", "_own", "_earlier", *(f"_by_{c}" for c in by))
-
-
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """``by, q, value``: exact, linearly interpolated quantiles of each group's values that aren't null.
 
@@ -63,10 +27,6 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence[float
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     placed = numbered(counts, by, "_v", "_n")
-    # The group's last value knows the group's size.
-    sizes = counts.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.sum("_n").alias("_size"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    placed = placed.join(sizes, same) if by else placed.join(F.broadcast(sizes))  # one row
     at = lambda q: F.lit(q) * (F.col("_size") - 1)
     holds = lambda rank: (F.col("_nth") <= rank) & (rank < F.col("_nth") + F.col("_n"))
     # A value is a quantile's lower or upper neighbour, or both; few rows are left after this.
@@ -79,6 +39,22 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, qs: Sequence[float
     return ends.select(*by, "q", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(mid).alias("value"))
 
 
+def quantile_columns(rows: DataFrame, by: Sequence[str], asked: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``by`` and a column for each of ``asked``, name: (column, q); a group whose column is null throughout has a null, one without any value no row."""
+    columns = sorted({c for c, _ in asked.values()})
+    long = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns))
+    found = quantiles(rows.select(*by, F.explode(long).alias("x")).select(*by, "x.metric", "x.v"), [*by, "metric"], "v", sorted({q for _, q in asked.values()}))
+    at = lambda c, q: F.max(F.when((F.col("metric") == c) & (F.col("q") == q), F.col("value")))
+    return found.groupBy(*by).agg(*(at(c, q).alias(name) for name, (c, q) in asked.items()))
+
+
+def with_quantiles(summary: DataFrame, rows: DataFrame, by: Sequence[str], asked: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``summary``, a row for each group of ``rows``, with :func:`quantile_columns`."""
+    found = quantile_columns(rows, by, asked)
+    found = found.select(*(F.col(c).alias(f"_of_{c}") for c in by), *asked)
+    return summary.join(found, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], "left").drop(*(f"_of_{c}" for c in by))
+
+
 def quantile_profile(rows: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """``metric, q, value``: exact, linearly interpolated quantiles of each column."""
     long = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns))
@@ -86,12 +62,11 @@ def quantile_profile(rows: DataFrame, columns: Sequence[str], qs: Sequence[float
 
 
 def average_ranks(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows with average ranks ``rx, ry``. Values are counted first: only the distinct ones meet in the ordering window."""
+    """Rows with average ranks ``rx, ry``. Values are counted first, and the distinct ones put in order range by range."""
 
     def ranks(c: str, name: str) -> DataFrame:
         counts = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{name}")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(f"_{name}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(f"_{name}", (before + (F.col("n") + 1) / 2).alias(name))
+        return numbered(counts, [], f"_{name}", "n").select(f"_{name}", (F.col("_nth") + (F.col("n") + 1) / 2).alias(name))
 
     out = rows.join(ranks(x, "rx"), F.col(x) == F.col("_rx")).join(ranks(y, "ry"), F.col(y) == F.col("_ry"))
     return out.drop("_rx", "_ry")
@@ -102,7 +77,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def moving_average(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int, block: int = 4096) -> DataFrame:
-    """Means of ``k`` rows labelled with the first; a series of fewer rows is returned as it is.
+    """Means of ``k`` rows labelled with the first; a series of fewer rows is returned as it is. An order with ties gives means that depend on how they fall.
 
     A series may be of any length: it is cut into blocks of rows, each with the ``k - 1`` first ones of the next block.
     """
@@ -119,9 +94,9 @@ def moving_average(rows: DataFrame, by: Sequence[str], order: str, value: str, k
 
 
 def every_nth(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """Every n-th row in order, n so that at most about ``most`` stay."""
-    step = max(1, rows.count() // most)
-    return numbered(rows, [], order).where(F.col("_nth") % step == 0).drop("_nth")
+    """Every n-th row in order, n so that at most about ``most`` stay; which ones depends on an order without ties."""
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / most))
+    return numbered(rows, [], order).where(F.col("_nth") % step == 0).drop("_nth", "_size")
 
 
 def ends(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int) -> DataFrame:
@@ -131,7 +106,9 @@ def ends(rows: DataFrame, by: Sequence[str], order: str, value: str, k: int) ->
         nth = F.row_number().over(Window.partitionBy(*by).orderBy(place))
         return rows.withColumn("_nth", nth).where(F.col("_nth") <= k).groupBy(*by).agg(F.avg(value).alias(name))
 
-    return side("head", F.asc(order)).join(side("tail", F.desc(order)), list(by))
+    tail = side("tail", F.desc(order))
+    tail = tail.select(*(F.col(c).alias(f"_{c}") for c in by), "tail")
+    return side("head", F.asc(order)).join(tail, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*(f"_{c}" for c in by))
 
 
 def argmax_rows(rows: DataFrame, by: Sequence[str], best: Column, columns: Sequence[str]) -> DataFrame:
@@ -142,14 +119,18 @@ def argmax_rows(rows: DataFrame, by: Sequence[str], best: Column, columns: Seque
 def spaced_top(rows: DataFrame, by: Sequence[str], place: str, rank: str, k: int, apart: int) -> DataFrame:
     """Greedily the ``k`` rows of the highest ``rank`` (a tie: of the least ``place``) that lie at least ``apart`` from those taken; ``nth`` from 0.
 
-    A round for each: the best row of every group, combined before the shuffle, then the group's rows far enough from it.
+    A round for each: the best row of every group, combined before the shuffle, of those far enough from what earlier rounds took,
+    which was written. So a round's plan is as long as the first one's.
     """
-    left, out = rows.select(*by, place, rank), None
+    out = None
     for nth in range(k):
+        left = rows
+        if out is not None:
+            taken = out.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.collect_list(place).alias("_taken"), F.count("*").alias("_n"))
+            # Groups that had nothing left in the last round are done.
+            left = rows.join(taken.where(F.col("_n") == nth), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+            left = left.where(F.forall("_taken", lambda t: F.abs(F.col(place) - t) >= apart))
         best = left.groupBy(*by).agg(F.max_by(place, F.struct(F.col(rank), -F.col(place))).alias(place))
-        taken = best.select(*by, F.lit(nth).alias("nth"), place)
-        out = taken if out is None else out.unionByName(taken)
-        gone = best.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(place).alias("_taken"))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-        left = left.join(gone, same).where(F.abs(F.col(place) - F.col("_taken")) >= apart).select(*by, place, rank)
+        best = settled(best.select(*by, F.lit(nth).alias("nth"), place))
+        out = best if out is None else out.unionByName(best)
     return out

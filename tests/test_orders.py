@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import intervals, ordered
+from lodestone.operators import intervals, ordered, records
+from lodestone.operators import statistics as S
 
 
 def rows_of(frame):
@@ -19,8 +20,9 @@ def plan_of(frame):
 
 
 @pytest.fixture(params=[2, 13])
-def cut(spark, request):
+def cut(spark, request, monkeypatch):
     """So many ranges, not put together again where they are small."""
+    monkeypatch.setattr(ordered, "SMALL", 0)
     keys = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
@@ -97,6 +99,13 @@ def test_frames_by_value(spark, cut):
     assert "SinglePartition" not in plan_of(out)
 
 
+def test_small_tables_are_numbered_alike(spark, monkeypatch):
+    frame = spark.createDataFrame([(g, v, 1 + v) for g in ("a", None) for v in range(9)], "g string, v long, w long")
+    small = rows_of(ordered.numbered(frame, ["g"], "v", "w")), rows_of(ordered.numbered(frame, [], "v", tie=["g"]))
+    monkeypatch.setattr(ordered, "SMALL", 0)
+    assert small == (rows_of(ordered.numbered(frame, ["g"], "v", "w")), rows_of(ordered.numbered(frame, [], "v", tie=["g"])))
+
+
 def test_no_group_is_in_one_task(spark, cut):
     """All rows have one key; each range numbers its own."""
     frame = spark.range(5000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 5003).alias("v"))
@@ -138,3 +147,33 @@ def test_long_intervals_take_no_more_rows_than_short_ones(spark):
     assert intervals._dealt(long, "c", "d", [13, 18, 20], "_x").count() <= 2 * 2 * 3
     got = intervals.overlaps(short, long, ("a", "b"), ("c", "d")).groupBy("j").count()
     assert rows_of(got) == [(0, 1440), (1, 2000)]
+
+
+def test_ends_keep_a_null_series(spark):
+    frame = spark.createDataFrame([(g, k, float(k)) for g in (None, 1) for k in range(6)], "g long, at long, v double")
+    assert rows_of(S.ends(frame, ["g"], "at", "v", 2)) == [(1, 0.5, 4.5), (None, 0.5, 4.5)]
+
+
+def test_spaced_top_plans_stay_short(spark):
+    rng = random.Random(2)
+    data = [(g, at, rng.randint(0, 9)) for g in (1, 2, None) for at in rng.sample(range(100), 40)] + [(3, 5, 1)]
+    frame = spark.createDataFrame(data, "g long, at long, rank long")
+    sizes = {}
+    for k in (3, 6):
+        out = S.spaced_top(frame, ["g"], "at", "rank", k, 10)
+        sizes[k] = out._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        expected = []
+        for g in (1, 2, 3, None):
+            taken = []
+            for nth in range(k):
+                left = [(r, -at) for h, at, r in data if h == g and all(abs(at - t) >= 10 for t in taken)]
+                if left:
+                    taken.append(-max(left)[1])
+                    expected.append((g, nth, taken[-1]))
+        assert rows_of(out) == sorted(expected, key=str)
+    assert sizes == {3: 3, 6: 6}
+
+
+def test_records_whose_names_meet_are_kept_apart(spark):
+    frame = spark.createDataFrame([("AAAA1", 1), ("AAAA2", 2), ("BBBB1", 3)], "digest string, n long")
+    assert rows_of(records.named(frame, "digest", "name", shown=4).select("n", "name")) == [(1, "REC-AAAA1"), (2, "REC-AAAA2"), (3, "REC-BBBB")]

@@ -14,6 +14,7 @@ from lodestone.functions import measures as M
 from lodestone.functions import text as X
 from lodestone.jobs import JOBS
 from lodestone.operators import points as P
+from lodestone.operators import ordered
 from lodestone.operators import statistics as S
 from lodestone.sources import binary, files, paged
 
@@ -180,7 +181,7 @@ def test_text_readers(spark):
 
 @pytest.fixture
 def small_ranges(monkeypatch):
-    monkeypatch.setattr(S, "RANGE_ROWS", 20)
+    monkeypatch.setattr(ordered, "SMALL", 0)
 
 
 def test_numbering_by_ranges(spark, small_ranges):
