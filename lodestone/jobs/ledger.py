@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.jobs.registry import Registry
 from lodestone.operators import records as R
+from lodestone.sources import merged
+from lodestone.sources.scratch import shared_folder
 from lodestone.sources.tables import table
 
 JOBS = Registry()
@@ -51,6 +55,20 @@ def upsert(spark, sf):
     return R.named(records, "digest", "record_id").select("record_id", "created", "updated", "retrievals")
 
 
+@JOBS.query(
+    "u06_ledger_merge",
+    "SELECT upper(sha256(text)) AS digest, min(doc_id) AS created, max(doc_id) AS updated, array_to_string(list_sort(list_distinct(list(source))), ',') AS retrievals FROM documents GROUP BY text",
+)
+def ledger_merge(spark, sf):
+    """Three retrievals of the documents, one of them twice, merged into a ledger that is there."""
+    docs = table(spark, sf, "documents").select(F.upper(F.sha2("text", 256)).alias("digest"), F.col("doc_id").alias("created"), F.col("doc_id").alias("updated"), F.array_compact(F.array("source")).alias("retrievals"))
+    merges = {"created": merged.least, "updated": merged.largest, "retrievals": merged.union}
+    ledger = merged.MergedTable(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}", ["digest"], merges, buckets=16)
+    for k in (2, 0, 1, 0):
+        ledger.upsert(docs.where(F.pmod("created", F.lit(3)) == k), f"retrieval {k}")
+    return ledger.read(docs.schema).withColumn("retrievals", F.array_join("retrievals", ","))
+
+
 @JOBS.query("a32_status_rollup", "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*)::BIGINT AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def status_rollup(spark, sf):
     return table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
