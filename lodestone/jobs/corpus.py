@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions import tables
 from lodestone.functions import text as T
 from lodestone.jobs.registry import Registry
 from lodestone.operators import automata as A
@@ -400,6 +401,14 @@ def snippets(spark, sf):
     return windows(flat_docs(spark, sf), "doc_id", "t", r"licen[cs]ed|token", before=90, after=90, most=3, same=60)
 
 
+@JOBS.query("f07_snippets_sql", JOBS.sql["f07_snippets"])
+def snippets_in_sql(spark, sf):
+    """F07, W10 as a table function that SQL calls, a document at a time."""
+    tables.register(spark)
+    flat_docs(spark, sf).select("doc_id", "t").createOrReplaceTempView("lodestone_flat_documents")
+    return spark.sql("SELECT doc_id, start, `end`, snippet FROM snippets('licen[cs]ed|token', 90, 3, 60, TABLE(lodestone_flat_documents) PARTITION BY doc_id)")
+
+
 @JOBS.query(
     "j10_focus_contains",
     "SELECT DISTINCT doc_id FROM documents, (VALUES ('apache license'), ('mit license'), ('rights reserved')) f(phrase) WHERE contains(lower(text), phrase)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import measures as M
+from lodestone.functions import tables
 from lodestone.jobs.registry import Registry
 from lodestone.operators import points as P
 from lodestone.operators import raster as R
@@ -249,6 +250,16 @@ def hull_pixels(spark, sf):
     return R.owners(cells, ["cam"], "entity", "depth")
 
 
+@JOBS.query("f20_hull_sql", HULLS)
+def hull_in_sql(spark, sf):
+    """F20 as a table function that SQL calls, an entity at a time."""
+    tables.register(spark)
+    p = points(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("entity"), F.col("label").cast("long").alias("cam"), F.col("z").cast("double").alias("depth"), (F.col("x") * 8 + 32).alias("px"), (F.col("y") * 8 + 24).alias("py"))
+    p.createOrReplaceTempView("lodestone_corners")
+    cells = spark.sql("SELECT * FROM hull_pixels(64, 48, TABLE(lodestone_corners) PARTITION BY entity)")
+    return R.owners(cells, ["cam"], "entity", "depth")
+
+
 def _det_sql(rows: list[int], columns: list[int], width: int) -> str:
     """A determinant by expansion along its first row."""
     if not rows:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import measures as M
 from lodestone.functions import text as X
 from lodestone.jobs.registry import Registry
+from lodestone.operators import crowded as C
 from lodestone.operators import statistics as S
 from lodestone.sources.scratch import settled
 from lodestone.sources.tables import table
@@ -293,11 +294,7 @@ def visible_ratio(spark, sf):
 def occluders(spark, sf):
     """The largest share of a box that a strictly nearer one of another entity covers in the same frame and camera."""
     boxes = observations(spark, sf).selectExpr("scene", "frame", "cam", "line", "instance_id", "depth", "depth AS x0", "line * 2.0D AS y0", "depth + px_height / 40 AS x1", "line * 2.0D + 3 AS y1")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    pairs = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cam") == F.col("b.cam")) & (F.col("a.instance_id") != F.col("b.instance_id")) & (F.col("b.depth") < F.col("a.depth")), "left")
-    side = lambda t: [F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")]
-    ratio = F.when(F.col("b.frame").isNotNull(), F.round(M.coverage_ratio(side("a"), side("b")), 9))
-    return pairs.groupBy("a.scene", "a.frame", "a.cam", "a.line").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("occlusion"))
+    return C.hidden(boxes, ["frame", "cam"], ["scene", "line"], "instance_id", "depth")
 
 
 @JOBS.query(
@@ -306,10 +303,7 @@ def occluders(spark, sf):
 )
 def strictly_nearer(spark, sf):
     """Of the pairs of different entities in a view, those whose second is strictly nearer; at equal depth neither hides the other."""
-    rows = observations(spark, sf).select("frame", "cam", "instance_id", "depth")
-    other = rows.select("frame", "cam", F.col("instance_id").alias("other"), F.col("depth").alias("its_depth"))
-    pairs = rows.join(other, ["frame", "cam"]).where("instance_id <> other")
-    return pairs.groupBy("frame", "cam").agg(F.count("*").alias("n_pairs"), F.count_if(F.expr("its_depth < depth")).alias("n_nearer"), F.count_if(F.expr("its_depth = depth")).alias("n_level"))
+    return C.nearer_pairs(observations(spark, sf), ["frame", "cam"], "instance_id", "depth")
 
 
 @JOBS.query(

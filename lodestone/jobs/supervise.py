@@ -11,7 +11,7 @@ from lodestone.jobs.registry import Registry
 from lodestone.operators import supervision as V
 from lodestone.sources.scratch import shared_folder
 from lodestone.sources.tables import table
-from lodestone.streaming import limits
+from lodestone.streaming import limits, signs
 
 JOBS = Registry()
 LOG = "(SELECT user_id AS job, event_id, ts, event_type AS kind, value FROM events)"
@@ -133,6 +133,23 @@ def status(spark, sf):
     return last.join(F.broadcast(now)).select("job", "last_kind", (F.col("now") - F.col("seen") <= DAY * 1_000_000).alias("alive"))  # one row
 
 
+@JOBS.query(
+    "t15_silent_errors",
+    f"SELECT job, event_id FROM {LOG} e WHERE kind = 'error' AND NOT EXISTS (SELECT 1 FROM {LOG} v WHERE v.job = e.job AND v.kind = 'view' AND v.ts >= e.ts AND v.ts <= e.ts + INTERVAL 6 HOUR)",
+)
+def silent_errors(spark, sf):
+    """Errors that no view follows within six hours, by a join of two streams that is run to its end."""
+    folder = f"{shared_folder(spark)}/silent-{uuid.uuid4().hex}"
+    last = log(spark, sf).agg((F.max("ts") + F.make_dt_interval(days=F.lit(30))).alias("ts")).select(F.lit(LAST_JOB).cast("long").alias("job"), F.lit(0).cast("long").alias("event_id"), "ts")
+    last.coalesce(1).write.parquet(f"{folder}/last")
+    files = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+    own = lambda kind: files.where(F.col("event_type") == kind).select(F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    end = spark.readStream.schema(last.schema).parquet(f"{folder}/last")
+    views = own("view").unionByName(end).select("job", F.col("event_id").alias("sign_id"), F.col("ts").alias("seen"))
+    said = signs.replay(signs.followed(own("error").unionByName(end), views, "6 HOURS"), folder)
+    return said.where((F.col("job") != LAST_JOB) & F.col("sign_id").isNull()).select("job", "event_id")
+
+
 @JOBS.query("w12_state_history", "SELECT conv_id, count(*)::BIGINT AS n_turns, (count(*) FILTER (WHERE before IS NOT NULL AND before = role))::BIGINT AS n_broken FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) GROUP BY conv_id")
 def history(spark, sf):
     """Each turn must hand over from another role than its own."""

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from lodestone.jobs import gates, supervise
 from lodestone.operators import supervision
 from lodestone.sources import tail
-from lodestone.streaming import delivery, limits, supervisor, windows
+from lodestone.streaming import delivery, limits, signs, supervisor, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,6 +144,37 @@ def test_limits_at_their_borders(spark, tmp_path):
     assert {r["job"] for r in got if r["event"] == "RESOURCE_WAIT_TIMEOUT"} == {3, 4}
 
 
+def test_signs_of_life_over_shuffled_files_and_a_restart(spark, tmp_path):
+    log = supervise.log(spark, SF)
+    far = spark.createDataFrame([(-1, "2024-06-01 00:00:00", 0, "error", None), (-1, "2024-06-01 00:00:00", 0, "view", None)], "job long, t string, event_id long, kind string, value double").withColumn("ts", F.to_timestamp("t"))
+    slices = log.withColumn("slice", (F.dayofmonth("ts") / 4).cast("int"))
+    kinds = lambda kind: spark.readStream.schema(JOB_ROW).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/jobs").where(F.col("kind") == kind)
+
+    def run():
+        views = kinds("view").select("job", F.col("event_id").alias("sign_id"), F.col("ts").alias("seen"))
+        return signs.replay(signs.followed(kinds("error"), views, "6 HOURS", late="7 days"), f"{tmp_path}/signs").collect()
+
+    for k, part in enumerate([1, 0, 3, 2]):
+        add_file(spark, tmp_path, slices.where(F.col("slice") == part), k)
+    early = run()
+    for k, part in enumerate([5, 4, 7, 6], 4):
+        add_file(spark, tmp_path, slices.where(F.col("slice") == part), k)
+    add_file(spark, tmp_path, far, 20)
+    got = [r for r in run() if r["job"] != -1]
+    assert early and len(early) < len(got)
+    silent = [r["event_id"] for r in got if r["sign_id"] is None]
+    rows = [tuple(r) for r in log.select("job", "event_id", "kind", F.unix_micros("ts")).collect()]
+    views = {}
+    for job, _, kind, us in rows:
+        if kind == "view":
+            views.setdefault(job, []).append(us)
+    hours = 6 * 3_600_000_000
+    expected = [i for job, i, kind, us in rows if kind == "error" and not any(us <= v <= us + hours for v in views.get(job, []))]
+    assert sorted(silent) == sorted(expected)
+    pairs = sum(us <= v <= us + hours for job, _, kind, us in rows if kind == "error" for v in views.get(job, []))
+    assert len(got) == len(silent) + pairs
+
+
 def test_delivery(spark, tmp_path):
     rows = [(1, "error", "a"), (2, "view", "b"), (3, "error", "c")]
     spark.createDataFrame(rows, "event_id long, kind string, detail string").coalesce(1).write.parquet(f"{tmp_path}/in")
