@@ -52,7 +52,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.listed_hosts(pages))
+    return urls.judge_urls(pages, urls.listed_pages(pages), key=urls.page_key())
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

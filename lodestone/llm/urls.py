@@ -31,8 +31,6 @@ RULES = (
 )
 #: Bytes that a filter may take; it is a constant of the plan.
 LEVEL_BYTES = 4 << 20
-#: Parts of host names that put a host on the block list of the query.
-LISTED_NAMES = ("adult", "ads-track", "casino", "pills", "spam", "bets")
 
 
 def host_of(url: Column) -> Column:
@@ -131,13 +129,15 @@ def judge_urls(
     pages: DataFrame,
     listed: DataFrame,
     *,
+    key: Column | None = None,
     rules: Sequence[tuple[str, str, str]] = RULES,
     level_bytes: int = LEVEL_BYTES,
 ) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict``.
 
     The longest fitting rule's verdict holds (longest by host and path
-    together, then by host); otherwise ``block`` if the host is a ``key`` of ``listed``,
+    together, then by host); otherwise ``block`` if the row's ``key``, a
+    column over ``host`` and ``path`` (by default the host), is a ``key`` of ``listed``,
     else ``allow``. A null url and one without ``://`` has an empty host and
     path. Null and repeated keys of ``listed`` and those that no page has are
     of no effect; repeated pages stay repeated.
@@ -146,24 +146,25 @@ def judge_urls(
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    listing = listed.select(F.col("key").alias("host"), F.lit(True).alias("listed")).where("host IS NOT NULL")
-    seen = rows.select("host", F.lit(False).alias("listed"))
-    both = listing.unionByName(seen).groupBy(F.col("host").alias("key")).agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("unseen"))
+    rows = rows.withColumn("key", F.col("host") if key is None else key)
+    listing = listed.select("key", F.lit(True).alias("listed")).where("key IS NOT NULL")
+    seen = rows.select("key", F.lit(False).alias("listed"))
+    both = listing.unionByName(seen).groupBy("key").agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("unseen"))
     keys = settle(both.where(~F.col("unseen")).select("key", "listed"))
     counts = keys.agg(F.count_if("listed").alias("n"), F.count("*").alias("all")).first()
     blocks = n_blocks(counts["n"], counts["all"] - counts["n"], level_bytes)
     chosen = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("chosen", chosen).select("page_id", "host", "path", F.col("chosen.rule").alias("rule"), F.col("chosen.verdict").alias("verdict"))
+    rows = rows.withColumn("chosen", chosen).select("page_id", "host", "path", "key", F.col("chosen.rule").alias("rule"), F.col("chosen.verdict").alias("verdict"))
 
     def judged(own: DataFrame, levels: Sequence[Level]) -> DataFrame:
-        listed_host = F.when(in_cascade(F.col("host"), levels), "block").otherwise("allow")
-        return own.select("page_id", "host", "path", "rule", F.coalesce("verdict", listed_host).alias("verdict"))
+        by_list = F.when(in_cascade(F.col("key"), levels), "block").otherwise("allow")
+        return own.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_list).alias("verdict"))
 
     if blocks == 1:
         return judged(rows, build_cascade(keys))
     folder = f"{shared_folder(pages.sparkSession)}/url-blocks-{uuid.uuid4().hex}"
     block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(blocks)).cast("int").alias("block")
-    written = {"keys": keys.select("*", block(F.col("key"))), "rows": rows.select("*", block(F.col("host")))}
+    written = {"keys": keys.select("*", block(F.col("key"))), "rows": rows.select("*", block(F.col("key")))}
     for name, frame in written.items():
         frame.write.partitionBy("block").parquet(f"{folder}/{name}")
     own = {name: pages.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}") for name, frame in written.items()}
@@ -175,14 +176,19 @@ def judge_urls(
     return out
 
 
-def listed_hosts(pages: DataFrame, names: Sequence[str] = LISTED_NAMES, cut_share: float = 0.5) -> DataFrame:
-    """The block list of the query: hosts that have one of the names as a part, and those of whose pages so large a share is cut off.
+def page_key() -> Column:
+    """A page's key: host and path of its url."""
+    return F.concat("host", "path")
 
-    A page is cut off if its html is null or lacks the closing tag. The empty host isn't listed.
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The block list of the query: the keys of pages all of whose copies are cut off.
+
+    A page is cut off if its html is null or lacks the closing tag. Urls without a host aren't listed. The list grows with the pages.
     """
     cut = F.coalesce(~F.contains("html", F.lit("</html>")), F.lit(True))
-    hosts = pages.select(host_of(F.col("url")).alias("key"), cut.cast("int").alias("cut")).groupBy("key").agg(F.avg("cut").alias("share"))
-    return hosts.where((F.col("key") != "") & (F.col("key").rlike("|".join(names)) | (F.col("share") >= cut_share))).select("key")
+    rows = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), cut.alias("cut")).where(F.col("host") != "")
+    return rows.groupBy(page_key().alias("key")).agg(F.bool_and("cut").alias("cut")).where("cut").select("key")
 
 
 ORACLE = f"""
@@ -193,8 +199,8 @@ rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in RULES)}),
 fitting AS (
   SELECT page_id, arg_max(h || p, len(h || p)) AS rule, arg_max(verdict, len(h || p)) AS verdict
   FROM parsed JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-listed AS (SELECT host FROM parsed WHERE host <> '' GROUP BY host HAVING avg(cut) >= 0.5 OR regexp_matches(host, '{"|".join(LISTED_NAMES)}'))
+listed AS (SELECT host || path AS key FROM parsed WHERE host <> '' GROUP BY host || path HAVING min(cut) = 1)
 SELECT a.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed a LEFT JOIN fitting f ON f.page_id = a.page_id
 """

@@ -758,11 +758,19 @@ def test_op8_blocks_bound_their_levels(listed, others):
 
 
 def test_op8_block_list_comes_from_the_pages(spark):
-    rows = [(1, "x://a.net/1", "<p></html>"), (2, "x://a.net/2", "<p>"), (3, "x://b.net/", "<p></html>"), (4, "x://c.net/", None), (5, "x://m.adult-x.net/", "</html>"), (6, None, ""), (7, "x://" + "d" * 50000, "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["key"] for r in urls.listed_hosts(pages).collect()} == {"a.net", "c.net", "m.adult-x.net", "d" * 50000}
-    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, urls.listed_hosts(pages)).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "block"}
+    rows = [
+        (1, "x://a.net/1?q", "<p></html>"), (2, "x://a.net/2#f", "<p>"), (3, "x://A.net/2", "cut"), (4, "x://c.net/", None), (5, "x://c.net", "</html>"), (6, None, ""), (7, "x://" + "d" * 50000, ""),
+        (8, "x://e.net/1", "<p>"), (9, "x://e.net/1", "</html>"), (10, "no scheme", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash")).withColumn("cut", F.lit(1))
+    assert {r["key"] for r in urls.listed_pages(pages).collect()} == {"a.net/2", "c.net/", "d" * 50000}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, urls.listed_pages(pages), key=urls.page_key()).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {2, 3, 4, 7} and len(got) == 10
+
+
+def test_op8_lists_grow_with_the_pages(spark):
+    sizes = [urls.listed_pages(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).count() for sf in ("sf0.001", "sf0.01", "sf0.1")]
+    assert 0 < 3 * sizes[0] < sizes[1] and 5 * sizes[1] < sizes[2]
 
 
 # --- op9
