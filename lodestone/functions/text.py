@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,8 +23,8 @@ def literal(term: str) -> str:
 
 
 def folded(text: Column) -> Column:
-    """Lower case in which ``occurrences`` finds what a pattern regardless of case does: the long s is an s, a dotted capital i none."""
-    return F.translate(F.lower(F.translate(text, "\u0130", "\u0001")), "\u017f", "s")
+    """Lower case in which a pattern finds what it does regardless of case: the long s is an s, the dotted capital and the dotless i are an i."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
 
 
 def occurrences(low: Column, term: str) -> Column:
@@ -41,6 +42,33 @@ def has(text: Column, body: str) -> Column:
     return F.rlike(text, F.lit("(?iu)" + body))
 
 
+def required(body: str) -> str:
+    """The longest string that every match of a simple pattern holds, empty where none is known.
+
+    Classes, groups, dots and what a quantifier follows hold none; an alternative at any level leaves nothing.
+    """
+    if re.search(r"[|()\\]", body):
+        return ""
+    plain = re.sub(r"(\[[^]]*\]|.)(\{[^}]*\}|[*+?])|\[[^]]*\]|[.^$]", "\0", body)
+    return max(plain.split("\0"), key=len)
+
+
+def count_folded(low: Column, body: str) -> Column:
+    """As ``count``, in a folded text; a text without what the pattern needs isn't searched."""
+    need = required(body)
+    if need == body:
+        return occurrences(low, body)
+    found = F.regexp_count(low, F.lit(body))
+    return F.when(F.contains(low, F.lit(need)), found).otherwise(F.when(low.isNotNull(), F.lit(0))) if need else found
+
+
+def has_folded(low: Column, body: str) -> Column:
+    """As ``has``, in a folded text."""
+    need = required(body)
+    there = F.contains(low, F.lit(need))
+    return there if need == body else there & F.rlike(low, F.lit(body)) if need else F.rlike(low, F.lit(body))
+
+
 def any_word(text: Column, words: Sequence[str], lowered: bool = False) -> Column:
     """Whether one of the words is a substring of the text, whatever its case; ``lowered``: the text is in lower case."""
     low = text if lowered else F.lower(text)

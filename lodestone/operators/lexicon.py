@@ -38,25 +38,28 @@ def probe_counts(docs: DataFrame, text: Column, probes: Sequence[str], keep: Seq
     return docs.select(*keep, F.explode(each).alias("p")).select(*keep, "p.probe", "p.n").where("n > 0")
 
 
-def _category(text: Column, bodies: Sequence[str]) -> tuple[Column, Column]:
+def _category(low: Column, start: Column, bodies: Sequence[str]) -> tuple[Column, Column]:
+    """Counts in a folded text, and whether its ``start`` has a match."""
     total, early = F.lit(0), F.lit(False)
     for b in bodies:
-        total = total + T.count(text, b)
-        early = early | T.has(F.substring(text, 1, 1800), b)
+        total = total + T.count_folded(low, b)
+        early = early | T.has_folded(start, b)
     return total.cast("long"), early
 
 
 def category_counts(docs: DataFrame, text: Column, categories: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
     """A row for each document and category: the sum of its patterns' counts, whose spans may overlap, and whether it is met early."""
-    made = {k: _category(text, v) for k, v in categories.items()}
+    docs = once(once(docs, "_low", T.folded(text)), "_start", F.substring("_low", 1, 1800))
+    made = {k: _category(F.col("_low"), F.col("_start"), v) for k, v in categories.items()}
     each = F.array(*(F.struct(F.lit(k).alias("category"), n.alias("n"), early.alias("early")) for k, (n, early) in made.items()))
     return docs.select(*keep, F.explode(each).alias("c")).select(*keep, "c.category", "c.n", "c.early")
 
 
 def category_columns(docs: DataFrame, text: Column, categories: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
     """A row for each document: the counts of all categories, a column each; nothing is shuffled."""
-    counts = F.struct(*(_category(text, v)[0].alias(k) for k, v in categories.items()))
-    return once(docs, "_c", counts).select(*keep, "_c.*")
+    low = F.col("_low")
+    counts = F.struct(*(_category(low, low, v)[0].alias(k) for k, v in categories.items()))
+    return once(once(docs, "_low", T.folded(text)), "_c", counts).select(*keep, "_c.*")
 
 
 def capped_score(docs: DataFrame, text: Column, lexicon: Lexicon, keep: Sequence[str], cap: int, bonus: int) -> DataFrame:
@@ -66,7 +69,7 @@ def capped_score(docs: DataFrame, text: Column, lexicon: Lexicon, keep: Sequence
     for p, w in lexicon.probes.items():
         base = base + w * F.least(T.occurrences(low, p), F.lit(cap))
     for b in lexicon.strong:
-        strong = strong + T.has(text, b).cast("int")
+        strong = strong + T.has_folded(low, b).cast("int")
     rows = once(docs, "_c", F.struct(base.alias("base"), strong.alias("n_strong"))).select(*keep, "_c.base", "_c.n_strong")
     score = F.col("base") + F.when(F.col("n_strong") > 0, F.lit(bonus)).otherwise(F.lit(0))
     return rows.select(*keep, score.cast("long").alias("score"), F.col("n_strong").cast("long").alias("n_strong"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import measures as M
 from lodestone.functions import text as X
-from lodestone.jobs import JOBS
+from lodestone.jobs import JOBS, corpus
 from lodestone.operators import points as P
 from lodestone.operators import ordered
 from lodestone.operators import statistics as S
@@ -236,3 +236,16 @@ def test_occurrences_fold_case(spark):
     got = [tuple(r) for r in rows.select(*(X.occurrences(X.folded(F.col("t")), p) for p in ("token", "sch", "aa"))).collect()]
     assert got == [(4, 0, 0), (0, 3, 0), (0, 1, 0), (0, 0, 0), (0, 0, 2)]
     assert [tuple(r) for r in rows.select(*(X.count(F.col("t"), p) for p in ("token", "sch", "aa"))).collect()] == got
+
+
+def test_patterns_in_folded_text_count_alike(spark):
+    """With the literal that a pattern needs asked first."""
+    assert X.required("akia[a-z0-9]+") == "akia" and X.required("[a-z.]+@[a-z]{2}") == "@" and X.required("a|b") == "" and X.required("xab?c") == "xa"
+    rng = np.random.default_rng(3)
+    letters = list("licensed LICENCE\u212a\u017f\u0130İtokenAKIA@.09-- the of de la") + ["token", "AKIA", "released under", "the ", " of", "555-1234", "De La"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(600)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", X.folded(F.col("t")))
+    bodies = [b for v in corpus.LEXICON.categories.values() for b in v] + list(corpus.LEXICON.strong)
+    plain = rows.select(*(X.count(F.col("t"), b) for b in bodies), *(X.has(F.col("t"), b) for b in bodies)).collect()
+    folded = rows.select(*(X.count_folded(F.col("low"), b) for b in bodies), *(X.has_folded(F.col("low"), b) for b in bodies)).collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in folded] and sum(map(sum, (r[: len(bodies)] for r in map(tuple, plain[:600])))) > 300
