@@ -38,6 +38,13 @@ def nn_join(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@JOBS.query("j06_nn_points", f"SELECT a.vec_id, round(sqrt(min({D2})), 9) AS distance FROM {PTS} a, {PTS} b WHERE a.label < 5 AND b.label >= 5 GROUP BY a.vec_id")
+def nn_points(spark, sf):
+    """J06 over points in space, without a radius."""
+    p = points(spark, sf)
+    return P.nearest_points(p.where("label < 5"), p.where("label >= 5"), "vec_id").withColumn("distance", F.round("distance", 9))
+
+
 @JOBS.query("j06_near_within", f"SELECT q.vec_id, round(min(sqrt({D2})) FILTER (WHERE {D2} < 0.09), 6) AS distance FROM (SELECT vec_id FROM {PTS} WHERE label < 5) q JOIN {PTS} a USING (vec_id), {PTS} b WHERE b.label >= 5 GROUP BY q.vec_id")
 def near_within(spark, sf):
     """J06 with a radius (P13: strict): both sides meet in cells of the radius."""

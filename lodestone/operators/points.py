@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.statistics import quantiles, with_quantiles
+from lodestone.sources.scratch import settled
 
 XYZ = ("x", "y", "z")
 
@@ -54,6 +55,44 @@ def near_within(queries: DataFrame, reference: DataFrame, key: str, radius: floa
     return queries.select(key).join(met, key, "left")
 
 
+def nearest_points(queries: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """``key, distance``: the exact distance from each query to the nearest reference point, however far; null where there is none.
+
+    Rings of a grid widen until the bound closes: a query looks into the 27 cells around it, of a width at which a cell holds about one
+    point. What it finds within that width is the nearest; the others look again at twice the width, and so on. Each round takes only the
+    queries that are left, so that a query meets the points about as near as its nearest one. Keys are unique; a query with a null coordinate has a null distance.
+    """
+    known = " AND ".join(f"{c} IS NOT NULL" for c in XYZ)
+    ref = settled(reference.where(known).select(*XYZ).distinct())
+    spans = [f(c).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)]
+    size = ref.agg(F.count("*").alias("n"), *spans).first()
+    nothing = F.lit(None).cast("double").alias("distance")
+    if not size["n"]:
+        return queries.select(key, nothing)
+    box = queries.where(known).agg(*spans).first()
+    width = lambda c: size[f"max_{c}"] - size[f"min_{c}"]
+    longest = max(max(map(width, XYZ)), 1e-12)
+    radius = float(np.prod([max(width(c), longest * 1e-3) for c in XYZ]) / size["n"]) ** (1 / 3)
+    # No query is farther from any point than the diagonal of the box of both.
+    ends = [(min(size[f"min_{c}"], box[f"min_{c}"]), max(size[f"max_{c}"], box[f"max_{c}"])) for c in XYZ] if box["min_x"] is not None else []
+    most = sum((b - a) ** 2 for a, b in ends) ** 0.5
+    left, out = queries.where(known).select(key, *XYZ), queries.where(f"NOT ({known})").select(key, nothing)
+    shifts = F.array(*(F.struct(*(F.lit(d).alias(f"d{c}") for c, d in zip(XYZ, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))
+    while True:
+        at = lambda c: F.floor(F.col(c) / radius).cast("long")  # noqa: B023, E731
+        asked = left.select(key, *XYZ, F.explode(shifts).alias("s")).select("*", *((at(c) + F.col(f"s.d{c}")).alias(f"k{c}") for c in XYZ))
+        held = ref.select(*(F.col(c).alias(f"r{c}") for c in XYZ), *(at(c).alias(f"c{c}") for c in XYZ))
+        met = asked.join(held, [F.col(f"k{c}") == F.col(f"c{c}") for c in XYZ])
+        d2 = squared_distance([F.col(c) for c in XYZ], [F.col(f"r{c}") for c in XYZ])
+        found = met.groupBy(key).agg(F.sqrt(F.min(d2)).alias("distance")).where(F.col("distance") <= radius)
+        found = settled(left.join(found, key, "left"))
+        out = out.unionByName(found.where("distance IS NOT NULL").select(key, "distance"))
+        left = found.where("distance IS NULL").drop("distance")
+        if radius > most or not left.limit(1).count():
+            return out
+        radius *= 2
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import measures as M
 from lodestone.functions import text as X
-from lodestone.jobs import JOBS, corpus
+from lodestone.jobs import JOBS, corpus, points
 from lodestone.operators import points as P
 from lodestone.operators import ordered
 from lodestone.operators import statistics as S
@@ -224,6 +224,39 @@ def test_nearest_vectors_equal_brute_force(spark):
     assert {r["distance"] for r in P.nearest_vectors(frame(a), frame(b[:0]), "id", "v").collect()} == {None}
 
 
+@pytest.mark.parametrize("spread", [1.0, 0.0])
+def test_nearest_points_equal_brute_force(spark, spread):
+    rng = np.random.default_rng(12)
+    a = np.concatenate([rng.normal(size=(150, 3)) * [1, spread, 1], [[9.0, -3.0, 8.0], [0.0, 0.0, 0.0]]])
+    b = np.concatenate([rng.normal(size=(300, 3)) * [1, spread, 0.01], [[0.0, 0.0, 0.0]] * 3])
+    frame = lambda v: spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(v)] + [(-1, None, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {r["id"]: r["distance"] for r in P.nearest_points(frame(a), frame(b), "id").collect()}
+    exact = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)).min(1)
+    assert got.pop(-1) is None and [got[k] for k in range(len(a))] == pytest.approx(exact.tolist(), abs=1e-9)
+    assert {r["distance"] for r in P.nearest_points(frame(a), frame(b[:0]), "id").collect()} == {None}
+    one = P.nearest_points(frame(a[:3]), frame(b[:1]), "id").where("distance IS NOT NULL").collect()
+    assert sorted(r["distance"] for r in one) == pytest.approx(sorted(np.sqrt(((a[:3] - b[:1]) ** 2).sum(1)).tolist()))
+    assert P.nearest_points(frame(a).where("false"), frame(b), "id").count() == 0
+
+
+def test_nearest_points_meet_few_others(spark, monkeypatch):
+    """The share of all pairs whose distances are computed, on the given vectors."""
+    p = points.points(spark, "/root/testdata/sf0.1")
+    a, b = p.where("label < 5"), p.where("label >= 5")
+    pairs = spark.sparkContext.accumulator(0)
+    plain = P.squared_distance
+
+    def counted(x, y):
+        tell = F.udf(lambda d: (pairs.add(1), d)[1], "double")
+        return tell(plain(x, y))
+
+    monkeypatch.setattr(P, "squared_distance", counted)
+    P.nearest_points(a, b, "vec_id").count()
+    share = pairs.value / (a.count() * b.count())
+    print(f"{share:.1%} of the pairs compared")
+    assert 0 < share < 0.5
+
+
 def test_flat_text_is_made_once(spark):
     for name in ("a02_weighted_capped_score", "p05_rescore_threshold", "a01_probe_counts", "p10_key_hit"):
         plan = JOBS.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
