@@ -6,11 +6,31 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.measures import psnr
 
 #: The side of the window and the two stabilising constants.
 WINDOW, K1, K2 = 7, 0.01, 0.03
 
 
+def masked_error(predicted: DataFrame, truth: DataFrame, masks: DataFrame, *, least: int = 4) -> DataFrame:
+    """``image, n_pixels, mse, psnr`` of two sets of images over masks: long rows ``image, y, x, channel, value`` of one size.
+
+    A pixel counts where its image's mask is above zero in some channel, or everywhere if the image has no mask; images
+    of fewer than ``least`` such pixels are left out, and pixels that either side lacks.
+    """
+    at = ["image", "y", "x"]
+    held = masks.groupBy(*at).agg((F.max("value") > 0).alias("_in"))
+    masked = masks.select("image").distinct().withColumn("_masked", F.lit(True))
+    both = predicted.select(*at, "channel", F.col("value").alias("_p")).join(truth.select(*at, "channel", F.col("value").alias("_t")), [*at, "channel"])
+    both = both.join(masked, "image", "left").join(held, at, "left").where(F.col("_masked").isNull() | F.col("_in"))
+    error = F.col("_p") - F.col("_t")
+    pixels = both.groupBy(*at).agg(F.sum(error * error).alias("_e"), F.count("*").alias("_n"))
+    out = pixels.groupBy("image").agg(F.count("*").alias("n_pixels"), (F.sum("_e") / F.sum("_n")).alias("mse")).where(F.col("n_pixels") >= least)
+    return out.withColumn("psnr", psnr(F.col("mse")))
+
+
 def window_means(image: np.ndarray, window: int) -> np.ndarray:
     """Means of the windows around every pixel; the image is mirrored at its edges, edge pixels included."""
     held = np.pad(image, window // 2, mode="symmetric")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,30 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, channels: int) -
     return np.array(row, np.uint8)
 
 
+def resizing(n: int, m: int) -> np.ndarray:
+    """The m x n weights of a bicubic resizing (a = -0.5) of n pixels to m; where it shrinks, a kernel as much wider, so that every pixel counts."""
+    scale = n / m
+    reach = max(scale, 1.0)
+    out = np.zeros((m, n))
+    for k in range(m):
+        centre = (k + 0.5) * scale
+        first, last = max(0, int(centre - 2 * reach + 0.5)), min(n, int(centre + 2 * reach + 0.5))
+        d = np.abs((np.arange(first, last) + 0.5 - centre) / reach)
+        w = np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
+        out[k, first:last] = w / w.sum()
+    return out
+
+
+def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An 8-bit image of another size: rows first, then columns, rounded to 8 bits after each."""
+    eight = lambda x: np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
+    if pixels.shape[1] != width:
+        pixels = eight(np.einsum("mw,hwc->hmc", resizing(pixels.shape[1], width), pixels.astype(float)))
+    if pixels.shape[0] != height:
+        pixels = eight(np.einsum("mh,hwc->mwc", resizing(pixels.shape[0], height), pixels.astype(float)))
+    return pixels
+
+
 def _decoded(spark: SparkSession, glob: str, schema: str, decode) -> tuple[DataFrame, DataFrame]:
     """Rows of the files, and ``path, error`` of those that can't be read."""
 
@@ -108,7 +133,7 @@ def _decoded(spark: SparkSession, glob: str, schema: str, decode) -> tuple[DataF
 
     fields = [x.split() for x in schema.split(",")]
     names = ["path", *(f[0] for f in fields), "error"]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f[1]] for f in fields]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}[f[1]] for f in fields]
     rows = spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(run, f"path string, {schema}, error string")
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("path", "error")
 
@@ -123,11 +148,35 @@ def point_files(spark: SparkSession, glob: str, array: str = "points") -> tuple[
     return _decoded(spark, glob, "pid long, x double, y double, z double", decode)
 
 
-def pixel_files(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    """``path, y, x, channel, value`` (0 to 1) of PNG files, and the files that can't be read."""
+def array_files(spark: SparkSession, glob: str, arrays: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``path, array, shape, index, value``: a row for each number of the arrays, of any shape, of NPZ files, and the files that can't be read.
+
+    ``index`` has a place for each dimension; a single number has none. Without ``arrays`` all are read, those that hold no numbers make the file an unreadable one.
+    """
+
+    def decode(path: str, content: bytes):
+        columns: list[list] = [[], [], [], []]
+        with np.load(io.BytesIO(content), allow_pickle=False) as held:
+            for name in held.files if arrays is None else arrays:
+                values = np.asarray(held[name])
+                if values.dtype.kind not in "biuf":
+                    raise ValueError(f"{name} holds no numbers")
+                columns[0] += [name] * values.size
+                columns[1] += [list(values.shape)] * values.size
+                columns[2] += np.indices(values.shape).reshape(values.ndim, -1).T.tolist() if values.ndim else [[]] * values.size
+                columns[3] += values.astype(np.float64).reshape(-1).tolist()
+        return columns
+
+    return _decoded(spark, glob, "array string, shape array<long>, index array<long>, value double", decode)
+
+
+def pixel_files(spark: SparkSession, glob: str, size: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``path, y, x, channel, value`` (0 to 1) of PNG files, resized to ``size`` (width, height) where it is given, and the files that can't be read."""
 
     def decode(path: str, content: bytes):
         pixels = png_pixels(content)
+        if size:
+            pixels = resized(pixels, *size)
         y, x, channel = (c.reshape(-1).astype(np.int32) for c in np.indices(pixels.shape))
         return [y, x, channel, pixels.reshape(-1) / 255.0]
 

@@ -1,7 +1,8 @@
 """Text that files gain at their ends, as a streaming data source: offsets are bytes, rows are whole lines.
 
 What follows the last line break waits for its end, so that a line which a writer
-has written half of is neither cut nor missed. A file that shrank is read from its start.
+has written half of is neither cut nor missed. A file that shrank, or that is another one under its old name, is
+read from its start: an offset is a file's number and its bytes. All machines must see the files at the same path.
 """
 
 from __future__ import annotations
@@ -45,13 +46,18 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return {path: last_break(path, os.path.getsize(path)) for path in sorted(glob.glob(self.pattern))}
+        out = {}
+        for path in sorted(glob.glob(self.pattern)):
+            state = os.stat(path)
+            out[path] = [state.st_ino, last_break(path, state.st_size)]
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         out = []
-        for path, to in end.items():
-            at = start.get(path, 0)
-            at = at if at <= to else 0
+        for path, (file, to) in end.items():
+            was = start.get(path, [file, 0])
+            old, at = was if isinstance(was, list) else (file, was)  # checkpoints of old hold the bytes alone
+            at = at if old == file and at <= to else 0
             out += [Span(path, a, min(a + SPAN, to)) for a in range(at, to, SPAN)]
         return out
 
