@@ -21,6 +21,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ SPARE = 0.01
 #: No piece of so many ids is cut to save padding.
 FINEST = 16
 #: Bytes of words and their ids that a Python worker remembers, and characters of the longest such word.
-CACHED_BYTES, CACHED_CHARS = 96 << 20, 40
+CACHED_BYTES, CACHED_CHARS = 160 << 20, 40
+#: Bytes of an entry beside its characters and ids.
+ENTRY_BYTES = 220
 
 #: What is known to be a letter, and characters that are known to be no letter, number or white space beside ASCII.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -76,15 +79,20 @@ class PartIds(dict):
         self.spelt = {c: spell(chr(c))[0][0] for c in known}
         specials = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_ODD.pattern, *specials]))
-        self.held = 0
+        self.early: dict[str, bytes] = {}
+        self.held = self.early_held = 0
 
     def __missing__(self, part: str) -> bytes:
         ids = np.array([t.id for t in self.tokenize(part.translate(self.spelt))], "<u4").tobytes()
         if len(part) <= CACHED_CHARS:
             if self.held > CACHED_BYTES:
+                if not self.early:  # frequent parts come early: half of the room is theirs for good
+                    self.early = dict(islice(self.items(), len(self) // 2))
+                    self.early_held = sum(ENTRY_BYTES + 2 * len(p) + len(i) for p, i in self.early.items())
                 self.clear()
-                self.held = 0
-            self.held += 220 + 2 * len(part) + len(ids)
+                self.update(self.early)
+                self.held = self.early_held
+            self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
             self[part] = ids
         return ids
 
