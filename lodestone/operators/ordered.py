@@ -19,8 +19,13 @@ def _same(by: Sequence[str], prefix: str = "_by_") -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by]
 
 
-#: So many rows and fewer are numbered by one task at once, which needs no ranges and no written table.
-SMALL = 50_000
+#: Tables that the optimiser knows to be of no more bytes are numbered by one task at once, which needs no ranges and no written table.
+SMALL = 4 << 20
+
+
+def known_size(rows: DataFrame) -> int:
+    """What the plan's statistics say of the bytes, without running anything: of files their size, of a written table without any more than all."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def in_order(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,7 +44,7 @@ def numbered(rows: DataFrame, by: Sequence[str], order: str, weight: str | None
     Rows of equal ``order`` and ``tie`` come in any order: what depends on a row's number needs an order without ties.
     """
     n = F.sum(weight) if weight else F.count("*")
-    if rows.limit(SMALL + 1).count() <= SMALL:
+    if known_size(rows) <= SMALL:
         group = Window.partitionBy(*by)
         before = n.over(group.orderBy(*(F.col(c).asc_nulls_first() for c in (order, *tie))).rowsBetween(Window.unboundedPreceding, -1))
         return rows.withColumns({"_nth": F.coalesce(before, F.lit(0)), "_size": n.over(group)})
