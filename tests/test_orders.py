@@ -149,6 +149,16 @@ def test_long_intervals_take_no_more_rows_than_short_ones(spark):
     assert rows_of(got) == [(0, 1440), (1, 2000)]
 
 
+def test_long_intervals_lie_in_many_buckets(spark):
+    """Days in a month: a bucket is much shorter than they are, so that few of them meet a start that they don't hold."""
+    hour, day, base = 3_600_000_000, 86_400_000_000, 1_700_000_000_000_000
+    long = spark.range(720).select(F.col("id").alias("j"), (base + F.col("id") * hour).alias("c"), (base + F.col("id") * hour + day).alias("d"))
+    level = long.select(intervals._level("c", "d")).distinct().collect()
+    dealt = intervals._dealt(long, "c", "d", [level[0][0]], "_x")
+    held = [r["count"] for r in dealt.groupBy(dealt.columns[-1]).count().collect()]
+    assert len(held) > 100 and max(held) <= 32 and sum(held) <= 9 * 720
+
+
 def test_ends_keep_a_null_series(spark):
     frame = spark.createDataFrame([(g, k, float(k)) for g in (None, 1) for k in range(6)], "g long, at long, v double")
     assert rows_of(S.ends(frame, ["g"], "at", "v", 2)) == [(1, 0.5, 4.5), (None, 0.5, 4.5)]
