@@ -204,4 +204,4 @@ def grid_median(rows: DataFrame, by: Sequence[str], x: str, y: str, value: str,
     cell = lambda c: F.least(F.greatest(F.floor((F.col(c) - low) / ((high - low) / cells)), F.lit(0)), F.lit(cells - 1)).cast("int")
     cells_of = rows.select(*by, cell(x).alias("gx"), cell(y).alias("gy"), value)
     counts = cells_of.groupBy(*by, "gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return with_quantiles(counts, cells_of, [*by, "gx", "gy"], {"median": (value, 0.5)})
+    return with_quantiles(counts, cells_of, [*by, "gx", "gy"], {"median": (value, 0.5)}, "n")

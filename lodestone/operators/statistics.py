@@ -48,9 +48,24 @@ def quantile_columns(rows: DataFrame, by: Sequence[str], asked: Mapping[str, tup
     return found.groupBy(*by).agg(*(at(c, q).alias(name) for name, (c, q) in asked.items()))
 
 
-def with_quantiles(summary: DataFrame, rows: DataFrame, by: Sequence[str], asked: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """``summary``, a row for each group of ``rows``, with :func:`quantile_columns`."""
-    found = quantile_columns(rows, by, asked)
+#: Rows of a group up to which its values are put in order in one buffer.
+FEW = 10_000
+
+
+def with_quantiles(summary: DataFrame, rows: DataFrame, by: Sequence[str], asked: Mapping[str, tuple[str, float]], size: str, *, few: int = FEW) -> DataFrame:
+    """``summary``, a row for each group of ``rows`` and ``size`` of them, with :func:`quantile_columns`; it is written once.
+
+    Groups of up to ``few`` rows take one aggregate, only larger ones an order that is cut into ranges.
+    """
+    summary = settled(summary)
+    many = summary.where(F.col(size) > few).select(*(F.col(c).alias(f"_{c}") for c in by))
+    in_group = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    found = None
+    if many.limit(1).count():
+        found = quantile_columns(rows.join(many, in_group, "left_semi"), by, asked)
+        rows = rows.join(many, in_group, "left_anti")
+    small = rows.groupBy(*by).agg(*(F.percentile(F.col(c).cast("double"), q).alias(name) for name, (c, q) in asked.items()))
+    found = small if found is None else small.unionByName(found)
     found = found.select(*(F.col(c).alias(f"_of_{c}") for c in by), *asked)
     return summary.join(found, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], "left").drop(*(f"_of_{c}" for c in by))
 

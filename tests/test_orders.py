@@ -187,3 +187,14 @@ def test_spaced_top_plans_stay_short(spark):
 def test_records_whose_names_meet_are_kept_apart(spark):
     frame = spark.createDataFrame([("AAAA1", 1), ("AAAA2", 2), ("BBBB1", 3)], "digest string, n long")
     assert rows_of(records.named(frame, "digest", "name", shown=4).select("n", "name")) == [(1, "REC-AAAA1"), (2, "REC-AAAA2"), (3, "REC-BBBB")]
+
+
+def test_medians_of_small_groups_need_no_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(g, rng.choice([None, 1.0, 2.5, 7.0])) for g in (None, 1, 2) for _ in range(9)] + [(3, None), (4, 5.0)]
+    frame = spark.createDataFrame(data, "g long, v double")
+    sizes, asked = frame.groupBy("g").agg(F.count("*").alias("n")), {"p50": ("v", 0.5), "p10": ("v", 0.1)}
+    by_range = rows_of(S.with_quantiles(sizes, frame, ["g"], asked, "n", few=5))
+    monkeypatch.setattr(S, "numbered", None)
+    assert rows_of(S.with_quantiles(sizes, frame, ["g"], asked, "n")) == by_range
+    assert len(by_range) == 5 and (3, 1, None, None) in by_range and (4, 1, 5.0, 5.0) in by_range
