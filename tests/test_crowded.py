@@ -128,3 +128,24 @@ def test_from_device_reports_to_a_resource_that_stays_free(spark):
     memory = spark.createDataFrame([(1, 10.0, 100.0), (2, 90.0, 100.0), (3, None, 100.0)], "job long, used double, total double")
     got = {r["job"]: (r["available"], r["failed"]) for r in probes.PROBES.ask(memory, ["memory_left"], ["job"]).collect()}
     assert got == {1: (True, False), 2: (False, False), 3: (None, True)}
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_the_input_asks_for(spark, tmp_path, monkeypatch):
+    """One crowded view and many small ones, zeros of both signs at one depth."""
+    rng = random.Random(5)
+    data = [(0, rng.randint(0, 30), float(rng.randint(0, 20))) for _ in range(400)] + [(v, rng.randint(0, 2), rng.choice([0.0, -0.0, 1.5])) for v in range(1, 60) for _ in range(4)] + [(7, None, 1.0), (7, 1, None)]
+    spark.createDataFrame(data, "v long, e long, d double").write.parquet(f"{tmp_path}/boxes")
+    boxes = spark.read.parquet(f"{tmp_path}/boxes")
+    monkeypatch.setattr(crowded, "SHARE", 100)
+    got = crowded.nearer_pairs(boxes, ["v"], "e", "d")
+    assert got.rdd.getNumPartitions() > 8
+    expected = {}
+    known = [r for r in data if None not in r]
+    for v, e, d in known:
+        for w, f, c in known:
+            if v == w and e != f:
+                n = expected.setdefault(v, [0, 0, 0])
+                n[0] += 1
+                n[1] += c < d
+                n[2] += c == d
+    assert sorted(map(tuple, got.collect())) == sorted((v, *n) for v, n in expected.items())
