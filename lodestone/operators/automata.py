@@ -8,6 +8,7 @@ over several automata by a hash of the term; each takes a pass over the texts, a
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from string import ascii_lowercase
 
@@ -29,16 +30,19 @@ class Terms:
     def __init__(self, rows: Iterable[tuple[str, str, float]]):
         """Rows are lexicon, term, weight; a term may be in several lexicons."""
         self.terms: list[str] = []
-        self.weights: list[list[tuple[str, float]]] = []
+        weights: list[list[tuple[str, float]]] = []
         self.automaton = ahocorasick.Automaton()
         number: dict[str, int] = {}
         for lexicon, term, weight in rows:
             if term not in number:
                 number[term] = len(self.terms)
                 self.terms.append(term)
-                self.weights.append([])
+                weights.append([])
                 self.automaton.add_word(term, number[term])
-            self.weights[number[term]].append((lexicon, weight))
+            weights[number[term]].append((lexicon, weight))
+        # Terms of the same lexicons and weights share one tuple.
+        same: dict[tuple, tuple] = {}
+        self.weights: list[tuple[tuple[str, float], ...]] = [same.setdefault(w, w) for w in map(tuple, weights)]
         self.automaton.make_automaton()
 
     def counts(self, text: str, inside: frozenset[str]) -> dict[int, int]:
@@ -65,8 +69,17 @@ class Terms:
         return out
 
 
+def packed(terms: Terms) -> bytes:
+    """A Python worker keeps the bytes of every automaton that it has met, but only one automaton at a time."""
+    return zlib.compress(pickle.dumps(terms), 1)
+
+
+def unpacked(held: bytes) -> Terms:
+    return pickle.loads(zlib.decompress(held))
+
+
 def automata(lexicon: DataFrame) -> list[Broadcast]:
-    """``lexicon`` (``lexicon, term, weight``) as pickled automata of about :data:`BLOCK_BYTES` of terms; empty and null terms are left out, equal rows count once."""
+    """``lexicon`` (``lexicon, term, weight``) as packed automata of about :data:`BLOCK_BYTES` of terms; empty and null terms are left out, equal rows count once."""
     rows = lexicon.select("lexicon", "term", F.col("weight").cast("double").alias("weight")).where("term IS NOT NULL AND term <> ''")
     rows = settled(rows.groupBy("lexicon", "term").agg(F.max("weight").alias("weight")))
     size = rows.agg(F.sum(F.octet_length("term"))).first()[0] or 0
@@ -74,13 +87,13 @@ def automata(lexicon: DataFrame) -> list[Broadcast]:
     context, out = rows.sparkSession.sparkContext, []
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k) if n > 1 else rows
-        out.append(context.broadcast(pickle.dumps(Terms(sorted(map(tuple, block.toLocalIterator()), key=lambda r: (r[1], str(r[0])))))))
+        out.append(context.broadcast(packed(Terms(sorted(map(tuple, block.toLocalIterator()), key=lambda r: (r[1], str(r[0])))))))
     return out
 
 
 def _pass(docs: DataFrame, text: str, sent: Broadcast, keep: Sequence[str], schema: str, columns: Sequence[str], made) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = pickle.loads(sent.value)
+        terms = unpacked(sent.value)
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from collections import Counter
@@ -77,3 +78,14 @@ def test_scores_of_several_lexicons(spark, monkeypatch, block_bytes):
         assert sorted(map(tuple, got.collect()), key=str) == expected(whole)
     assert automata.lexicon_scores(frame, "low", lexicon.where("false"), ["doc_id"], 2).count() == 0
     assert automata.term_counts(frame.where("false"), "low", lexicon, ["doc_id"]).count() == 0
+
+
+def test_what_a_worker_keeps_of_an_automaton_is_small():
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choice("bdglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(3, 5))) for _ in range(20_000)})
+    made = automata.Terms([("l", t, float(len(t))) for t in terms])
+    held = automata.packed(made)
+    assert len(held) < 60 * len(terms) and len(held) < len(pickle.dumps(made)) / 2
+    assert len({id(w) for w in made.weights}) == len({len(t) for t in terms})
+    again = automata.unpacked(held)
+    assert again.terms == terms and again.counts(" ".join(terms[:50]), frozenset(automata.LETTERS)) == {k: 1 for k in range(50)}
