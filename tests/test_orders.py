@@ -159,6 +159,41 @@ def test_long_intervals_lie_in_many_buckets(spark):
     assert len(held) > 100 and max(held) <= 32 and sum(held) <= 9 * 720
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_overlaps_of_a_lower_row_with_a_higher_one(spark, seed):
+    rng = random.Random(seed)
+    some = lambda n, first: [(first + k, *((s, s + rng.choice([0, 2, 9, 40, 700])) if (s := rng.choice([None, *range(-90, 90)])) is not None else (None, 5)), rng.choice([None, 1, 2, 3, 4])) for k in range(n)]
+    left, right = some(150, 0), some(120, 1000)
+    x, y = spark.createDataFrame(left, "i long, a long, b long, p long"), spark.createDataFrame(right, "j long, c long, d long, q long")
+    pairs = [(i, j) for i, a, b, p in left for j, c, d, q in right if None not in (a, c, p, q) and a < d and c < b and a < b and c < d and p < q]
+    got = intervals.overlaps(x, y, ("a", "b"), ("c", "d"), below=("p", "q"))
+    assert got.columns == ["i", "a", "b", "p", "j", "c", "d", "q"] and len(pairs) > 500
+    assert sorted(map(tuple, got.select("i", "j").collect())) == sorted(pairs)
+
+
+def test_short_intervals_travel_some_two_times(spark):
+    """Minutes in a month take wide cells, one level for several lengths."""
+    minute, base = 60_000_000, 1_700_000_000_000_000
+    short = spark.range(3000).select(F.col("id").alias("i"), (base + F.col("id") * 14 * minute).alias("a"), (base + (F.col("id") * 14 + 1 + F.col("id") % 9) * minute).alias("b"))
+    own = [r["k"] for r in short.select(intervals._level("a", "b").alias("k")).distinct().collect()]
+    levels = intervals._widened(own, 3000 * 14 * minute)
+    assert len(own) > len(levels) == 1
+    assert intervals._dealt(short, "a", "b", levels, "_x").count() < 2.5 * 3000
+
+
+def test_pairs_are_written_in_less_than_a_byte(spark, tmp_path):
+    """Days that hold thousands of starts: pairs come in blocks of the same few rows."""
+    rng = random.Random(3)
+    minute, day, base = 60_000_000, 86_400_000_000, 1_700_000_000_000_000
+    short = [(i, s, s + 5 * minute) for i in range(4000) for s in [base + rng.randrange(3 * day)]]
+    long = [(j, s, s + day) for j in range(150) for s in [base + rng.randrange(2 * day)]]
+    x, y = spark.createDataFrame(short, "i long, a long, b long"), spark.createDataFrame(long, "j long, c long, d long")
+    intervals.overlaps(x, y, ("a", "b"), ("c", "d")).select("i", "a", "j", "c").write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n == sum(a < d and c < b for _, a, b in short for _, c, d in long) > 100_000
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < n
+
+
 def test_ends_keep_a_null_series(spark):
     frame = spark.createDataFrame([(g, k, float(k)) for g in (None, 1) for k in range(6)], "g long, at long, v double")
     assert rows_of(S.ends(frame, ["g"], "at", "v", 2)) == [(1, 0.5, 4.5), (None, 0.5, 4.5)]
